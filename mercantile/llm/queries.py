@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, embed_dedup, lm_score, minhash, packing, toxicity
+from . import decontam, embed_dedup, lm_score, minhash, packing, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": decontam.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_lm_scoring": lm_score.query,
     "op8_packing": packing.query,
     "op9_minhash_near_dedup": minhash.query,
+    "op10_suffix_array_dedup": substring_dedup.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
