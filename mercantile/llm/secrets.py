@@ -1,0 +1,176 @@
+"""Secret scans with DataFrame functions only.
+
+Two ways find spans (code points, end exclusive) in the whole text:
+
+- patterns, leftmost and not overlapping per kind: ``assign`` (a named key, then = or :, then a
+  value of 6+ characters), ``access`` (AKIA and upper-case letters or digits, 20+ in all) and
+  ``hex`` (24+ lower-case hex digits). Positions come from the lengths of the pieces between
+  the matches, summed in blocks.
+- entropy: candidate strings of 20+ characters of the base64 alphabet slide a window of 20
+  characters. Per character class (hex or base64) the window's counts are kept, one character
+  in and one out, and with them the sum of c log c, hence the Shannon entropy. A candidate whose
+  largest entropy reaches its class's threshold is a secret, unless the allow-list (examples,
+  UUIDs, sequences, paths of words) suppresses it. Only candidates with both letters and digits
+  count, so words never do.
+
+Null and empty texts have no spans. Rows are independent; repeated rows repeat results.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = r"AKIA[A-Z0-9]+"
+#: A run that is long enough is the only kind of match that stays, so shorter ones are not made.
+LONG_HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+KINDS = ("assign", "access", "hex", "entropy")
+WINDOW = 20
+THRESHOLDS = {"hex": 3.0, "base64": 3.9}
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+ALLOWED = (
+    r"(?i)example|sample|dummy|placeholder|changeme|lorem",
+    r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
+    r"(?i)0123456789|123456789|abcdefgh",
+    r"^(/?[a-z]+[0-9]{0,4})+(/[a-z]+[0-9]{0,4})*/?$",
+    r"^[A-Za-z]+([_-][A-Za-z]+)*[_-]?[0-9]{1,4}$",
+)
+SPAN = "struct<start:bigint,stop:bigint,kind:int>"
+
+
+def _running(lens: Column) -> Column:
+    """Running sums of an array of longs, in blocks of 256 so that long arrays stay cheap."""
+    zero = F.array(F.lit(0).cast("long"))
+
+    def grow(acc, v):
+        return F.concat(acc, F.array(F.element_at(acc, -1) + v))
+
+    starts = F.sequence(F.lit(0), F.floor((F.size(lens) - 1) / 256).cast("int"))
+    inner = F.transform(starts, lambda b: F.aggregate(F.slice(lens, b * 256 + 1, F.lit(256)), zero, grow))
+    base = F.aggregate(F.transform(inner, lambda x: F.element_at(x, -1)), zero, grow)
+    moved = F.zip_with(inner, F.slice(base, F.lit(1), F.size(inner)), lambda x, o: F.transform(F.slice(x, F.lit(2), F.size(x) - 1), lambda y: y + o))
+    return F.when(F.size(lens) > 0, F.flatten(moved)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _lengths(x: Column) -> Column:
+    return F.transform(x, lambda s: F.length(s).cast("long"))
+
+
+def _ends(text: Column, hits: Column, pattern: str) -> Column:
+    """Ends of the matches, from the pieces between them."""
+    pieces = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
+    return _running(F.zip_with(_lengths(pieces), _lengths(hits), lambda a, b: a + b))
+
+
+def _spans(ends: Column, hits: Column, good: Column, kind: int) -> Column:
+    """Spans of the matches that are good."""
+    n = F.zip_with(ends, hits, lambda e, h: F.struct((e - F.length(h)).alias("start"), e.alias("stop"), F.lit(kind).alias("kind")))
+    kept = F.filter(F.zip_with(n, good, lambda s, g: F.when(g, s)), lambda s: s.isNotNull())
+    return kept.cast(f"array<{SPAN}>")
+
+
+def _code(s: Column, i: Column) -> Column:
+    return F.call_function("locate", F.substring(s, i, F.lit(1)), F.lit(ALPHABET))
+
+
+def _entropy(s: Column, window: int = WINDOW) -> Column:
+    """Largest Shannon entropy (bits) over the windows of a string: the counts move by one
+    character in and one out, and with them the sum of c log2 c."""
+    moves = F.transform(
+        F.sequence(F.lit(1), F.length(s)),
+        lambda i: F.struct(
+            _code(s, i).alias("into"),
+            F.when(i > window, _code(s, i - window)).otherwise(F.lit(0)).alias("out"),
+            i.alias("i"),
+        ),
+    )
+    state = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+
+    def clogc(c: Column) -> Column:
+        return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
+
+    def step(acc: Column, m: Column) -> Column:
+        gone = F.when(m["out"] > 0, F.element_at(acc["counts"], F.greatest(m["out"], F.lit(1)))).otherwise(F.lit(0))
+        less = acc["sum"] - clogc(gone) + clogc(gone - 1)
+        had = F.element_at(acc["counts"], m["into"]) - F.when(m["into"] == m["out"], F.lit(1)).otherwise(F.lit(0))
+        total = less + clogc(had + 1) - clogc(had)
+        counts = F.transform(acc["counts"], lambda c, k: c + F.when(k + 1 == m["into"], 1).otherwise(0) - F.when(k + 1 == m["out"], 1).otherwise(0))
+        bits = F.when(m["i"] >= window, F.lit(math.log2(window)) - total / window).otherwise(F.lit(0.0))
+        return F.struct(counts.alias("counts"), total.alias("sum"), F.greatest(acc["best"], bits).alias("best"))
+
+    return F.aggregate(moves, state, step, lambda acc: acc["best"])
+
+
+def _secret(s: Column) -> Column:
+    """Whether a candidate is a secret by its entropy."""
+    digits = s.rlike("[0-9]") & s.rlike("[A-Za-z]")
+    allowed = F.lit(False)
+    for pattern in ALLOWED:
+        allowed = allowed | s.rlike(pattern)
+    least = F.when(s.rlike("^([0-9a-f]+|[0-9A-F]+)$"), THRESHOLDS["hex"]).otherwise(THRESHOLDS["base64"])
+    return F.when(digits & ~allowed, _entropy(s) >= least).otherwise(F.lit(False))
+
+
+def scan(docs: DataFrame, text: str = "text", column: str = "spans") -> DataFrame:
+    """``docs`` with a column of all spans (start, stop, kind as an index in KINDS), sorted by
+    start, then kind, then stop. A column of that name is replaced."""
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    low = F.lower(t)
+    none = F.array().cast(f"array<{SPAN}>")
+    named = F.lit(False)
+    for word in ("password", "passwd", "secret", "token", "api"):
+        named = named | F.contains(low, F.lit(word))
+    whole = F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(0))
+    value = F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2))
+    assign = _spans(_ends(t, whole, ASSIGN), whole, F.transform(value, lambda v: F.length(v) >= 6), 0)
+    key = F.regexp_extract_all(t, F.lit(ACCESS), F.lit(0))
+    access = _spans(_ends(t, key, ACCESS), key, F.transform(key, lambda v: F.length(v) >= 20), 1)
+    run = F.regexp_extract_all(t, F.lit(LONG_HEX), F.lit(0))
+    hexed = _spans(_ends(t, run, LONG_HEX), run, F.transform(run, lambda v: F.lit(True)), 2)
+    candidate = F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))
+    random = _spans(_ends(t, candidate, CANDIDATE), candidate, F.transform(candidate, _secret), 3)
+    parts = [
+        F.when(named, assign).otherwise(none),
+        F.when(F.contains(t, F.lit("AKIA")), access).otherwise(none),
+        F.when(t.rlike(LONG_HEX), hexed).otherwise(none),
+        F.when(t.rlike(CANDIDATE), random).otherwise(none),
+    ]
+    order = F.transform(F.concat(*parts), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop")))
+    return docs.withColumn(column, F.array_sort(order))
+
+
+def _joined(spans: Column) -> Column:
+    names = F.array(*map(F.lit, KINDS))
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
+
+
+def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
+    """``docs`` with each union of overlapping spans of the text replaced by ``mask``. Texts
+    without spans, null ones too, stay as they are."""
+    seen = scan(docs, text, "__spans")
+    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).cast("long").alias("at"))
+    t = F.col(f"`{text}`")
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.when(s["start"] >= acc["at"], F.concat(acc["parts"], F.array(F.substring(t, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mask)))).otherwise(acc["parts"])
+        # a span that touches the one before, but starts at its end, gets a mask of its own
+        return F.struct(gap.alias("parts"), F.greatest(acc["at"], s["stop"]).alias("at"))
+
+    done = F.aggregate(F.col("__spans"), start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(t, (acc["at"] + 1).cast("int"), F.lit(2147483647))))
+    return seen.withColumn(text, F.when(F.size("__spans") > 0, done).otherwise(t)).drop("__spans")
+
+
+def query(spark, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    seen = scan(docs)
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+
+    def counted(k: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+
+    counts = [counted(k) for k in range(3)]
+    return seen.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))

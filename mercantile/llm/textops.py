@@ -140,14 +140,16 @@ def map_text(df: DataFrame, text: str, keep: list[str], out: T.StructType, make:
     documents and gives the arrays of ``out``. Columns of ``keep`` named as in ``out`` go.
     """
     keep = [c for c in keep if c not in out.fieldNames()]
-    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
+    # a text that is kept is not sent twice
+    at = keep.index(text) if text in keep else len(keep)
+    src = df.select(*[F.col(f"`{c}`") for c in keep], *([] if text in keep else [F.col(f"`{text}`").alias("__text")]))
     schema = T.StructType([src.schema[c] for c in keep] + list(out))
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            for lo, hi, byte, off in chunks(batch.column(len(keep)), chunk):
+            for lo, hi, byte, off in chunks(batch.column(at), chunk):
                 kept = [batch.column(i).slice(lo, hi - lo) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*kept, *fn(byte, off)], names=names)
 
