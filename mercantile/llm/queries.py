@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, embed_dedup, licenses, lm_score, minhash, packing, secrets, substring_dedup, toxicity
+from . import chat, decontam, embed_dedup, licenses, lm_score, minhash, packing, secret_scan, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_secret_scan": secrets.query,
+    "op1_secret_scan": secret_scan.query,
     "op2_decontamination": decontam.query,
     "op3_toxicity": toxicity.query,
     "op4_embedding_near_dedup": embed_dedup.query,
