@@ -1,7 +1,8 @@
 """Near-duplicate documents by DartMinHash over weighted word shingles.
 
-A document is the multiset of its runs of five words (of all its words, where it has fewer).
-Each element's weight gives it as many unit cells; darts fall on a cell as a Poisson process
+A document is the set of its runs of five words (of all its words, where it has fewer), each
+with the weight 1 + floor(log2(its count)), so that a line repeated without end does not drown
+the rest. Each element's weight gives it as many unit cells; darts fall on a cell as a Poisson process
 along the rank axis, derived from a hash of element and cell alone, so equal elements of two
 documents see the same darts. Only darts below a rank that is inverse to the document's
 weight are thrown, about k ln k + 3k a document whatever its length; each dart lands in one
@@ -37,7 +38,8 @@ PIVOTS = 3
 
 
 def elements(byte: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> tuple[Words, np.ndarray, np.ndarray]:
-    """Words; document and hash of each cell (a shingle's n-th occurrence in its document), sorted."""
+    """Words; document and hash of each cell, by document: a shingle's n-th occurrence in its
+    document, for n a power of two."""
     w = Words(byte, off)
     n = np.diff(w.off)
     many = np.where(n >= size, n - size + 1, 0)
@@ -63,6 +65,8 @@ def elements(byte: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> tuple[Wo
         at = np.arange(len(val))
         nth = at - np.maximum.accumulate(np.where(same, 0, at))
         val = np.where(nth > 0, mix(val + nth.astype(U) * U(0xA24BAED4963EE407)), val)
+        keep = (nth + 1 & nth) == 0
+        doc, val = doc[keep], val[keep]
     return w, doc, val
 
 
