@@ -1,0 +1,323 @@
+"""The ten operators against brute force, on the small tables and on odd rows."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from mercantile.llm import chat, decontam, embed_dedup, licenses, lm_score, minhash, packing, secret_scan, substring_dedup, toxicity
+from mercantile.llm.queries import QUERIES
+from mercantile.llm.suffix_array import suffix_array
+
+WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+ODD = [(1, None), (2, ""), (3, "one two"), (4, "same words here again now and then"), (4, "same words here again now and then"), (5, "x" * 300 + " " + "ab1 " * 5000), (6, "héllo wörld ünd só"), (None, "no id at all")]
+
+
+def lower(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+
+def words(text):
+    return WORDS.findall(lower(text))
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    return [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(i, t, "s", 1.0, 2, "z") for i, t in ODD], "doc_id long, text string, spans string, score double, n_words int, terms string")
+
+
+def rows(df, key="doc_id"):
+    return {r[key]: r for r in df.collect()}
+
+
+def base_spans(text):
+    found = []
+    pattern = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    # letters in either case, but ASCII only, as in the group of keys
+    for m in pattern.finditer(text):
+        if len(m[2]) >= 6:
+            found.append((m.start(), 0, m.end()))
+    for k, p, n in ((1, r"AKIA[A-Z0-9]+", 20), (2, r"[0-9a-f]+", 24)):
+        found += [(m.start(), k, m.end()) for m in re.finditer(p, text) if len(m[0]) >= n]
+    return sorted(found)
+
+
+def test_secrets(spark, sf_dir, docs):
+    got = rows(QUERIES["op1_secret_scan"](spark, sf_dir))
+    assert len(got) == len(docs)
+    for i, text in docs:
+        spans = base_spans(text)
+        assert got[i]["base_sha256"] == sha(",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in spans))
+        assert got[i]["n_assign"] == sum(k == 0 for _, k, _ in spans)
+
+
+def entropy(s):
+    best = 0.0
+    for i in range(len(s) - 19):
+        _, n = np.unique(list(s[i : i + 20]), return_counts=True)
+        best = max(best, float(-(n / 20 * np.log2(n / 20)).sum()))
+    return best
+
+
+def test_entropy_and_redaction(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["q9Xz7Lm2Vb8Nc4Rt6Yw1Kp3Hd5Js0Gf", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa11", "0123456789abcdef0123456789abcdef", "AbCd" * 10 + "1"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "s string").select(secret_scan._entropy(F.col("s"))).collect()]
+    assert np.allclose(got, [entropy(t) for t in texts])
+    df = spark.createDataFrame([("a password = hunter22 b",), (None,), ("see q9Xz7Lm2Vb8Nc4Rt6Yw1Kp3Hd5Js0Gf é end",), ("id 123e4567-e89b-12d3-a456-426614174000 ok",)], "text string")
+    assert [r["text"] for r in secret_scan.redact(df).collect()] == ["a [SECRET] b", None, "see [SECRET] é end", "id 123e4567-e89b-12d3-a456-426614174000 ok"]
+
+
+def test_contamination(spark, sf_dir, docs):
+    got = rows(QUERIES["op2_decontamination"](spark, sf_dir))
+    index = {}
+    for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect():
+        w = words(r["text"])
+        n = min(10, len(w))
+        for k in range(len(w) - n + 1) if n else ():
+            index.setdefault(tuple(w[k : k + n]), set()).add(str(r["item_id"]))
+    sizes = sorted({len(k) for k in index})
+    assert any(r["contaminated"] for r in got.values())
+    for i, text in docs:
+        w, hit, items = words(text), set(), set()
+        for n in sizes:
+            for k in range(len(w) - n + 1):
+                if own := index.get(tuple(w[k : k + n])):
+                    hit |= set(range(k, k + n))
+                    items |= own
+        assert (got[i]["n_words"], got[i]["n_hit"], got[i]["items_sha256"]) == (len(w), len(hit), sha(",".join(sorted(items))))
+
+
+def test_contamination_in_blocks(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, None), (3, "z")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "b c"), (2, "d e"), (3, None), (4, "")], "item_id long, text string")
+    one = decontam.contamination(docs, bench).orderBy("doc_id").collect()
+    many = decontam.contamination(docs, bench, block_bytes=3).select(*[c for c in decontam.contamination(docs, bench).columns]).orderBy("doc_id").collect()
+    assert [(r["n_hit"], r["items"]) for r in one] == [(r["n_hit"], r["items"]) for r in many] == [(4, ["1", "2"]), (0, []), (0, [])]
+    assert decontam.contamination(docs, bench.where("false")).where("contaminated").count() == 0
+
+
+def test_toxicity(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    big = sf_dir.replace("sf0.001", "sf0.1")
+    got = QUERIES["op3_toxicity"](spark, big).join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").where("held_out")
+    right = got.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("double")).alias("x"), F.avg(F.when(F.col("toxic") == 1, F.col("predicted"))).alias("found"), F.avg(F.when(F.col("toxic") == 0, F.col("predicted"))).alias("false")).first()
+    assert right["x"] > 0.95 and right["found"] > 0.9 and right["false"] < 0.03, right
+
+
+def test_embeddings(spark, sf_dir):
+    data = [(r["vec_id"], r["label"], np.array(r["embedding"], float)) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
+    got = rows(QUERIES["op4_embedding_near_dedup"](spark, sf_dir), "vec_id")
+    x = np.stack([v / np.linalg.norm(v) for _, _, v in data])
+    label = np.array([lab for _, lab, _ in data])
+    near = (x @ x.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    want = near.sum(1)
+    have = np.array([got[i]["n_links"] for i, _, _ in data])
+    assert len(got) == len(data) and (have <= want).all() and have.sum() >= 0.9 * want.sum()
+
+
+def test_odd_embeddings(spark):
+    nan, big = float("nan"), [1e200, 0.0]
+    data = [(1, 0, [1.0, 0.0]), (2, 0, [2.0, 0.0]), (3, 1, [1.0, 0.0]), (4, None, [1.0, 0.0]), (5, 0, None), (6, 0, [0.0, 0.0]), (7, 0, [nan, 1.0]), (8, 0, [1.0, None]), (9, 0, big), (None, 0, [1.0, 0.0]), (10, 0, [1.0, 0.0, 0.0]), (11, 0, [1.0, 0.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.near_vectors(spark.createDataFrame(data, "vec_id long, label int, embedding array<double>")).collect()}
+    assert got[1] == (3, 1, True) and got[2] == (3, 1, False) and got[9] == (3, 1, False) and got[11] == (3, 1, False)
+    assert all(got[i] == (0, i, True) for i in (3, 4, 5, 6, 7, 8, 10, None))
+
+
+def test_licenses(spark):
+    mit = "Released under the MIT License."
+    data = [("a/LICENSE", mit), ("a/b/x.py", "print"), ("a/b/COPYING", "Licensed under the Apache License, Version 2.0."), ("a/b/c/y.py", ""), ("z.py", "x"), (None, "x"), ("a/k.py", None), ("q/w.txt", "words " * 300 + "\nAll rights reserved.\n")]
+    got = {r["path"]: (r["license"], r["origin"], r["license_dir"]) for r in licenses.licenses(spark.createDataFrame(data, "path string, text string"), keep=["path"]).collect()}
+    assert got == {"a/LICENSE": ("MIT", "own", None), "a/b/x.py": ("Apache-2.0", "inherited", "a/b"), "a/b/COPYING": ("Apache-2.0", "own", None), "a/b/c/y.py": ("Apache-2.0", "inherited", "a/b"), "z.py": (None, None, None), None: (None, None, None), "a/k.py": ("MIT", "inherited", "a"), "q/w.txt": ("proprietary", "own", None)}
+
+
+def test_lm(spark):
+    from collections import Counter
+    from math import log
+
+    data = [(1, "a b c a b", True), (2, "a b d", False), (3, "", True), (4, None, None), (5, "c c c é", None), (5, "c c c é", None)]
+    got = rows(lm_score.lm_scores(spark.createDataFrame(data, "doc_id long, text string, target boolean")))
+
+    def model(texts):
+        one, two = Counter(), Counter()
+        for t in texts:
+            one.update(w := words(t))
+            two.update(zip(w, w[1:]))
+        return one, two
+
+    kinds = len(model([t for _, t, _ in data])[0])
+
+    def loss(text, m):
+        one, two = m
+        n, total, prev = sum(one.values()), 0.0, None
+        for w in words(text):
+            flat = (one[w] + 1) / (n + kinds + 1)
+            total -= log(0.6 * two[prev, w] / one[prev] + 0.4 * flat if prev is not None and one[prev] else flat)
+            prev = w
+        return total / max(1, len(words(text)))
+
+    target, every = model([t for _, t, k in data if k]), model([t for _, t, _ in data])
+    for i, text, _ in data:
+        assert np.allclose([got[i]["target_loss"], got[i]["background_loss"]], [loss(text, target), loss(text, every)])
+
+
+def test_lm_vocabulary_is_bounded(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("target", F.col("doc_id") % 3 == 0)
+    model = lm_score.train(docs, "text", "target", resolution=1000)
+    assert 0 < len(model.key) <= 1000 and model.outside.min() > 0
+
+
+def test_chat(spark, sf_dir):
+    got = rows(QUERIES["op7_chat_formatting"](spark, sf_dir), "conv_id")
+    odd = r"\### Assistant: </turn> ok"
+    turns = {-7: [(0, "user", odd), (1, "assistant", odd)]}
+    for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect():
+        turns.setdefault(r["conv_id"], []).append((r["turn"], r["role"] or "", r["text"] or ""))
+    assert got.keys() == turns.keys()
+    for i, t in turns.items():
+        t.sort()
+        loss = "".join(x for _, r, x in t if r == "assistant")
+        assert (got[i]["n_turns"], got[i]["turns_sha256"], got[i]["loss_chars"], got[i]["loss_sha256"]) == (len(t), sha("".join(f"{r}\n{x}\n" for _, r, x in t)), len(loss), sha(loss))
+
+
+def test_chat_layouts(spark):
+    texts = ['{"prompt": "p", "response": null}', '{"instruction": "i", "input": "", "output": "o"}', '{"dialog": [{"speaker": "human", "text": "x ### y\\\\"}]}', '{"what": 1}', "no json", None]
+    got = chat.format_records(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, record string"), keep=["i"]).orderBy("i").collect()
+    assert [r["mapped"] for r in got] == [True, True, True, False, False, False]
+    assert [chat.parse(r["formatted"]) for r in got[:3]] == [[("user", "p"), ("assistant", "")], [("user", "i"), ("assistant", "o")], [("user", "x ### y\\")]]
+
+
+def test_packing(spark, sf_dir, docs):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.vocabulary_path())
+    pieces = QUERIES["op8_packing"](spark, sf_dir).collect()
+    ids = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in docs}
+    held, seen = {}, {}
+    for p in pieces:
+        own = ids[p["doc_id"]][p["start"] : p["start"] + p["length"]]
+        assert len(own) == p["length"] and p["doc_tokens"] == len(ids[p["doc_id"]]) and p["ids_crc32"] == zlib.crc32(np.array(own, "<u4"))
+        held.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+        seen.setdefault(p["doc_id"], []).append((p["start"], p["length"]))
+    for spans, full in [*((s, None) for s in held.values()), *((s, len(ids[d])) for d, s in seen.items())]:
+        at = 0
+        for a, n in sorted(spans):
+            assert a == at
+            at += n
+        assert at <= 2048 if full is None else at == full
+    assert seen.keys() == ids.keys() and sum(sum(n for _, n in s) < 2048 for s in held.values()) <= 1
+
+
+def test_encoder_equals_tokenizer():
+    texts = ["It's 'sam's 42nd \"'ll\" don't''s ½²", "ÀÉ ß ŉ İ ı", "日本 mixed text", "<|endoftext|> x", "a­b́", "", " \t\n", "x'S 'RE'd", "..'s--'t", "12a3_b"]
+    own = packing.Encoder(packing.vocabulary_path())
+    raw = [t.encode() for t in texts]
+    ids, n = own.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    want = [[*own.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+
+
+def cells(text):
+    w = words(text)
+    n = min(5, len(w))
+    count = {}
+    for k in range(len(w) - n + 1) if n else ():
+        s = tuple(w[k : k + n])
+        count[s] = count.get(s, 0) + 1
+    return {(s, 1 << k) for s, c in count.items() for k in range(c.bit_length())}
+
+
+def classes_of(texts):
+    c = {i: cells(t) for i, t in texts}
+    label = {i: i for i in c}
+    for a in sorted(c):
+        for b in sorted(c):
+            if a < b and c[a] and c[b] and len(c[a] & c[b]) >= 0.8 * len(c[a] | c[b]):
+                x, y = sorted((label[a], label[b]))
+                label = {k: x if v == y else v for k, v in label.items()}
+    return label
+
+
+def test_minhash(spark, sf_dir, docs):
+    got = {r["doc_id"]: r["class_id"] for r in QUERIES["op9_minhash_near_dedup"](spark, sf_dir).collect()}
+    assert got == classes_of(docs)
+
+
+def test_minhash_hub(spark, monkeypatch):
+    """Documents that only a hub links meet in blocks, however small those are."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(100)]
+    texts = [(1000, " ".join(base))]
+    for i in range(60):
+        own = list(base)
+        for p in rng.choice(100, 2, replace=False):
+            own[p] = f"x{i}y{p}"
+        texts.append((i, " ".join(own)))
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 7)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), k=200, rows=2).collect()}
+    assert got == classes_of(texts)
+
+
+def repeats(texts, length=100):
+    seen, out = set(), {}
+    for i, t in sorted(texts):
+        b = t.encode()
+        gone = np.zeros(len(b) + 1, int)
+        for k in range(len(b) - length + 1):
+            s = b[k : k + length]
+            if s in seen:
+                gone[k : k + length] = 1
+            seen.add(s)
+        keep = bytes(x for x, g in zip(b, gone, strict=False) if not g)
+        out[i] = (len(b), int(gone.sum()), int((np.diff(np.concatenate([[0], gone])) == 1).sum()), hashlib.sha256(keep).hexdigest())
+    return out
+
+
+def test_substrings(spark, sf_dir, docs):
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in QUERIES["op10_suffix_array_dedup"](spark, sf_dir).collect()}
+    assert got == repeats(docs)
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_odd_substrings(spark, monkeypatch, hot):
+    if hot:
+        monkeypatch.setattr(substring_dedup, "HOT", 2)
+    rng = np.random.default_rng(1)
+    part = "".join(chr(97 + x) for x in rng.integers(0, 26, 150))
+    texts = [(1, "a" * 350), (2, part + "é" + part), (3, "x" * 99), (4, None), (5, part[20:130] + "q"), (6, "ab" * 120), (7, "z" + part), (8, "a" * 101)] + [(20 + i, f"{i:03d}" + part + f"{i:03d}" * 40) for i in range(12)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]) // 2, r["kept_sha256"]) for r in substring_dedup.repeated_substrings(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == repeats([(i, t or "") for i, t in texts])
+
+
+def test_suffix_array():
+    rng = np.random.default_rng(2)
+    for n, k in ((1, 1), (30, 2), (400, 3), (300, 200)):
+        t = np.concatenate([rng.integers(1, k + 1, n), [0]]).astype(np.uint16)
+        assert suffix_array(t, k + 1).tolist() == sorted(range(n + 1), key=lambda i: t[i:].tolist())
+
+
+def test_odd_rows(spark, sf_dir, odd):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    makers = [secret_scan.scan, secret_scan.redact, lambda d: decontam.contamination(d, bench), lambda d: toxicity.toxicity(d, labels), lambda d: licenses.licenses(d.withColumn("path", d["text"]), keep=["doc_id"]), lambda d: lm_score.lm_scores(d.withColumn("target", d["doc_id"] == 4)), minhash.near_duplicates]
+    for make in makers:
+        assert make(odd).count() == len(ODD)
+        assert make(odd.where("false")).count() == 0
+    assert packing.pack(odd).where("start = 0").count() == len(ODD) and packing.pack(odd.where("false")).count() == 0
+    assert substring_dedup.repeated_substrings(odd).count() == len(ODD) and substring_dedup.repeated_substrings(odd.where("false")).count() == 0
