@@ -12,8 +12,10 @@ coordinate with the probability of their weighted Jaccard similarity.
 Bands of the signature are joined. Copies (equal word sequences) are first reduced to one
 representative by an aggregation. Within a band, documents are paired with a few pivots, not
 with each other; the pairs are verified by the exact weighted Jaccard similarity and joined
-to classes. Then, only in bands that still hold more than one class, the pairs across classes
-are verified too, so no link between bandmates that would join two classes is lost.
+to classes. Then, in bands that still hold more than one class, every document is compared with
+those of other classes, so no link between bandmates that would join two classes is lost. Such
+a band is dealt out as pairs of blocks of bounded rows and bytes; a task counts the common
+elements of two blocks with matrix products and gives one link a document, never its pairs.
 
 Words are as in the decontamination. Null texts and texts without words link with nothing and
 are classes of their own. Rows with a null doc_id are left out of classes: class_id null, kept
@@ -35,6 +37,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 K, ROWS = 100, 5
 PIVOTS = 3
+#: Blocks of a band that still holds several classes: about so many documents, and bytes of their cells.
+BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20
+#: Columns of the matrices that count common cells.
+COLUMNS = 4096
 
 
 def elements(byte: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -157,6 +163,37 @@ def verified(pairs: DataFrame, cells: DataFrame, similarity: float) -> DataFrame
     return both.mapInArrow(run, pairs.select("a", "b").schema)
 
 
+def across(keys, table: pa.Table, similarity: float) -> pa.Table:
+    """(a, b): links between documents of different classes in two blocks of a band, reduced to
+    one for each document (to the smallest it reaches here)."""
+    table = table.sort_by("doc_id")
+    ids, c, block = (table.column(x).to_numpy() for x in ("doc_id", "c", "block"))
+    parts = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("cells").combine_chunks()]
+    size = np.array([len(x) for x in parts])
+    _, at = np.unique(np.concatenate(parts), return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], np.repeat(np.arange(len(parts)), size)[order]
+    common = np.zeros((len(parts), len(parts)), np.float32)
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):
+        x, y = np.searchsorted(at, (lo, lo + COLUMNS))
+        m = np.zeros((len(parts), COLUMNS), np.float32)
+        m[row[x:y], at[x:y] - lo] = 1
+        common += m @ m.T
+    near = np.triu(common >= similarity * (size[:, None] + size[None, :] - common) - 1e-9, 1)
+    a, b = np.nonzero(near)
+    keep = (c[a] != c[b]) & ((block[a] != block[b]) | (keys[1].as_py() == keys[2].as_py()))
+    a, b = a[keep], b[keep]
+    root = np.arange(len(parts))
+    while not (root[a] == root[b]).all():
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while not (root[root] == root).all():
+            root = root[root]
+    some = root != np.arange(len(parts))
+    return pa.table({"a": ids[root[some]], "b": ids[some]})
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, k: int = K, rows: int = ROWS) -> DataFrame:
     """One row for each document: doc_id, class_id (the smallest doc_id of its class), kept
     (doc_id = class_id)."""
@@ -178,9 +215,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     label = found.select(F.col("node").alias("doc_id"), "component")
     marked = shared.select("band", "doc_id").join(label, "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     open_bands = marked.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
-    rest = materialise(marked.join(open_bands, "band"))
-    across = rest.alias("x").join(rest.alias("y"), F.expr("x.band = y.band and x.doc_id < y.doc_id and x.c <> y.c")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = materialise(verified(across, cells, similarity))
+    rest = materialise(marked.join(open_bands, "band").join(cells.select("doc_id", F.octet_length("cells").alias("bytes")), "doc_id"))
+    blocks = rest.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = rest.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).join(cells, "doc_id")
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "c", "block", "cells")
+    more = materialise(dealt.groupBy("band", "i", "j").applyInArrow(lambda k, t: across(k, t, similarity), links.select(F.col("a"), F.col("b")).schema))
     if not more.isEmpty():
         found = materialise(components(links.unionByName(more)))
     label = found.select(F.col("node").alias("rep"), "component")
