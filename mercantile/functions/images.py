@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SIDE, LOW = 32, 8
 
@@ -73,7 +74,7 @@ def phash(grey: np.ndarray) -> int:
     return int(np.packbits(bits).view(">u8")[0].astype(np.int64))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def image_hash(content: pd.Series) -> pd.Series:
     def one(raw):
         try:
