@@ -1,13 +1,15 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are the words of a text and their first 4, 5 and 6 bytes, hashed into 2**20 buckets;
-a document has a term or not. Pairwise factors let two terms count for more (or less)
+a document has a term or not. Further terms say that a bucket makes up at least one in 256, 64
+or 16 of the document's words, as many stems tell only where they are frequent. Pairwise factors let two terms count for more (or less)
 together than apart, as an insult and the mention of a group do.
 
 The model is fitted on a sample of at most ``max_train_rows`` labelled rows, the first by a
 hash of doc_id, so that the fit is bounded whatever the corpus. Rows whose crc32(doc_id as
 text) mod 5 is 0 are never learnt from. Within the sample Spark counts the terms by label
-and keeps the ``max_terms`` most telling ones; the driver gets their ids and the sample's
+and keeps at most the ``max_terms`` most telling ones, and none whose log-likelihood ratio chance
+would bring up among so many terms; the driver gets their ids and the sample's
 few occurrences of them. Every document is scored, from its whole text, in Spark tasks.
 
 Null and empty texts have no terms and get the score of the bias alone. With no labelled
@@ -27,6 +29,8 @@ from .textops import U, Words, lists, map_text, materialise, span_hash
 
 BITS = 20
 STEMS = (4, 5, 6)
+RATES = (256, 64, 16)
+LEVELS = 1 + len(RATES)
 MAX_TRAIN_ROWS = 20_000
 MAX_TERMS = 2048
 FACTORS = 4
@@ -34,10 +38,14 @@ ROUNDS = 150
 
 
 def terms(byte: np.ndarray, off: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(document, bucket) of the distinct terms; only those marked in ``known``, if given."""
+    """(document, term) of the distinct terms; only those marked in ``known``, if given.
+
+    A term is level << BITS | bucket. Level 0 says that the bucket occurs, level i that it
+    makes up at least one in RATES[i - 1] of the words."""
     w = Words(byte, off)
     doc = w.doc()
     size = w.end - w.start
+    base = None if known is None else known.reshape(LEVELS, -1).any(0)
     pairs = []
     for k in (0, *STEMS):
         pick = slice(None) if not k else size > k
@@ -45,12 +53,21 @@ def terms(byte: np.ndarray, off: np.ndarray, known: np.ndarray | None = None) ->
         h = w.hash if not k else span_hash(w.prefix, s, s + k)
         b = ((h ^ U(k * 0x517CC1B727220A95 % (1 << 64))) * U(0x9E3779B97F4A7C15) >> U(64 - BITS)).astype(np.int64)
         d = doc[pick]
-        if known is not None:
-            ok = known[b]
+        if base is not None:
+            ok = base[b]
             b, d = b[ok], d[ok]
         pairs.append(d << BITS | b)
-    pairs = np.unique(np.concatenate(pairs))
-    return pairs >> BITS, pairs & ((1 << BITS) - 1)
+    pairs, count = np.unique(np.concatenate(pairs), return_counts=True)
+    d, b = pairs >> BITS, pairs & ((1 << BITS) - 1)
+    words = np.diff(w.off)[d]
+    dense = [count * rate >= words for rate in RATES]
+    d = np.concatenate([d, *[d[x] for x in dense]])
+    b = np.concatenate([b, *[b[x] | i << BITS for i, x in enumerate(dense, 1)]])
+    if known is not None:
+        ok = known[b]
+        d, b = d[ok], b[ok]
+    order = np.argsort(d, kind="stable")
+    return d[order], b[order]
 
 
 def featurise(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
@@ -71,7 +88,7 @@ class Model:
         self.bias, self.bucket, self.w, self.v = bias, bucket, w, v
 
     def lookup(self) -> np.ndarray:
-        at = np.full(1 << BITS, -1, np.int32)
+        at = np.full(LEVELS << BITS, -1, np.int32)
         at[self.bucket] = np.arange(len(self.bucket))
         return at
 
@@ -112,6 +129,13 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def _surprise(k: F.Column, c: F.Column, p: int, n: int) -> F.Column:
+    """Twice the log-likelihood ratio of k toxic among c documents with a term, p among n in all."""
+    rate = p / n if n else 0.0
+    cells = [(k, c * rate), (c - k, c * (1 - rate)), (p - k, (n - c) * rate), (n - c - p + k, (n - c) * (1 - rate))]
+    return 2 * sum((F.when(seen > 0, seen * F.ln(seen / due)).otherwise(0.0) for seen, due in cells), F.lit(0.0))
+
+
 def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_train_rows: int = MAX_TRAIN_ROWS, max_terms: int = MAX_TERMS) -> Model:
     rows = labels.where(F.col(label).isNotNull() & ~held_out(F.col(doc_id))).groupBy(F.col(doc_id).alias("__id")).agg(F.max(F.col(label)).alias("__y"))
     sample = rows.orderBy(F.xxhash64("__id"), "__id").limit(max_train_rows)
@@ -119,9 +143,9 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     found = materialise(featurise(ids, "__t", ["__id", "__y"]))
     totals = found.agg(F.count("*").alias("n"), F.coalesce(F.sum("__y"), F.lit(0)).alias("p")).first()
     n, p = totals["n"], totals["p"]
-    rate = p / n if n else 0.0
-    counts = found.select("__y", F.explode("terms").alias("b")).groupBy("b").agg(F.count("*").alias("c"), F.sum("__y").alias("k"))
-    telling = counts.where("c >= 2").withColumn("z", F.abs(F.col("k") - F.col("c") * rate) / F.sqrt(F.col("c") * max(rate * (1 - rate), 1e-9))).where("z > 3").orderBy(F.desc("z"), "b").limit(max_terms)
+    counts = materialise(found.select("__y", F.explode("terms").alias("b")).groupBy("b").agg(F.count("*").alias("c"), F.sum("__y").alias("k")).where("c >= 2"))
+    least = 2 * np.log(max(counts.count(), 1))
+    telling = counts.withColumn("g", _surprise(F.col("k"), F.col("c"), p, n)).where(F.col("g") > least).orderBy(F.desc("g"), "b").limit(max_terms)
     bucket = np.array(sorted(r["b"] for r in telling.collect()), np.int64)
     kept = F.array_intersect("terms", F.array(*[F.lit(int(b)) for b in bucket]).cast("array<int>"))
     got = found.select(F.col("__y").cast("double").alias("y"), kept.alias("t")).toArrow()
