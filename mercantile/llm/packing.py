@@ -30,6 +30,8 @@ END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct words whose ids a task keeps; beyond it, it forgets those it did not just use.
 MEMO = 400_000
+#: Words given to the tokenizer at once.
+BLOCK = 4096
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -149,11 +151,13 @@ class Encoder:
         else:
             missing = np.arange(len(distinct))
         if len(missing):
-            got = self.tokenizer.encode_batch_fast([word(i) for i in missing.tolist()], add_special_tokens=False)
-            ids = [e.ids for e in got]
+            # in blocks, as what the tokenizer returns takes far more memory than the ids
+            ids = []
+            for k in range(0, len(missing), BLOCK):
+                ids += self.whole([word(i) for i in missing[k : k + BLOCK].tolist()])
             count = np.array([len(x) for x in ids], np.int64)
             first = len(self.ids) + np.cumsum(count) - count
-            self.ids = np.concatenate([self.ids, np.fromiter((x for y in ids for x in y), np.uint16, int(count.sum()))])
+            self.ids = np.concatenate([self.ids, *ids])
             keys = np.concatenate([self.keys, distinct[missing]])
             order = np.argsort(keys, kind="stable")
             self.keys = keys[order]
@@ -172,7 +176,7 @@ def tokenize(docs: DataFrame, doc_id: str, text: str, path: str) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, before, part = Encoder(path), 0, TaskContext.get().partitionId()
         for batch in batches:
-            for lo, hi, byte, off in chunks(batch.column(1), 4 << 20):
+            for lo, hi, byte, off in chunks(batch.column(1)):
                 ids, n = encoder.encode(byte, off)
                 at = np.concatenate([[0], np.cumsum(n)])
                 raw = ids.astype("<u2").tobytes()

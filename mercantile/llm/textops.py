@@ -1,7 +1,7 @@
 """Vectorised text helpers that run inside Spark tasks, and a few DataFrame helpers.
 
 Texts arrive as Arrow batches. They are viewed as one byte buffer with offsets and worked
-on in chunks of whole documents of a few MB, so that memory stays bounded by the chunk (or
+on in chunks of whole documents of about 1 MB, so that memory stays bounded by the chunk (or
 by one document, where that is longer).
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 
