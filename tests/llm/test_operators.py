@@ -183,6 +183,38 @@ def test_lm_vocabulary_is_bounded(spark, sf_dir):
     assert 0 < len(model.key) <= 1000 and model.outside.min() > 0
 
 
+def test_lm_keeps_rare_words(spark, sf_dir):
+    """Over 4 MB of documents, where rare words and bigrams were dropped, against brute force."""
+    from collections import Counter
+    from math import log
+
+    data = [(r["doc_id"], words(r["text"])) for r in spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.1')}/documents.parquet").select("doc_id", "text").where("doc_id < 4000").collect()]
+    assert sum(len(" ".join(w)) for _, w in data) > 6 << 20
+    from pyspark.sql import functions as F
+
+    src = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.1')}/documents.parquet").where("doc_id < 4000").withColumn("target", F.col("doc_id") % 3 == 0)
+    got = rows(lm_score.lm_scores(src))
+    models = []
+    for own in (lambda i: i % 3 == 0, lambda i: True):
+        one, two = Counter(), Counter()
+        for i, w in data:
+            if own(i):
+                one.update(w)
+                two.update(zip(w, w[1:]))
+        models.append((one, two, sum(one.values())))
+    kinds = len(models[1][0])
+    assert got.keys() == {i for i, _ in data}
+    for i, w in data[::7]:
+        want = []
+        for one, two, n in models:
+            total = 0.0
+            for k, x in enumerate(w):
+                flat = (one[x] + 1) / (n + kinds + 1)
+                total -= log(0.6 * two[w[k - 1], x] / one[w[k - 1]] + 0.4 * flat if k and one[w[k - 1]] else flat)
+            want.append(total / max(1, len(w)))
+        assert got[i]["n_tokens"] == len(w) and np.allclose([got[i]["target_loss"], got[i]["background_loss"]], want)
+
+
 def test_chat(spark, sf_dir):
     got = rows(QUERIES["op7_chat_formatting"](spark, sf_dir), "conv_id")
     odd = r"\### Assistant: </turn> ok"
