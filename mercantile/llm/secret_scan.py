@@ -8,10 +8,11 @@ Two ways find spans (code points, end exclusive) in the whole text:
   the matches, summed in blocks.
 - entropy: candidate strings of 20+ characters of the base64 alphabet slide a window of 20
   characters. Per character class (hex or base64) the window's counts are kept, one character
-  in and one out, and with them the sum of c log c, hence the Shannon entropy. A candidate whose
-  largest entropy reaches its class's threshold is a secret, unless the allow-list (examples,
-  UUIDs, sequences, paths of words) suppresses it. Only candidates with both letters and digits
-  count, so words never do.
+  in and one out, and with them the sum of c log c, hence the Shannon entropy. A candidate with a
+  window whose entropy reaches its class's threshold is a secret. The allow-list suppresses
+  candidates that are UUIDs, names or paths of words as a whole, and windows that touch an example
+  word or a sequence; the rest of such a candidate counts. Only strings with both letters and
+  digits count, so words never do.
 
 Null and empty texts have no spans. Rows are independent; repeated rows repeat results.
 """
@@ -32,13 +33,17 @@ KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 THRESHOLDS = {"hex": 3.0, "base64": 3.9}
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: A word of a name: of one case or capitalised, and capitalised words of 3 or more letters after it.
+NAME = r"(?:[A-Z]{1,15}(?![a-z])|[A-Z]?[a-z]{1,15})(?:[A-Z][a-z]{2,15})*+"
+#: What a whole run may be. Words have at most 15 letters, and digits only at their end, so that
+#: runs without separators, as long as a window, are no paths.
 ALLOWED = (
-    r"(?i)example|sample|dummy|placeholder|changeme|lorem",
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"(?i)0123456789|123456789|abcdefgh",
-    r"^(/?[a-z]+[0-9]{0,4})+(/[a-z]+[0-9]{0,4})*/?$",
-    r"^[A-Za-z]+([_-][A-Za-z]+)*[_-]?[0-9]{1,4}$",
+    r"^/?[a-z]{1,15}[0-9]{0,4}(?:/[a-z]{1,15}[0-9]{0,4})*+/?$",
+    rf"^{NAME}(?:[_-]{NAME})*+[_-]?[0-9]{{1,4}}$",
 )
+#: What no window may touch: the well-known key of manuals, examples, sequences.
+PHRASES = r"(?i)wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY|example|sample|dummy|placeholder|changeme|lorem|0?123456789|abcdefgh"
 SPAN = "struct<start:bigint,stop:bigint,kind:int>"
 
 
@@ -105,14 +110,23 @@ def _entropy(s: Column, window: int = WINDOW) -> Column:
     return F.aggregate(moves, state, step, lambda acc: acc["best"])
 
 
-def _secret(s: Column) -> Column:
-    """Whether a candidate is a secret by its entropy."""
-    digits = s.rlike("[0-9]") & s.rlike("[A-Za-z]")
-    allowed = F.lit(False)
+def _allowed(s: Column) -> Column:
+    found = F.lit(False)
     for pattern in ALLOWED:
-        allowed = allowed | s.rlike(pattern)
+        found = found | s.rlike(pattern)
+    return found
+
+
+def _random(s: Column) -> Column:
+    """Whether a window of a piece reaches its class's entropy."""
     least = F.when(s.rlike("^([0-9a-f]+|[0-9A-F]+)$"), THRESHOLDS["hex"]).otherwise(THRESHOLDS["base64"])
-    return F.when(digits & ~allowed, _entropy(s) >= least).otherwise(F.lit(False))
+    return F.when(s.rlike("[0-9]") & s.rlike("[A-Za-z]") & ~_allowed(s), _entropy(s) >= least).otherwise(F.lit(False))
+
+
+def _secret(s: Column) -> Column:
+    """Whether a candidate is a secret by its entropy: a piece between phrases of the allow-list is."""
+    pieces = F.filter(F.split(s, PHRASES, -1), lambda p: F.length(p) >= WINDOW)
+    return F.when(s.rlike("[0-9]") & s.rlike("[A-Za-z]") & ~_allowed(s), F.exists(pieces, _random)).otherwise(F.lit(False))
 
 
 def scan(docs: DataFrame, text: str = "text", column: str = "spans") -> DataFrame:
