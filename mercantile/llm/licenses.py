@@ -1,11 +1,14 @@
 """License scans by sparse TF-IDF cosine, and inheritance along directories by path joins.
 
-Every line of a text (and every two lines that follow each other, as notices wrap) is a
-candidate statement. Statements and templates are sparse TF-IDF vectors over words; the terms
-and weights come from the templates, a small fixed set, and words unknown to them count into
-the length with the largest weight, so long prose never resembles a notice. The best template
-of cosine 0.7 or more is the document's license; a document is a license file if such
-statements hold most of its words, or by its file name.
+Templates are one-sentence notices, whole headers and whole license files. Texts and templates
+are sparse TF-IDF vectors over words; the terms and weights come from the templates, and words
+unknown to them count with the largest weight, so long prose never resembles a notice. The whole
+text is compared with the license files first. Else, for each template, a window of as many words
+slides by single words over all places that hold a cue, whatever the lines and lengths. A window
+resembles a template from a cosine of 0.7, if it also holds the template's distinguishing terms
+(name and version) and none that tell another license. The best one is the document's license;
+"all rights reserved" counts only where nothing else is found. A document is a license file if
+such windows hold most of its words, or by its file name.
 
 A document without a license of its own inherits that of the nearest directory above it that
 holds a license file: its path's ancestors are joined with the license files' directories, and
@@ -21,7 +24,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -33,24 +38,33 @@ from .textops import map_text, materialise
 
 COSINE = 0.7
 FILE_SHARE = 0.6
-#: Notices by license. Several rows of a license are several templates.
-TEMPLATES: tuple[tuple[str, str], ...] = (
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC0-1.0", "Released under CC0 1.0 Universal, dedicated to the public domain."),
-    ("proprietary", "All rights reserved."),
+#: License, terms that a text must hold, notice. Several rows of a license are several templates.
+TEMPLATES: tuple[tuple[str, str, str], ...] = (
+    ("MIT", "mit license", "Released under the MIT License."),
+    ("MIT", "permission granted", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
+    ("ISC", "permission fee", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Apache-2.0", "apache 2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "apache 2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("Apache-2.0", "apache 2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    *((f"{n}-{v}.0", f"license {v}", f"This work is licensed under the GNU {k}General Public License, version {v}.") for n, k, v in (("GPL", "", 2), ("GPL", "", 3), ("LGPL", "Lesser ", 3), ("AGPL", "Affero ", 3))),
+    ("LGPL-3.0", "license 3", "Licensed under the GNU Lesser General Public License, version 3."),
+    *((f"{n}-{v}", f"license {v.removesuffix('.0')}", f"is free software: you can redistribute it and/or modify it under the terms of the GNU {k}General Public License as published by the Free Software Foundation, either version {v.removesuffix('.0')} of the License, or (at your option) any later version.") for n, k, v in (("GPL", "", "2.0"), ("GPL", "", "3.0"), ("LGPL", "Lesser ", "2.1"), ("LGPL", "Lesser ", "3.0"), ("AGPL", "Affero ", "3.0"))),
+    ("BSD-3-Clause", "redistribution endorse", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-2-Clause", "redistribution disclaimer", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "redistribution", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
+    ("MPL-2.0", "mozilla 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    *((f"CC-{k.upper()}-4.0", "cc 4.0", f"Licensed under CC {k.upper()} 4.0.") for k in ("by", "by-sa", "by-nc", "by-nc-sa", "by-nd")),
+    ("CC0-1.0", "cc0 1.0", "Released under CC0 1.0 Universal, dedicated to the public domain."),
+    ("proprietary", "rights reserved", "All rights reserved."),
 )
+MIT = """MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+#: License, terms, and file of the whole text in license_texts. The first HEAD words are a template of their own.
+FILES = (("Apache-2.0", "apache 2.0", "Apache-2.0"), ("GPL-2.0", "license 2", "GPL-2"), ("GPL-3.0", "license 3", "GPL-3"), ("LGPL-2.1", "lesser 2.1", "LGPL-2.1"), ("LGPL-3.0", "lesser 3", "LGPL-3"), ("MPL-2.0", "mozilla 2.0", "MPL-2.0"), ("CC0-1.0", "universal 1.0", "CC0-1.0"), ("BSD-3-Clause", "redistribution endorse", "BSD"))
+HEAD = 120
+#: The cosine from which a whole text is a license file, without a look at its parts.
+WHOLE = 0.9
+#: Terms that tell another license where a notice's template does not have them.
+OTHERS = frozenset(("lesser", "affero", "library", "nc", "sa", "nd"))
 _WORD = re.compile(r"[0-9a-z]+(?:\.[0-9]+)*")
 #: A line can only resemble a template if it holds one of these.
 _CUE = re.compile(r"licen[sc]e|rights reserved|permission is|redistribution|public domain|creative commons|\bcc0?\b|spdx", re.I)
@@ -58,9 +72,19 @@ _CUE = re.compile(r"licen[sc]e|rights reserved|permission is|redistribution|publ
 
 class Templates:
     def __init__(self, rows=TEMPLATES):
-        docs = [Counter(_WORD.findall(t.lower())) for _, t in rows]
+        top = Path(__file__).parent / "license_texts"
+        full = [("MIT", "permission granted", MIT), *((n, t, (top / f).read_text(errors="replace")) for n, t, f in FILES)]
+        texts = [(n, t, _WORD.findall(x.lower())) for n, t, x in [*rows, *full]]
+        first = len(rows)
+        texts += [(n, t, w[:HEAD]) for n, t, w in texts[first + 1 :]]
+        docs = [Counter(w) for _, _, w in texts]
         seen = Counter(w for d in docs for w in d)
-        self.names = [n for n, _ in rows]
+        self.names = [n for n, _, _ in texts]
+        self.must = [t.split() for _, t, _ in texts]
+        self.size = [len(w) for _, _, w in texts]
+        self.full = range(first, first + len(full))
+        #: Whole files name other licenses; notices and beginnings that do are of those.
+        self.never = [() if k in self.full else [w for w in OTHERS if w not in d] for k, d in enumerate(docs)]
         self.idf = {w: 1 + math.log((1 + len(docs)) / (1 + c)) for w, c in seen.items()}
         self.unknown = 1 + math.log(1 + len(docs))
         self.vectors = [self.vector(d) for d in docs]
@@ -70,31 +94,77 @@ class Templates:
         n = math.sqrt(sum(x * x for x in v.values())) or 1.0
         return {w: x / n for w, x in v.items()}
 
-    def best(self, text: str) -> tuple[float, str]:
-        v = self.vector(Counter(_WORD.findall(text.lower())))
-        scores = [(sum(x * v.get(w, 0.0) for w, x in t.items()), n) for t, n in zip(self.vectors, self.names, strict=True)]
-        return max(scores, key=lambda s: (s[0], s[1]))
+    def fits(self, k: int, count) -> bool:
+        return all(count.get(w) for w in self.must[k]) and not any(count.get(w) for w in self.never[k])
+
+    def whole(self, words: list[str]) -> tuple[float, str]:
+        """The license file that the whole text resembles most."""
+        count = Counter(words)
+        v = self.vector(count)
+        return max(((min(1.0, sum(x * v.get(w, 0.0) for w, x in self.vectors[k].items())), self.names[k]) for k in self.full if self.fits(k, count)), default=(0.0, ""))
+
+    def slide(self, k: int, words: list[str], idf: list[float], first: int, last: int) -> tuple[float, int]:
+        """Best cosine, and where, of the windows of template k that start from ``first`` to ``last``."""
+        size, vector, count = min(self.size[k], len(words)), self.vectors[k], {}
+        square = dot = 0.0
+        best = (0.0, -1)
+
+        def turn(i: int, by: int) -> None:
+            nonlocal square, dot
+            w = words[i]
+            c = count.get(w, 0)
+            was = (1 + math.log(c)) * idf[i] if c else 0.0
+            count[w] = c = c + by
+            now = (1 + math.log(c)) * idf[i] if c else 0.0
+            square += now * now - was * was
+            if t := vector.get(w):
+                dot += t * (now - was)
+
+        for i in range(first, first + size):
+            turn(i, 1)
+        for at in range(first, last + 1):
+            if at > first:
+                turn(at - 1, -1)
+                turn(at + size - 1, 1)
+            if dot > 0 and (cosine := dot / math.sqrt(square)) >= COSINE and cosine > best[0] + 1e-9 and self.fits(k, count):
+                best = (min(1.0, cosine), at)
+        return best
 
 
 def own_license(text: str, templates: Templates) -> tuple[str | None, float, float]:
     """License, cosine, and the share of the words that stand in license statements."""
     if not _CUE.search(text):
         return None, 0.0, 0.0
-    lines = text.split("\n")
-    best, held = (0.0, ""), set()
-    for i, line in enumerate(lines):
-        for last in (i, i + 1):
-            if last < len(lines) and (last == i or lines[last].strip()):
-                part = line if last == i else f"{line}\n{lines[last]}"
-                if len(part) < 2000 and _CUE.search(part):
-                    got = templates.best(part)
-                    if got[0] >= COSINE:
-                        held |= {i, last}
-                        best = max(best, got)
-    if not held:
+    text = text.lower()
+    found = [(m.start(), m[0]) for m in _WORD.finditer(text)]
+    starts, words = [a for a, _ in found], [w for _, w in found]
+    if not words:
         return None, 0.0, 0.0
-    count = [len(x.split()) for x in lines]
-    return best[1], best[0], sum(count[i] for i in held) / max(1, sum(count))
+    cosine, name = templates.whole(words)
+    if cosine >= WHOLE:
+        return name, cosine, 1.0
+    hits = [(cosine, name)] if cosine >= COSINE else []
+    held = np.full(len(words), bool(hits))
+    idf = [templates.idf.get(w, templates.unknown) for w in words]
+    cues = sorted({max(0, bisect_right(starts, m.start()) - 1) for m in _CUE.finditer(text)})
+    for k, name in enumerate(templates.names):
+        size = min(templates.size[k], len(words))
+        ranges: list[list[int]] = []
+        for c in cues:
+            a, b = max(0, c - size + 1), min(c, len(words) - size)
+            if ranges and a <= ranges[-1][1] + 1:
+                ranges[-1][1] = max(b, ranges[-1][1])
+            else:
+                ranges.append([a, b])
+        for a, b in ranges:
+            cosine, at = templates.slide(k, words, idf, a, b)
+            if at >= 0:
+                hits.append((cosine, name))
+                held[at : at + size] = True
+    if not hits:
+        return None, 0.0, 0.0
+    cosine, name = max(hits, key=lambda h: (h[1] != "proprietary", round(h[0], 9), h[1]))
+    return name, cosine, float(held.mean())
 
 
 OUT = T.StructType([T.StructField("own_license", T.StringType()), T.StructField("cosine", T.DoubleType()), T.StructField("share", T.DoubleType())])

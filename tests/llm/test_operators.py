@@ -164,6 +164,19 @@ def test_licenses(spark):
     assert got == {"a/LICENSE": ("MIT", "own", None), "a/b/x.py": ("Apache-2.0", "inherited", "a/b"), "a/b/COPYING": ("Apache-2.0", "own", None), "a/b/c/y.py": ("Apache-2.0", "inherited", "a/b"), "z.py": (None, None, None), None: (None, None, None), "a/k.py": ("MIT", "inherited", "a"), "q/w.txt": ("proprietary", "own", None)}
 
 
+def test_license_headers_and_files():
+    from pathlib import Path
+
+    own, top = licenses.Templates(), Path(licenses.__file__).parent / "license_texts"
+    prose = "some words of plain prose stand before the notice on the very same line and they go on for a while "
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    cases = [(name, (top / file).read_text()) for name, _, file in licenses.FILES]
+    cases += [(name, (top / file).read_text()[:1500]) for name, _, file in licenses.FILES if file in ("Apache-2.0", "GPL-3", "GPL-2")]
+    cases += [("GPL-2.0", gpl.format(2)), ("GPL-3.0", gpl.format(3)), ("GPL-2.0", "# " + gpl.format(2).replace(" the ", "\n# the ")), ("MIT", "Copyright (c) 2021 A B\n\n" + licenses.MIT)]
+    cases += [("proprietary", "Copyright (c) 2021 Acme Corporation. All rights reserved."), ("MIT", prose + "Released under the MIT License."), ("Apache-2.0", prose * 30 + "Licensed under the Apache License, Version 2.0." + prose), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), (None, prose + "a driving license is needed"), ("MIT", "All rights reserved. Released under the MIT License.")]
+    assert [(n, t[:40], licenses.own_license(t, own)) for n, t in cases if licenses.own_license(t, own)[0] != n] == []
+
+
 def test_lm(spark):
     from collections import Counter
     from math import log
