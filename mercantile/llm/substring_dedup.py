@@ -4,21 +4,27 @@ A byte goes if it is covered by a string of ``LENGTH`` bytes that also starts ea
 document of a smaller id, or earlier in the same one). Shuffling all suffixes of a corpus
 would multiply it, so the work is narrowed first without losing any repeat:
 
-1. Anchors: of the 32-byte strings within each ``LENGTH``-byte window, those of the least hash
-   are anchors, so equal windows hold equal anchors at equal places. About one position in 35
-   is one. The context of an anchor is all bytes of all windows that hold it.
+1. Anchors: every ``LENGTH``-byte window chooses, of the 32-byte strings in it, the one of the
+   least hash (the first of equals) as its anchor, so equal windows choose equal anchors at equal
+   places. About one position in 35 is one. The context of an anchor is all bytes of the windows
+   that chose it, so each window belongs to one context.
 2. Anchors meet by hash. Of equal contexts the first stays, and the others are repeats whole.
    Contexts of one anchor that differ are candidates. Tasks reduce equal contexts before the
    shuffle, and an anchor with many contexts in one task is declared hot.
 3. Candidates' bytes are cut from the documents and dealt to shards by anchor. Each shard makes
    its suffix array by induced sorting and the permuted common prefixes, and marks every
    ``LENGTH``-byte string but the first of equal ones. Strings of hot anchors are keyed one by
-   one instead, reduced within tasks, so that no task gathers all contexts of a hot anchor.
-4. The marked intervals are joined to the documents by id.
+   one instead (two 64-bit hashes), reduced within tasks, so that no task gathers all contexts of
+   a hot anchor.
+4. The marked intervals are joined to the documents by id. Cutting and marking read the same
+   shuffled texts, which are sent once.
 
 Texts are UTF-8 bytes; null counts as empty. doc_id tells documents apart; rows that repeat a
-doc_id must repeat its text, and give equal results. A null doc_id neither removes nor loses
-bytes. Texts shorter than ``LENGTH`` keep all bytes.
+doc_id must repeat its text, and give equal results (with other texts under one id, which bytes
+count as earlier is not defined, but no row is lost). A null doc_id neither removes nor loses
+bytes. Texts shorter than ``LENGTH`` keep all bytes, very long ones are worked on whole by one
+task (up to 2 GiB, what a Spark string holds). Ties do not arise: places are distinct. An empty
+table gives no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .suffix_array import permuted_prefixes, suffix_array
-from .textops import BYTE_VALUES, U, chunks, materialise, mix, prefix_hash, span_hash
+from .textops import BYTE_VALUES, U, buffers, chunks, materialise, mix, prefix_hash, span_hash
 
 LENGTH = 100
 GRAM = 32
@@ -40,13 +46,23 @@ GRAM = 32
 FLUSH = 1 << 20
 #: Different contexts of an anchor in one flush, or in one shard, that make it hot.
 HOT_FLUSH, HOT = 64, 1024
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 
 # kinds of rows
 ANCHOR, REPEAT, HOT_ANCHOR, HOT_MARK = 0, 1, 2, 3
 SHARD, SINGLE = 4, 5
-NAMES = ["key", "kind", "ctx", "doc_id", "start", "stop", "at"]
-FIELDS = "key long, kind byte, ctx long, doc_id long, start int, stop int, at int"
+#: ``span`` is the first byte << 32 | the number of bytes.
+NAMES = ["key", "kind", "ctx", "doc_id", "span"]
+FIELDS = "key long, kind byte, ctx long, doc_id long, span long"
+
+
+def spans(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    return start.astype(np.int64) << 32 | (stop.astype(np.int64) - start)
+
+
+def bounds(span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start = span >> 32
+    return start, start + (span & 0xFFFFFFFF)
 
 
 def slide(x: np.ndarray, n: int, op: np.ufunc) -> np.ndarray:
@@ -59,36 +75,29 @@ def slide(x: np.ndarray, n: int, op: np.ufunc) -> np.ndarray:
 
 
 def anchors(byte: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Positions and hashes of the anchors, hashes and bounds of their contexts, and documents."""
+    """Hashes of the anchors, hashes and bounds of their contexts, and documents."""
     n, w = len(byte), length - gram + 1
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none.view(U), none.view(U), none, none, none
+        return none.view(U), none.view(U), none, none, none
     prefix = prefix_hash(BYTE_VALUES[byte])
     at = np.arange(n - gram + 1)
     h = span_hash(prefix, at, at + gram)
-    short = (h >> U(32)).astype(np.uint32)
-    low = slide(short, w, np.minimum)
-    size = np.diff(off)
-    within = np.zeros(n, bool)  # starts of windows that end in their document
+    # the least hash of each window, and its first place
+    chosen = slide(h & ~U(0xFFFFFFFF) | at.astype(U), w, np.minimum) & U(0xFFFFFFFF)
     edge = np.zeros(n + 1, np.int8)
-    big = size >= length
+    big = np.diff(off) >= length
     np.add.at(edge, off[:-1][big], 1)
     np.add.at(edge, off[1:][big] - length + 1, -1)
-    within = np.cumsum(edge[:-1], dtype=np.int8) > 0
-    least = np.zeros(n - gram + 1 + w - 1, np.uint32)
-    held = np.zeros(len(least), bool)
-    ok = within[: len(low)]
-    least[w - 1 : w - 1 + len(low)] = np.where(ok, low, 0)
-    held[w - 1 : w - 1 + len(low)] = ok
-    most = slide(least, w, np.maximum)
-    any_window = slide(held.view(np.uint8), w, np.maximum).astype(bool)
-    a = np.flatnonzero((most == short) & any_window)
-    doc = np.searchsorted(off, a, "right") - 1
-    lo = np.maximum(off[doc], a - (length - gram))
-    hi = np.minimum(off[doc + 1], a + length)
+    window = np.flatnonzero(np.cumsum(edge[: len(chosen)], dtype=np.int8) > 0)  # ends in its document
+    if not len(window):
+        return none.view(U), none.view(U), none, none, none
+    chosen = chosen[window].astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
+    a, lo = chosen[first], window[first]
+    hi = window[np.append(first[1:], len(window)) - 1] + length
     ctx = span_hash(prefix, lo, hi) ^ mix((a - lo).astype(U) + U(1))
-    return a, h[a], ctx, lo, hi, doc
+    return h[a], ctx, lo, hi, np.searchsorted(off, a, "right") - 1
 
 
 def merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
@@ -102,14 +111,23 @@ def merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[np.ndar
     first = np.flatnonzero(new)
     stop = (far[np.concatenate([first[1:], [len(doc)]]) - 1] & ((1 << 34) - 1)) if len(doc) else stop
     doc, start = doc[first], start[first]
-    z = np.zeros(len(doc), np.int64)
     key = mix(doc.astype(np.int64).view(U) * U(31) + start.view(U)).view(np.int64)
-    return [key, np.full(len(doc), REPEAT, np.int8), z, doc, start.astype(np.int32), stop.astype(np.int32), start.astype(np.int32)]
+    return [key, np.full(len(doc), REPEAT, np.int8), np.zeros(len(doc), np.int64), doc, spans(start, stop)]
+
+
+def firsts(key: np.ndarray, ctx: np.ndarray, doc: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by key, context and place: which are first, and which are later repeats
+    (not the same place again)."""
+    if not len(key):
+        return np.zeros(0, bool), np.zeros(0, bool)
+    fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1])])
+    lead = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
+    return fresh, ~fresh & ((doc != doc[lead]) | (span != span[lead]))
 
 
 class Sender:
-    """Gathers rows, reduces those of equal key and context to the first, and sends them. Rows
-    that are no first become repeats, which are dealt out evenly."""
+    """Gathers rows (key, context, document, span), reduces those of equal key and context to the
+    first, and sends them. Rows that are no first become repeats, which are dealt out evenly."""
 
     def __init__(self, hot: int | None):
         self.parts: list[list[np.ndarray]] = []
@@ -124,28 +142,24 @@ class Sender:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.size:
             return
-        key, ctx, doc, start, stop, at = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        key, ctx, doc, span = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts, self.size = [], 0
-        order = np.lexsort((at, doc, ctx, key))
-        key, ctx, doc, start, stop, at = (x[order] for x in (key, ctx, doc, start, stop, at))
-        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1])])
-        lead = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
-        kind = np.where(fresh, ANCHOR, REPEAT).astype(np.int8)
-        again = ~fresh & (doc == doc[lead]) & (at == at[lead])  # a repeated row
+        order = np.lexsort((span, doc, ctx, key))
+        key, ctx, doc, span = (x[order] for x in (key, ctx, doc, span))
+        fresh, again = firsts(key, ctx, doc, span)
+        repeats = merged(doc[again], *bounds(span[again]))
+        key, ctx, doc, span = (x[fresh] for x in (key, ctx, doc, span))
+        kind = np.full(len(key), ANCHOR, np.int8)
         marks = key[:0]
         if self.hot:
-            own, many = np.unique(key[fresh], return_counts=True)
+            own, many = np.unique(key, return_counts=True)
             marks = own[many >= self.hot]
             if len(marks):
-                kind[fresh & np.isin(key, marks)] = HOT_ANCHOR
-        repeats = merged(doc[(kind == REPEAT) & ~again], start[(kind == REPEAT) & ~again], stop[(kind == REPEAT) & ~again])
+                kind[np.isin(key, marks)] = HOT_ANCHOR
         key = np.where(kind == HOT_ANCHOR, mix(key.view(U) ^ mix(ctx.view(U))).view(np.int64), key)
-        keep = ~again & (kind != REPEAT)
-        cols = [key[keep], kind[keep], ctx[keep], doc[keep], start[keep].astype(np.int32), stop[keep].astype(np.int32), at[keep].astype(np.int32)]
-        if len(marks):
-            z = np.zeros(len(marks), np.int64)
-            cols = [np.concatenate([c, m.astype(c.dtype)]) for c, m in zip(cols, (marks, z + HOT_MARK, z, z, z, z, z), strict=True)]
-        for part in (cols, repeats):
+        z = np.zeros(len(marks), np.int64)
+        told = [marks, np.full(len(marks), HOT_MARK, np.int8), z, z, z]
+        for part in ([key, kind, ctx, doc, span], told, repeats):
             for i in range(0, len(part[0]), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in part], names=NAMES)
 
@@ -156,15 +170,14 @@ def find_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi, byte, off in chunks(batch.column(1)):
-                a, h, ctx, begin, end, doc = anchors(byte, off, length, gram)
+                h, ctx, begin, end, doc = anchors(byte, off, length, gram)
                 top = off[doc]
-                yield from out.add(h.view(np.int64), ctx.view(np.int64), ids[lo:hi][doc], begin - top, end - top, a - top)
+                yield from out.add(h.view(np.int64), ctx.view(np.int64), ids[lo:hi][doc], spans(begin - top, end - top))
         yield from out.flush()
 
     return docs.mapInArrow(run, FIELDS)
 
 
-
 def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Tables of whole keys from batches sorted by key."""
     held: list[pa.RecordBatch] = []
@@ -182,13 +195,6 @@ def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def firsts(key: np.ndarray, ctx: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows sorted by key, context and place: which are first, and which are later repeats."""
-    fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1])])
-    lead = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
-    return fresh, ~fresh & ((doc != doc[lead]) | (at != at[lead]))
-
-
 def meet(rows: DataFrame) -> DataFrame:
     """Repeats pass; of equal contexts all but the first become repeats; the first ones become
     candidates, to be compared in shards (SHARD) or string by string (SINGLE), if their anchor
@@ -196,67 +202,68 @@ def meet(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_key(batches):
-            key, kind, ctx, doc, start, stop, at = (table.column(i).to_numpy() for i in range(7))
+            key, kind, ctx, doc, span = (table.column(i).to_numpy() for i in range(len(NAMES)))
             mark = kind == HOT_MARK
             marked = np.isin(key, np.unique(key[mark])) if mark.any() else mark
-            live = (kind == ANCHOR) | (kind == HOT_ANCHOR)
             passed = kind == REPEAT
-            k, kd, c, d, a, b, p, m = (x[live] for x in (key, kind, ctx, doc, start, stop, at, marked))
-            fresh, again = firsts(k, c, d, p) if len(k) else (live[:0], live[:0])
+            live = ~mark & ~passed
+            k, kd, c, d, p, m = (x[live] for x in (key, kind, ctx, doc, span, marked))
+            fresh, again = firsts(k, c, d, p)
             uniq, gid = np.unique(k, return_inverse=True)
             many = np.bincount(gid[fresh], minlength=len(uniq))[gid] if len(k) else gid
             single = fresh & ((kd == HOT_ANCHOR) | m | (many > HOT))
             shard = fresh & ~single & (many > 1)
-            parts = [merged(np.concatenate([doc[passed], d[again]]), np.concatenate([start[passed], a[again]]), np.concatenate([stop[passed], b[again]]))]
+            parts = [merged(np.concatenate([doc[passed], d[again]]), *bounds(np.concatenate([span[passed], p[again]])))]
             for which, name in ((single, SINGLE), (shard, SHARD)):
-                parts.append([k[which], np.full(int(which.sum()), name, np.int8), c[which], d[which], a[which], b[which], p[which]])
+                parts.append([k[which], np.full(int(which.sum()), name, np.int8), c[which], d[which], p[which]])
             for part in parts:
                 if len(part[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in part], names=NAMES)
 
-    return rows.repartition("key").sortWithinPartitions("key", "ctx", "doc_id", "at").mapInArrow(run, FIELDS)
+    return rows.repartition("key").sortWithinPartitions("key", "ctx", "doc_id", "span").mapInArrow(run, FIELDS)
 
 
 def cut(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of SHARD candidates, and a row for each string of SINGLE ones."""
-    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "kind", "start", "stop")).alias("asked"))
-    both = docs.join(asked.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "asked")
+    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "kind", "span")).alias("asked"))
+    # a left join, so that the shuffled texts are the same ones as those of the last step
+    both = docs.join(asked.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "asked")
     other = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
+    names = [*NAMES, "bytes"]
+
+    def single(batch: pa.RecordBatch) -> pa.RecordBatch:
+        kind = batch.column(1).to_numpy()
+        kind = pa.array(np.where(kind == REPEAT, REPEAT, SINGLE).astype(np.int8))
+        return pa.RecordBatch.from_arrays([batch.column(0), kind, *batch.columns[2:], pa.nulls(len(batch), pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Sender(None)
-
-        def single(batch: pa.RecordBatch) -> pa.RecordBatch:
-            kind = batch.column(1).to_numpy()
-            kind = pa.array(np.where(kind == REPEAT, REPEAT, SINGLE).astype(np.int8))
-            return pa.RecordBatch.from_arrays([batch.column(0), kind, *batch.columns[2:], pa.nulls(len(batch), pa.binary())], names=[*NAMES, "bytes"])
-
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            batch = batch.filter(batch.column(2).is_valid())
+            if not len(batch):
+                continue
             asked = batch.column(2)
-            flat, bounds = asked.flatten(), asked.offsets.to_numpy() - asked.offsets[0].as_py()
-            key, kind, start, stop = (flat.field(i).to_numpy() for i in range(4))
-            rows: list[list] = [[], [], [], [], []]
-            for i in range(len(batch)):
-                own = slice(bounds[i], bounds[i + 1])
-                text = batch.column(1)[i].as_buffer()
-                view = memoryview(text)
-                if (kind[own] == SINGLE).any():
-                    byte = np.frombuffer(text, np.uint8)
-                    p, q = prefix_hash(BYTE_VALUES[byte]), prefix_hash(other[byte])
-                    pick = kind[own] == SINGLE
-                    here = np.unique(np.concatenate([np.arange(a, b - length + 1) for a, b in zip(start[own][pick], stop[own][pick], strict=True)]))
-                    doc = np.full(len(here), ids[i])
-                    for x in out.add(span_hash(p, here, here + length).view(np.int64), span_hash(q, here, here + length).view(np.int64), doc, here, here + length, here):
-                        yield single(x)
-                for j in np.flatnonzero(kind[own] == SHARD).tolist():
-                    a, b = int(start[own][j]), int(stop[own][j])
-                    for col, v in zip(rows, (key[own][j], ids[i], a, b, bytes(view[a:b])), strict=True):
-                        col.append(v)
-            if rows[0]:
-                n = len(rows[0])
-                at = pa.array(np.array(rows[2], np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(rows[0], np.int64)), pa.array(np.full(n, SHARD, np.int8)), pa.array(np.zeros(n, np.int64)), pa.array(np.array(rows[1], np.int64)), at, pa.array(np.array(rows[3], np.int32)), at, pa.array(rows[4], pa.binary())], names=[*NAMES, "bytes"])
+            flat, of = asked.flatten(), asked.offsets.to_numpy() - asked.offsets[0].as_py()
+            key, kind, span = (flat.field(i).to_numpy() for i in range(3))
+            doc = np.repeat(batch.column(0).to_numpy(), np.diff(of))
+            start, stop = bounds(span)
+            pick = kind == SINGLE
+            for i in np.unique(np.searchsorted(of, np.flatnonzero(pick), "right") - 1).tolist():
+                own = np.flatnonzero(pick[of[i] : of[i + 1]]) + of[i]
+                byte = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint8)
+                p, q = prefix_hash(BYTE_VALUES[byte]), prefix_hash(other[byte])
+                here = np.unique(np.concatenate([np.arange(a, b - length + 1) for a, b in zip(start[own], stop[own], strict=True)]))
+                hashes = (span_hash(x, here, here + length).view(np.int64) for x in (p, q))
+                for x in out.add(*hashes, np.full(len(here), doc[own[0]]), spans(here, here + length)):
+                    yield single(x)
+            text, off = buffers(batch.column(1))
+            pick = np.flatnonzero(kind == SHARD)
+            top = np.repeat(off[:-1], np.diff(of))[pick]
+            view = memoryview(text)
+            pieces = pa.array([view[a:b] for a, b in zip((top + start[pick]).tolist(), (top + stop[pick]).tolist(), strict=True)], pa.binary())
+            if len(pick):
+                z = np.zeros(len(pick), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key[pick]), pa.array(kind[pick]), pa.array(z), pa.array(doc[pick]), pa.array(span[pick]), pieces], names=names)
         for x in out.flush():
             yield single(x)
 
@@ -269,13 +276,12 @@ def shard_repeats(doc: np.ndarray, start: np.ndarray, pieces: list[bytes], lengt
     size = np.array([len(x) for x in pieces])
     at = np.concatenate([[0], np.cumsum(size + 1)])
     t = np.ones(at[-1] + 1, np.uint16)  # 1 between the pieces, 0 at the end
-    own = np.repeat(np.arange(len(pieces)), size)
-    pos = np.arange(len(raw)) + own
+    pos = np.arange(len(raw)) + np.repeat(np.arange(len(pieces)), size)
     t[pos] = np.frombuffer(raw, np.uint8).astype(np.uint16) + 2
     t[-1] = 0
-    sa = suffix_array(t, 258)
-    shared = permuted_prefixes(t, sa, length)
-    piece = np.searchsorted(at, sa, "right") - 1
+    sa = suffix_array(t, 258, first=2)
+    shared = permuted_prefixes(t, sa, length, first=2)
+    piece = np.repeat(np.arange(len(pieces) + 1), np.append(size + 1, 1))[sa]
     piece = np.minimum(piece, len(pieces) - 1)
     offset = sa - at[piece]
     full = size[piece] - offset >= length
@@ -286,43 +292,37 @@ def shard_repeats(doc: np.ndarray, start: np.ndarray, pieces: list[bytes], lengt
     run, d, s = run[live], doc[piece[live]], start[piece[live]] + offset[live]
     order = np.lexsort((s, d, run))
     run, d, s = run[order], d[order], s[order]
-    _, again = firsts(run, np.zeros(len(run), np.int64), d, s) if len(run) else (run, run.astype(bool))
+    _, again = firsts(run, np.zeros(len(run), np.int64), d, s)
     return merged(d[again], s[again], s[again] + length)
 
 
 def settle(rows: DataFrame, length: int) -> DataFrame:
-    """Repeats (doc_id, start, stop) from what ``cut`` gives."""
+    """Repeats (doc_id, span) from what ``cut`` gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def send(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             if len(part[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(part[i]) for i in (3, 4, 5)], names=["doc_id", "start", "stop"])
+                yield pa.RecordBatch.from_arrays([pa.array(part[i]) for i in (3, 4)], names=["doc_id", "span"])
 
         pieces: list[bytes] = []
         doc: list[np.ndarray] = []
         start: list[np.ndarray] = []
         held = 0
         for table in by_key(batches):
-            kind = table.column(1).to_numpy()
-            d, a, b, p = (table.column(i).to_numpy() for i in (3, 4, 5, 6))
-            passed = kind == REPEAT
-            one = np.flatnonzero(kind == SINGLE)
-            if len(one):
-                key, ctx = table.column(0).to_numpy()[one], table.column(2).to_numpy()[one]
-                _, again = firsts(key, ctx, d[one], p[one])
-                again = one[again]
-            else:
-                again = one
-            yield from send(merged(np.concatenate([d[passed], d[again]]), np.concatenate([a[passed], a[again]]), np.concatenate([b[passed], b[again]])))
+            key, kind, ctx, d, span = (table.column(i).to_numpy() for i in range(len(NAMES)))
+            passed, one = kind == REPEAT, np.flatnonzero(kind == SINGLE)
+            _, again = firsts(key[one], ctx[one], d[one], span[one])
+            again = one[again]
+            yield from send(merged(np.concatenate([d[passed], d[again]]), *bounds(np.concatenate([span[passed], span[again]]))))
             # a table holds whole keys, in order; shards end between keys
             own = np.flatnonzero(kind == SHARD)
-            key = table.column(0).to_numpy()[own]
-            blobs = table.column(7).combine_chunks().take(pa.array(own)).to_pylist()
-            bounds = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(own) else np.zeros(1, np.int64)
-            for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            key = key[own]
+            blobs = table.column(len(NAMES)).combine_chunks().take(pa.array(own)).to_pylist()
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(own) else np.zeros(1, np.int64)
+            for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 pieces += blobs[x:y]
                 doc.append(d[own[x:y]])
-                start.append(a[own[x:y]].astype(np.int64))
+                start.append(span[own[x:y]] >> 32)
                 held += sum(map(len, blobs[x:y]))
                 if held >= SHARD_BYTES:
                     yield from send(shard_repeats(np.concatenate(doc), np.concatenate(start), pieces, length))
@@ -330,32 +330,25 @@ def settle(rows: DataFrame, length: int) -> DataFrame:
         if pieces:
             yield from send(shard_repeats(np.concatenate(doc), np.concatenate(start), pieces, length))
 
-    return rows.repartition("key").sortWithinPartitions("key", "ctx", "doc_id", "at").mapInArrow(run, "doc_id long, start int, stop int")
+    return rows.repartition("key").sortWithinPartitions("key", "ctx", "doc_id", "span").mapInArrow(run, "doc_id long, span long")
 
 
-def repeated_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """One row for each document: doc_id, n_bytes, n_removed, spans (flat starts and ends of the
-    removed runs of bytes), kept_sha256."""
-    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    found = materialise(meet(find_anchors(docs.where("doc_id is not null"), length, gram)))
-    more = settle(cut(docs, found.where(F.col("kind").isin(SHARD, SINGLE)), length), length)
-    spans = found.where(F.col("kind") == REPEAT).select("doc_id", "start", "stop").unionByName(more)
-    by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    both = docs.join(by_doc.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>")).alias("spans"))
+def kept_bytes(docs: DataFrame) -> DataFrame:
+    """What stays of the texts of ``docs`` (doc_id, text, spans) without their spans."""
     names = ["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, bounds = batch.column(2).flatten(), batch.column(2).offsets.to_numpy() - batch.column(2).offsets[0].as_py()
-            start, stop = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+            at = batch.column(2).offsets.to_numpy() - batch.column(2).offsets[0].as_py()
+            start, stop = bounds(batch.column(2).flatten().to_numpy())
             cols: list[list] = [[], [], [], []]
             for i in range(len(batch)):
                 text = batch.column(1)[i].as_buffer()
-                a, b = start[bounds[i] : bounds[i + 1]], stop[bounds[i] : bounds[i + 1]]
+                a, b = start[at[i] : at[i + 1]], stop[at[i] : at[i + 1]]
                 n, runs, gone, digest = len(text), [], 0, hashlib.sha256()
                 view, last = memoryview(text), 0
                 if len(a):
-                    _, _, _, _, s, e, _ = merged(np.zeros(len(a), np.int64), a, b)
+                    s, e = bounds(merged(np.zeros(len(a), np.int64), a, b)[-1])
                     for x, y in zip(s.tolist(), e.tolist(), strict=True):
                         digest.update(view[last:x])
                         runs += [x, y]
@@ -366,7 +359,21 @@ def repeated_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
                     col.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3])], names=names)
 
-    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<long>, kept_sha256 string")
+    return docs.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<long>, kept_sha256 string")
+
+
+def repeated_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """One row for each document: doc_id, n_bytes, n_removed, spans (flat starts and ends of the
+    removed runs of bytes), kept_sha256."""
+    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    known = docs.where("doc_id is not null")
+    none = F.array().cast("array<bigint>")
+    found = materialise(meet(find_anchors(known, length, gram)))
+    more = settle(cut(known, found.where(F.col("kind").isin(SHARD, SINGLE)), length), length)
+    repeats = found.where(F.col("kind") == REPEAT).select("doc_id", "span").unionByName(more)
+    by_doc = repeats.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
+    both = known.join(by_doc.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", F.coalesce("spans", none).alias("spans"))
+    return kept_bytes(both.unionByName(docs.where("doc_id is null").select("doc_id", "text", none.alias("spans"))))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 
 from mercantile.llm import chat, decontam, embed_dedup, licenses, lm_score, minhash, packing, secret_scan, substring_dedup, toxicity
 from mercantile.llm.queries import QUERIES
-from mercantile.llm.suffix_array import suffix_array
+from mercantile.llm.suffix_array import permuted_prefixes, suffix_array
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 ODD = [(1, None), (2, ""), (3, "one two"), (4, "same words here again now and then"), (4, "same words here again now and then"), (5, "x" * 300 + " " + "ab1 " * 5000), (6, "héllo wörld ünd só"), (None, "no id at all")]
@@ -297,6 +297,23 @@ def test_encoder_equals_tokenizer():
     assert n.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
 
 
+def test_encoder_tells_words_of_one_hash_apart():
+    """Thue-Morse words of equal hash, in one chunk and from the memo; other vocabularies go whole."""
+    a = "a"
+    while len(a) < 4096:
+        a += a.translate({97: 98, 98: 97})
+    texts = [a, a.translate({97: 98, 98: 97}), "plain words"]
+    own = packing.Encoder(packing.vocabulary_path())
+    want = [[*own.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    for part in ([0, 1, 2], [0], [1], [2, 0]):
+        raw = [texts[i].encode() for i in part]
+        ids, n = own.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+        assert ids.tolist() == [x for i in part for x in want[i]] and n.tolist() == [len(want[i]) for i in part]
+    own.known = False
+    ids, n = own.encode(np.frombuffer(raw[0], np.uint8), np.array([0, len(raw[0])]))
+    assert ids.tolist() == want[2]
+
+
 def cells(text):
     w = words(text)
     n = min(5, len(w))
@@ -371,9 +388,31 @@ def test_odd_substrings(spark, monkeypatch, hot):
 
 def test_suffix_array():
     rng = np.random.default_rng(2)
-    for n, k in ((1, 1), (30, 2), (400, 3), (300, 200)):
-        t = np.concatenate([rng.integers(1, k + 1, n), [0]]).astype(np.uint16)
-        assert suffix_array(t, k + 1).tolist() == sorted(range(n + 1), key=lambda i: t[i:].tolist())
+    strings = [rng.integers(1, k + 1, n) for n, k in ((1, 1), (30, 2), (400, 3), (300, 200), (3000, 2), (500, 2000))]
+    strings += [np.tile(rng.integers(1, 4, 7), 60), np.repeat(rng.integers(1, 5, 40), rng.integers(1, 40, 40)), np.tile(np.repeat([3, 1, 2], [300, 280, 1]), 4)]
+    for x in strings:
+        t = np.concatenate([x, [0]]).astype(np.uint16)
+        sa = suffix_array(t, int(t.max()) + 1)
+        assert sa.tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+        for cap, first in ((100, 1), (5, 2)):
+            shared = permuted_prefixes(t, sa, cap, first)
+            for i, j in zip(sa[1:].tolist(), sa[:-1].tolist(), strict=True):
+                k = 0
+                while k < cap and max(i, j) + k < len(t) and t[i + k] == t[j + k] and t[i + k] >= first:
+                    k += 1
+                assert shared[i] == k
+
+
+def test_suffix_array_of_a_long_run():
+    """A megabyte of one byte, and of a period, without a round for each byte."""
+    for x in (np.full(1 << 20, 7), np.tile([5, 6, 5, 7], 1 << 16)):
+        t = np.concatenate([x, [0]]).astype(np.uint16)
+        sa = suffix_array(t, 258)
+        assert np.array_equal(np.sort(sa), np.arange(len(t))) and (t[sa][1:] >= t[sa][:-1]).all()
+        rank = np.empty(len(t), np.int64)
+        rank[sa] = np.arange(len(t))
+        a, b = sa[1:-1], sa[2:]
+        assert ((t[a] < t[b]) | (rank[a + 1] < rank[np.minimum(b + 1, len(t) - 1)])).all()
 
 
 def test_odd_rows(spark, sf_dir, odd):
