@@ -7,19 +7,24 @@ Two ways find spans (code points, end exclusive) in the whole text:
   ``hex`` (24+ lower-case hex digits). Positions come from the lengths of the pieces between
   the matches, summed in blocks.
 - entropy: candidate strings of 20+ characters of the base64 alphabet slide a window of 20
-  characters. Per character class (hex or base64) the window's counts are kept, one character
-  in and one out, and with them the sum of c log c, hence the Shannon entropy. A candidate with a
-  window whose entropy reaches its class's threshold is a secret. The allow-list suppresses
-  candidates that are UUIDs, names or paths of words as a whole, and windows that touch an example
-  word or a sequence; the rest of such a candidate counts. Only strings with both letters and
-  digits count, so words never do.
-
-Null and empty texts have no spans. Rows are independent; repeated rows repeat results.
+  characters. The window's counts of characters are kept, one character in and one out, and with
+  them the sum of c log c, hence the Shannon entropy. Windows have classes of characters: one of
+  hex digits of one case alone, with a digit and a letter among them, is measured against the hex
+  threshold, all others against that of base64. A candidate with a window that reaches its class's
+  threshold is a secret. The allow-list suppresses candidates that are UUIDs, names or paths of
+  words as a whole, and windows that touch an example word or a sequence; the rest of such a
+  candidate counts. Only strings with both letters and digits count, so words never do.
+
+Null and empty texts have no spans. Rows are independent; repeated rows repeat results, and an
+empty table gives no rows. Work is linear in the length of texts and candidates, however long.
+Spans that start at one place stand in the order of their kinds, then of their ends. Other columns
+stay; one named as the new column is replaced.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +50,13 @@ ALLOWED = (
 #: What no window may touch: the well-known key of manuals, examples, sequences.
 PHRASES = r"(?i)wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY|example|sample|dummy|placeholder|changeme|lorem|0?123456789|abcdefgh"
 SPAN = "struct<start:bigint,stop:bigint,kind:int>"
+#: Characters of the pieces that a text is taken apart into before spans are cut out of it.
+PIECE = 1024
+
+
+def _bind(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once, however often f uses it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
 
 
 def _running(lens: Column) -> Column:
@@ -54,60 +66,78 @@ def _running(lens: Column) -> Column:
     def grow(acc, v):
         return F.concat(acc, F.array(F.element_at(acc, -1) + v))
 
-    starts = F.sequence(F.lit(0), F.floor((F.size(lens) - 1) / 256).cast("int"))
-    inner = F.transform(starts, lambda b: F.aggregate(F.slice(lens, b * 256 + 1, F.lit(256)), zero, grow))
-    base = F.aggregate(F.transform(inner, lambda x: F.element_at(x, -1)), zero, grow)
-    moved = F.zip_with(inner, F.slice(base, F.lit(1), F.size(inner)), lambda x, o: F.transform(F.slice(x, F.lit(2), F.size(x) - 1), lambda y: y + o))
-    return F.when(F.size(lens) > 0, F.flatten(moved)).otherwise(F.array().cast("array<bigint>"))
+    def moved(inner: Column) -> Column:
+        base = F.aggregate(F.transform(inner, lambda x: F.element_at(x, -1)), zero, grow)
+        return F.flatten(F.zip_with(inner, F.slice(base, F.lit(1), F.size(inner)), lambda x, o: F.transform(F.slice(x, F.lit(2), F.size(x) - 1), lambda y: y + o)))
+
+    def summed(own: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(own) - 1) / 256).cast("int"))
+        inner = F.transform(starts, lambda b: F.aggregate(F.slice(own, b * 256 + 1, F.lit(256)), zero, grow))
+        return F.when(F.size(own) > 0, _bind(inner, moved)).otherwise(F.array().cast("array<bigint>"))
+
+    return _bind(lens, summed)
 
 
 def _lengths(x: Column) -> Column:
     return F.transform(x, lambda s: F.length(s).cast("long"))
 
 
-def _ends(text: Column, hits: Column, pattern: str) -> Column:
-    """Ends of the matches, from the pieces between them."""
-    pieces = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
-    return _running(F.zip_with(_lengths(pieces), _lengths(hits), lambda a, b: a + b))
+def _spans(text: Column, pattern: str, kind: int, good: Callable[[Column], Column] | None = None) -> Column:
+    """Spans of the matches that are good. Their ends come from the pieces between them."""
 
+    def found(hits: Column) -> Column:
+        pieces = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
+        ends = _running(F.zip_with(_lengths(pieces), _lengths(hits), lambda a, b: a + b))
+        spans = F.zip_with(ends, hits, lambda e, h: F.struct((e - F.length(h)).alias("start"), e.alias("stop"), F.lit(kind).alias("kind"), (F.lit(True) if good is None else good(h)).alias("good")))
+        kept = F.filter(spans, lambda s: s["good"])
+        return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))).cast(f"array<{SPAN}>")
 
-def _spans(ends: Column, hits: Column, good: Column, kind: int) -> Column:
-    """Spans of the matches that are good."""
-    n = F.zip_with(ends, hits, lambda e, h: F.struct((e - F.length(h)).alias("start"), e.alias("stop"), F.lit(kind).alias("kind")))
-    kept = F.filter(F.zip_with(n, good, lambda s, g: F.when(g, s)), lambda s: s.isNotNull())
-    return kept.cast(f"array<{SPAN}>")
+    return _bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), found)
 
 
-def _code(s: Column, i: Column) -> Column:
-    return F.call_function("locate", F.substring(s, i, F.lit(1)), F.lit(ALPHABET))
+def _put(counts: Column, at: Column, value: Column) -> Column:
+    """``counts`` with another value at a place from 1 on."""
+    return F.concat(F.slice(counts, F.lit(1), at - 1), F.array(value), F.slice(counts, at + 1, F.lit(len(ALPHABET))))
 
 
-def _entropy(s: Column, window: int = WINDOW) -> Column:
-    """Largest Shannon entropy (bits) over the windows of a string: the counts move by one
-    character in and one out, and with them the sum of c log2 c."""
-    moves = F.transform(
-        F.sequence(F.lit(1), F.length(s)),
-        lambda i: F.struct(
-            _code(s, i).alias("into"),
-            F.when(i > window, _code(s, i - window)).otherwise(F.lit(0)).alias("out"),
-            i.alias("i"),
-        ),
-    )
-    state = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+def _entropies(s: Column, window: int = WINDOW) -> Column:
+    """(base64, hex): largest Shannon entropies in bits over all windows of a string, and over
+    those of hex digits with a letter and a digit. The counts move by one character in and one
+    out, and with them the sum of c log2 c. A step looks at the window that the one before left."""
+    codes = F.transform(F.split(s, ""), lambda c: F.call_function("locate", c, F.lit(ALPHABET)))
+    # what leaves the window as each character enters; 0 while it fills
+    moves = _bind(codes, lambda own: F.arrays_zip(own.alias("into"), F.slice(F.concat(F.array_repeat(F.lit(0), window), own), F.lit(1), F.size(own)).alias("out")))
+    zero = F.lit(0)
+    start = F.struct(F.array_repeat(zero, len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), zero.alias("n"), zero.alias("digits"), zero.alias("low"), zero.alias("up"), F.lit(0.0).alias("base64"), F.lit(0.0).alias("hex"))
+    #: What the sum grows by where a count grows from 0, 1, ... (and the last 0 for none).
+    gain = F.array(*[F.lit((c + 1) * math.log2(c + 1) - (c * math.log2(c) if c else 0.0)) for c in range(window + 1)])
 
-    def clogc(c: Column) -> Column:
-        return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
+    def digit(code: Column) -> Column:
+        return code.between(53, 62)
 
-    def step(acc: Column, m: Column) -> Column:
-        gone = F.when(m["out"] > 0, F.element_at(acc["counts"], F.greatest(m["out"], F.lit(1)))).otherwise(F.lit(0))
-        less = acc["sum"] - clogc(gone) + clogc(gone - 1)
-        had = F.element_at(acc["counts"], m["into"]) - F.when(m["into"] == m["out"], F.lit(1)).otherwise(F.lit(0))
-        total = less + clogc(had + 1) - clogc(had)
-        counts = F.transform(acc["counts"], lambda c, k: c + F.when(k + 1 == m["into"], 1).otherwise(0) - F.when(k + 1 == m["out"], 1).otherwise(0))
-        bits = F.when(m["i"] >= window, F.lit(math.log2(window)) - total / window).otherwise(F.lit(0.0))
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.greatest(acc["best"], bits).alias("best"))
+    def looked(acc: Column) -> tuple[Column, Column]:
+        bits = F.when(acc["n"] >= window, F.lit(math.log2(window)) - acc["sum"] / window).otherwise(F.lit(0.0))
+        of_hex = (F.greatest(acc["low"], acc["up"]) >= window) & acc["digits"].between(1, window - 1)
+        return F.greatest(acc["base64"], bits), F.when(of_hex, F.greatest(acc["hex"], bits)).otherwise(acc["hex"])
 
-    return F.aggregate(moves, state, step, lambda acc: acc["best"])
+    def step(acc: Column, m: Column) -> Column:
+        into, out, counts = m["into"], m["out"], acc["counts"]
+        had = F.element_at(counts, into) - (into == out).cast("int")
+        less = F.when(out > 0, _put(counts, out, F.element_at(counts, F.greatest(out, F.lit(1))) - 1)).otherwise(counts)
+        loss = F.when(out > 0, F.element_at(gain, F.element_at(counts, F.greatest(out, F.lit(1))))).otherwise(F.lit(0.0))
+        base64, hexed = looked(acc)
+        return F.struct(
+            _put(less, into, had + 1).alias("counts"),
+            (acc["sum"] - loss + F.element_at(gain, had + 1)).alias("sum"),
+            (acc["n"] + 1).alias("n"),
+            (acc["digits"] + digit(into).cast("int") - digit(out).cast("int")).alias("digits"),
+            F.when(digit(into) | into.between(27, 32), acc["low"] + 1).otherwise(zero).alias("low"),
+            F.when(digit(into) | into.between(1, 6), acc["up"] + 1).otherwise(zero).alias("up"),
+            base64.alias("base64"),
+            hexed.alias("hex"),
+        )
+
+    return F.aggregate(moves, start, step, lambda acc: F.struct(looked(acc)[0].alias("base64"), looked(acc)[1].alias("hex")))
 
 
 def _allowed(s: Column) -> Column:
@@ -119,8 +149,8 @@ def _allowed(s: Column) -> Column:
 
 def _random(s: Column) -> Column:
     """Whether a window of a piece reaches its class's entropy."""
-    least = F.when(s.rlike("^([0-9a-f]+|[0-9A-F]+)$"), THRESHOLDS["hex"]).otherwise(THRESHOLDS["base64"])
-    return F.when(s.rlike("[0-9]") & s.rlike("[A-Za-z]") & ~_allowed(s), _entropy(s) >= least).otherwise(F.lit(False))
+    found = F.exists(F.array(_entropies(s)), lambda e: (e["base64"] >= THRESHOLDS["base64"]) | (e["hex"] >= THRESHOLDS["hex"]))
+    return F.when(s.rlike("[0-9]") & s.rlike("[A-Za-z]") & ~_allowed(s), found).otherwise(F.lit(False))
 
 
 def _secret(s: Column) -> Column:
@@ -138,20 +168,11 @@ def scan(docs: DataFrame, text: str = "text", column: str = "spans") -> DataFram
     named = F.lit(False)
     for word in ("password", "passwd", "secret", "token", "api"):
         named = named | F.contains(low, F.lit(word))
-    whole = F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(0))
-    value = F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2))
-    assign = _spans(_ends(t, whole, ASSIGN), whole, F.transform(value, lambda v: F.length(v) >= 6), 0)
-    key = F.regexp_extract_all(t, F.lit(ACCESS), F.lit(0))
-    access = _spans(_ends(t, key, ACCESS), key, F.transform(key, lambda v: F.length(v) >= 20), 1)
-    run = F.regexp_extract_all(t, F.lit(LONG_HEX), F.lit(0))
-    hexed = _spans(_ends(t, run, LONG_HEX), run, F.transform(run, lambda v: F.lit(True)), 2)
-    candidate = F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))
-    random = _spans(_ends(t, candidate, CANDIDATE), candidate, F.transform(candidate, _secret), 3)
     parts = [
-        F.when(named, assign).otherwise(none),
-        F.when(F.contains(t, F.lit("AKIA")), access).otherwise(none),
-        F.when(t.rlike(LONG_HEX), hexed).otherwise(none),
-        F.when(t.rlike(CANDIDATE), random).otherwise(none),
+        F.when(named, _spans(t, ASSIGN, 0, lambda h: F.length(F.regexp_extract(h, ASSIGN, 2)) >= 6)).otherwise(none),
+        F.when(F.contains(t, F.lit("AKIA")), _spans(t, ACCESS, 1, lambda h: F.length(h) >= 20)).otherwise(none),
+        F.when(t.rlike(LONG_HEX), _spans(t, LONG_HEX, 2)).otherwise(none),
+        F.when(t.rlike(CANDIDATE), _spans(t, CANDIDATE, 3, _secret)).otherwise(none),
     ]
     order = F.transform(F.concat(*parts), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop")))
     return docs.withColumn(column, F.array_sort(order))
@@ -165,17 +186,32 @@ def _joined(spans: Column) -> Column:
 def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with each union of overlapping spans of the text replaced by ``mask``. Texts
     without spans, null ones too, stay as they are."""
-    seen = scan(docs, text, "__spans")
-    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).cast("long").alias("at"))
+    spans = "__spans"
+    while spans in docs.columns:
+        spans += "_"
+    seen = scan(docs, text, spans)
     t = F.col(f"`{text}`")
+    pieces = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    start = F.struct(F.array().cast("array<struct<from:bigint,size:bigint>>").alias("gaps"), F.lit(0).cast("long").alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
-        gap = F.when(s["start"] >= acc["at"], F.concat(acc["parts"], F.array(F.substring(t, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mask)))).otherwise(acc["parts"])
+        gap = F.struct(acc["at"].alias("from"), (s["start"] - acc["at"]).alias("size"))
         # a span that touches the one before, but starts at its end, gets a mask of its own
-        return F.struct(gap.alias("parts"), F.greatest(acc["at"], s["stop"]).alias("at"))
+        gaps = F.when(s["start"] >= acc["at"], F.concat(acc["gaps"], F.array(gap))).otherwise(acc["gaps"])
+        return F.struct(gaps.alias("gaps"), F.greatest(acc["at"], s["stop"]).alias("at"))
+
+    def last(acc: Column) -> Column:
+        return F.concat(acc["gaps"], F.array(F.struct(acc["at"].alias("from"), (F.length(t) - acc["at"]).alias("size"))))
+
+    def part(own: Column, gap: Column) -> Column:
+        """Of the pieces, only those that a gap touches are put together."""
+        first = F.floor(gap["from"] / PIECE).cast("int")
+        near = F.slice(own, first + 1, F.floor((gap["from"] + gap["size"]) / PIECE).cast("int") - first + 1)
+        return F.substring(F.array_join(near, ""), (gap["from"] - first * PIECE + 1).cast("int"), gap["size"].cast("int"))
 
-    done = F.aggregate(F.col("__spans"), start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(t, (acc["at"] + 1).cast("int"), F.lit(2147483647))))
-    return seen.withColumn(text, F.when(F.size("__spans") > 0, done).otherwise(t)).drop("__spans")
+    gaps = F.aggregate(F.col(spans), start, step, last)
+    done = _bind(pieces, lambda own: F.array_join(F.transform(gaps, lambda g: part(own, g)), mask))
+    return seen.withColumn(text, F.when(F.size(spans) > 0, done).otherwise(t)).drop(spans)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -365,7 +365,9 @@ def kept_bytes(docs: DataFrame) -> DataFrame:
 def repeated_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """One row for each document: doc_id, n_bytes, n_removed, spans (flat starts and ends of the
     removed runs of bytes), kept_sha256."""
-    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    # without a needless alias, which would keep Spark from seeing that the two shuffles of texts are one
+    own = F.col(f"`{doc_id}`") if doc_id == "doc_id" and (doc_id, "bigint") in docs.dtypes else F.col(f"`{doc_id}`").cast("long").alias("doc_id")
+    docs = docs.select(own, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     known = docs.where("doc_id is not null")
     none = F.array().cast("array<bigint>")
     found = materialise(meet(find_anchors(known, length, gram)))

@@ -74,12 +74,28 @@ def test_entropy_and_redaction(spark):
     from pyspark.sql import functions as F
 
     texts = ["q9Xz7Lm2Vb8Nc4Rt6Yw1Kp3Hd5Js0Gf", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa11", "0123456789abcdef0123456789abcdef", "AbCd" * 10 + "1"]
-    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "s string").select(secret_scan._entropy(F.col("s"))).collect()]
-    assert np.allclose(got, [entropy(t) for t in texts])
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "s string").select(secret_scan._entropies(F.col("s"))).collect()]
+    assert np.allclose([e["base64"] for e in got], [entropy(t) for t in texts])
+    assert np.allclose([e["hex"] for e in got], [0.0, entropy(texts[1]), entropy(texts[2]), 0.0])
     df = spark.createDataFrame([("a password = hunter22 b",), (None,), ("see q9Xz7Lm2Vb8Nc4Rt6Yw1Kp3Hd5Js0Gf é end",), ("id 123e4567-e89b-12d3-a456-426614174000 ok",)], "text string")
     assert [r["text"] for r in secret_scan.redact(df).collect()] == ["a [SECRET] b", None, "see [SECRET] é end", "id 123e4567-e89b-12d3-a456-426614174000 ok"]
 
 
+def test_long_candidates(spark):
+    """Candidates of up to a megabyte end, whatever the allow-list makes of them; hex in a mixed one counts."""
+    rng = np.random.default_rng(4)
+    base = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    long = "".join(base[x] for x in rng.integers(0, 64, 1 << 17))
+    texts = ["a1" * (1 << 16) + "=A", "ab/" * (1 << 18), "Ab" * (1 << 19) + "_1", long, "x " * 5 + "AB_zz-3f9a0c7e5b1d8f2a6c4e-zz", "x=" + "9" * 30 + "zz"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(6, "doc_id")
+    got = {r["doc_id"]: [(x["start"], x["stop"]) for x in r["spans"] if x["kind"] == 3] for r in secret_scan.scan(df).collect()}
+    assert got == {0: [], 1: [], 2: [], 3: [(0, 1 << 17)], 4: [(10, len(texts[4]))], 5: []}
+    many = "password=hunter22 é " * 5_000
+    df = spark.createDataFrame([(many, "kept")], "text string, __spans string")
+    assert secret_scan.redact(df).collect() == [("[SECRET] é " * 5_000, "kept")]
+    assert secret_scan.redact(df.where("false")).count() == 0
+
+
 def test_allow_list_spares_no_secrets(spark):
     """Random lower-case tokens count, also beside a phrase of the allow-list; words, examples and sequences do not."""
     rng = np.random.default_rng(5)
