@@ -3,30 +3,35 @@
 Patterns are the windows of 10 consecutive words of the benchmark items (an item of fewer
 words is one pattern). Blocks are two words long. A shift table tells how far a window may
 move when a block is seen at its end; blocks of no pattern allow the longest shift, so most
-words are never looked up. Where the shift is 0, the block selects a bucket of patterns,
-and their words are compared directly, byte by byte. The cursors of many stretches of text
-move together, as NumPy arrays, inside Spark tasks; documents are never shuffled.
+words are never looked up. Where the shift is 0, the block at the window's end and the one at
+its start select a bucket of patterns, and their words are compared directly, byte by byte. The
+cursors of many stretches of text move together, as NumPy arrays, inside Spark tasks; documents
+are never shuffled, nor do they meet a second time unless the benchmark is larger than what is
+broadcast at once.
 
 Null and empty texts have no words and give a row with zeros. Rows are independent of each
-other: repeated rows give repeated results. An empty benchmark gives no hits.
+other: repeated rows give repeated results, and rows without an id keep theirs. Very long texts
+are searched whole. Items of equal windows all count; items without an id cannot be named and
+are left out, as are those without words. An empty benchmark gives no hits, an empty table no
+rows. Columns of ``keep`` that are named as results are replaced by them.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import Words, lists, map_text, mix
+from .textops import Words, map_text, materialise, mix, spread, windows
 
 WINDOW = 10
 STRETCH = 256
-#: Items are taken in blocks of about so many bytes; each block is broadcast in turn.
-BLOCK_BYTES = 32 << 20
+#: Bytes of items of one machine, and of those that are broadcast together (15 times as much in memory).
+BLOCK_BYTES, ROUND_BYTES = 4 << 20, 16 << 20
+#: Pairs of a window and a pattern that are compared at once.
+PAIRS = 1 << 18
 U = np.uint64
 
 OUT = T.StructType(
@@ -41,30 +46,55 @@ OUT = T.StructType(
 
 
 class Machine:
-    """Shift table and buckets for patterns of ``n`` words. patterns: {words: item ids}."""
+    """Shift table and buckets for the patterns of ``n`` words among the words of some items.
+
+    A pattern is the place of its first word; of equal windows the first is the pattern, and
+    ``owners`` has the items of each, from ``owner_at[i]`` to ``owner_at[i + 1]``."""
 
-    def __init__(self, n: int, patterns: dict[tuple[bytes, ...], list[str]]):
+    def __init__(self, n: int, words: Words, first: np.ndarray, item: np.ndarray):
         self.n, self.block = n, min(2, n)
-        self.words = list(patterns)
-        self.items = [patterns[w] for w in self.words]
-        text = [b" ".join(w) for w in self.words]
-        byte = np.frombuffer(b"\n".join(text), np.uint8)
-        h = Words(byte, np.array([0, len(byte)])).hash.reshape(len(text), n)
+        self.low, self.start, self.end, self.hash = words.low, words.start, words.end, words.hash
+        whole = windows(self.hash, n)[first]
+        order = np.lexsort((item, whole))
+        first, item, whole = first[order], item[order], whole[order]
+        new = np.concatenate([[True], whole[1:] != whole[:-1]])
+        # a window that only has the hash of the one before is a pattern of its own
+        lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        new |= ~self.same(words, first, first[lead])
+        at = np.flatnonzero(new)
+        self.first, group = first[at], np.cumsum(new) - 1
+        fresh = np.concatenate([[True], (group[1:] != group[:-1]) | (item[1:] != item[:-1])])
+        self.owners = item[fresh]
+        self.owner_at = np.searchsorted(group[fresh], np.arange(len(at) + 1))
+        h = self.hash[self.first[:, None] + np.arange(n)]
         keys = np.stack([self.key(h[:, j : j + self.block]) for j in range(n - self.block + 1)], 1)
         shift = np.broadcast_to(np.arange(n - self.block, -1, -1), keys.shape).ravel()
         order = np.lexsort((shift, keys.ravel()))
         flat = keys.ravel()[order]
-        first = np.concatenate([[True], flat[1:] != flat[:-1]])
-        self.keys, self.shift = flat[first], shift[order][first]
-        # buckets: patterns by their last block
-        self.by_suffix = np.argsort(keys[:, -1], kind="stable")
-        self.suffix = keys[self.by_suffix, -1]
-        self.hashes = h
+        once = np.concatenate([[True], flat[1:] != flat[:-1]])
+        self.keys, self.shift = flat[once], shift[order][once]
+        # buckets: patterns by their first and last blocks
+        ends = mix(keys[:, 0] * U(0xD6E8FEB86659FD93) ^ keys[:, -1])
+        self.bucket = np.argsort(ends, kind="stable")
+        self.ends = ends[self.bucket]
 
     @staticmethod
     def key(h: np.ndarray) -> np.ndarray:
         return mix(h[:, 0] * U(3)) if h.shape[1] == 1 else mix(h[:, 0] * U(0x9FB21C651E98DF25) + h[:, 1])
 
+    def same(self, words: Words, start: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Whether the n words from ``start`` on are those from ``other`` on among the items, byte by byte."""
+        ok = np.ones(len(start), bool)
+        for j in range(self.n):
+            live = np.flatnonzero(ok)
+            a, b = start[live] + j, other[live] + j
+            size = words.end[a] - words.start[a]
+            ok[live] = alike = size == self.end[b] - self.start[b]
+            live, a, b, size = live[alike], a[alike], b[alike], size[alike]
+            unlike = words.low[spread(words.start[a], size)] != self.low[spread(self.start[b], size)]
+            ok[np.repeat(live, size)[unlike]] = False
+        return ok
+
     def search(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(first word, pattern) of all occurrences that do not cross documents."""
         n, b = self.n, self.block
@@ -88,32 +118,37 @@ class Machine:
             live = cur < end
             cur, end = cur[live], end[live]
         start = np.concatenate(found) if found else np.zeros(0, np.int64)
-        k = key[start + n - b]
-        left, right = np.searchsorted(self.suffix, k), np.searchsorted(self.suffix, k, "right")
-        many = right - left
-        start = np.repeat(start, many)
-        bucket = self.by_suffix[np.repeat(left, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-        for j in range(n):
-            same = h[start + j] == self.hashes[bucket, j]
-            start, bucket = start[same], bucket[same]
-        low, s, e = words.low, words.start, words.end
-        same = [all(low[s[i + j] : e[i + j]].tobytes() == w for j, w in enumerate(self.words[p])) for i, p in zip(start.tolist(), bucket.tolist(), strict=True)]
-        same = np.array(same, bool)
-        return start[same], bucket[same]
-
-
-def machines(items: list[tuple[str, str | None]], window: int = WINDOW) -> list[Machine]:
-    by_length: dict[int, dict[tuple[bytes, ...], list[str]]] = defaultdict(lambda: defaultdict(list))
-    for item, text in items:
-        byte = np.frombuffer((text or "").encode(), np.uint8)
-        w = Words(byte, np.array([0, len(byte)]), hashes=False)
-        words = [w.low[a:b].tobytes() for a, b in zip(w.start, w.end, strict=True)]
-        n = min(window, len(words))
-        for i in range(len(words) - n + 1) if n else ():
-            ids = by_length[n][tuple(words[i : i + n])]
-            if item not in ids:
-                ids.append(item)
-    return [Machine(n, dict(p)) for n, p in sorted(by_length.items())]
+        ends = mix(key[start] * U(0xD6E8FEB86659FD93) ^ key[start + n - b])
+        left = np.searchsorted(self.ends, ends)
+        many = np.searchsorted(self.ends, ends, "right") - left
+        starts, patterns = [start[:0]], [start[:0]]
+        # so many windows at once that their buckets hold about PAIRS patterns
+        total = np.cumsum(many)
+        cut = np.unique(np.append(np.searchsorted(total, np.arange(0, int(total[-1]) if len(total) else 0, PAIRS), "right"), len(start)))
+        for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            own, pattern = np.repeat(start[x:y], many[x:y]), self.bucket[spread(left[x:y], many[x:y])]
+            for j in range(n):
+                ok = h[own + j] == self.hash[self.first[pattern] + j]
+                own, pattern = own[ok], pattern[ok]
+            ok = self.same(words, own, self.first[pattern])
+            starts.append(own[ok])
+            patterns.append(pattern[ok])
+        return np.concatenate(starts), np.concatenate(patterns)
+
+
+class Items:
+    """Machines over some items, one for each length of windows."""
+
+    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
+        raw = [(text or "").encode() for _, text in items]
+        self.ids = np.array([i for i, _ in items], object)
+        words = Words(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
+        size = np.diff(words.off)
+        self.machines = []
+        for n in np.unique(np.minimum(size[size > 0], window)).tolist():
+            own = np.flatnonzero(np.minimum(size, window) == n)
+            many = size[own] - n + 1
+            self.machines.append(Machine(n, words, spread(words.off[:-1][own], many), np.repeat(own, many)))
 
 
 def spans_of(hit: np.ndarray) -> np.ndarray:
@@ -121,62 +156,76 @@ def spans_of(hit: np.ndarray) -> np.ndarray:
     return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1).ravel()
 
 
-def scan(made: list[Machine], byte: np.ndarray, off: np.ndarray) -> list:
+def scan(made: list[Items], byte: np.ndarray, off: np.ndarray) -> list:
     words = Words(byte, off)
     total, docs = len(words.start), len(off) - 1
     cover = np.zeros(total + 1, np.int64)
-    pairs: set[tuple[int, str]] = set()
-    for m in made:
-        start, pattern = m.search(words)
-        np.add.at(cover, start, 1)
-        np.add.at(cover, start + m.n, -1)
-        doc = np.searchsorted(words.off, start, "right") - 1
-        for d, p in set(zip(doc.tolist(), pattern.tolist(), strict=True)):
-            pairs.update((d, x) for x in m.items[p])
+    items: list[set[str]] = [set() for _ in range(docs)]
+    for own in made:
+        for m in own.machines:
+            start, pattern = m.search(words)
+            np.add.at(cover, start, 1)
+            np.add.at(cover, start + m.n, -1)
+            doc = np.searchsorted(words.off, start, "right") - 1
+            doc, pattern = np.unique(np.stack([doc, pattern]), axis=1)
+            many = m.owner_at[pattern + 1] - m.owner_at[pattern]
+            names = own.ids[m.owners[spread(m.owner_at[pattern], many)]]
+            for d, x in zip(np.repeat(doc, many).tolist(), names.tolist(), strict=True):
+                items[d].add(x)
     hit = np.cumsum(cover[:-1]) > 0
     summed = np.concatenate([[0], np.cumsum(hit)])
     n_hit = summed[words.off[1:]] - summed[words.off[:-1]]
     spans: list[list[int]] = [[]] * docs
-    items: list[list[str]] = [[]] * docs
-    by_doc = defaultdict(list)
-    for d, x in pairs:
-        by_doc[d].append(x)
     for d in np.flatnonzero(n_hit).tolist():
         spans[d] = spans_of(hit[words.off[d] : words.off[d + 1]]).tolist()
-        items[d] = sorted(by_doc[d])
-    return [pa.array(np.diff(words.off)), pa.array(n_hit), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(n_hit > 0)]
+    return [pa.array(np.diff(words.off)), pa.array(n_hit), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(n_hit > 0)]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str] | None = None, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str] | None = None, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, round_bytes: int = ROUND_BYTES) -> DataFrame:
     """One row for each document: ``keep`` (default doc_id), n_words, n_hit, hit_spans (first
     word and end of each run of hit words, flat), items (ids as sorted strings), contaminated.
 
-    Items are read in blocks of about ``block_bytes``; each block is broadcast on its own. With
-    more than one block, the results are merged by the ``keep`` columns, which must then tell
-    documents apart.
+    Items are read in blocks of about ``block_bytes``, each a machine of its own; those of up to
+    ``round_bytes`` together are broadcast, and a task holds each chunk of documents against all
+    of them. A larger benchmark takes several rounds over the documents, whose rows are numbered
+    and written first; what the rounds find is merged by these numbers.
     """
-    keep = keep or ["doc_id"]
+    keep = [c for c in keep or ["doc_id"] if c not in OUT.fieldNames()]
     spark = docs.sparkSession
     bench = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
     size = bench.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-size // block_bytes))
-    found = None
-    for b in range(blocks):
-        own = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
-        made = spark.sparkContext.broadcast(machines([(r["item"], r["text"]) for r in own.toLocalIterator()], window))
-
-        def make(made=made):
-            return lambda byte, off: scan(made.value, byte, off)
-
-        part = map_text(docs, text, keep, OUT, make)
-        found = part if found is None else found.unionByName(part)
-    if blocks == 1:
-        return found
-    kept = [c for c in keep if c not in OUT.fieldNames()]
-    marks = F.array_distinct(F.flatten(F.collect_list(F.expr("flatten(transform(sequence(0, size(hit_spans) div 2 - 1), i -> if(size(hit_spans) = 0, cast(array() as array<bigint>), sequence(hit_spans[2 * i], hit_spans[2 * i + 1] - 1))))"))))
-    one = found.groupBy(*kept).agg(F.max("n_words").alias("n_words"), F.array_sort(marks).alias("marks"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    spans = F.expr("flatten(zip_with(filter(marks, x -> not array_contains(marks, x - 1)), transform(filter(marks, x -> not array_contains(marks, x + 1)), x -> x + 1), (a, b) -> array(a, b)))")
-    return one.select(*kept, "n_words", F.size("marks").cast("long").alias("n_hit"), spans.alias("hit_spans"), "items", (F.size("marks") > 0).alias("contaminated"))
+    blocks, rounds = max(1, -(-size // block_bytes)), max(1, -(-size // round_bytes))
+    at = F.pmod(F.xxhash64("item"), F.lit(blocks))
+
+    def found(rows: DataFrame, own: list[int], columns: list[str]) -> DataFrame:
+        texts: dict[int, list[tuple[str, str]]] = {b: [] for b in own}
+        for r in bench.withColumn("at", at).where(F.col("at").isin(own)).toLocalIterator():
+            texts[r["at"]].append((r["item"], r["text"]))
+        made = [spark.sparkContext.broadcast(Items(texts.pop(b), window)) for b in own]
+
+        def make():
+            items = [m.value for m in made]
+            return lambda byte, off: scan(items, byte, off)
+
+        return map_text(rows, text, columns, OUT, make)
+
+    if rounds == 1:
+        return found(docs, list(range(blocks)), keep)
+    row = "__row"
+    while row in docs.columns:
+        row += "_"
+    kept = materialise(docs.select(*{c: F.col(f"`{c}`") for c in [*keep, text]}.values(), F.monotonically_increasing_id().alias(row)))
+    parts = [found(kept, list(range(r, blocks, rounds)), [row]) for r in range(rounds)]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    marks = F.expr("flatten(transform(sequence(0, size(hit_spans) div 2 - 1), i -> sequence(hit_spans[2 * i], hit_spans[2 * i + 1] - 1)))")
+    every = every.withColumn("marks", F.when(F.size("hit_spans") > 0, marks).otherwise(F.array().cast("array<bigint>")))
+    one = every.groupBy(row).agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("marks")))).alias("marks"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    edges = one.withColumn("from", F.filter("marks", lambda m: ~F.array_contains("marks", m - 1))).withColumn("to", F.filter("marks", lambda m: ~F.array_contains("marks", m + 1)))
+    spans = F.flatten(F.zip_with("from", "to", lambda a, b: F.array(a, b + 1)))
+    merged = edges.select(F.col(row), "n_words", F.size("marks").cast("long").alias("n_hit"), spans.alias("hit_spans"), "items", (F.size("marks") > 0).alias("contaminated"))
+    return kept.select(*[F.col(f"`{c}`") for c in keep], row).join(merged, row).drop(row)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import U, chunks, materialise, prefix_hash, span_hash
+from .textops import U, chunks, materialise, prefix_hash, span_hash, spread
 
 LENGTH = 2048
 END_ID = 1
@@ -56,12 +56,6 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
 
 
-def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... for each of the runs of the given sizes, one after the other."""
-    before = np.cumsum(size) - size
-    return np.arange(int(size.sum())) + np.repeat(start - before, size)
-
-
 class Encoder:
     """Ids of many texts, equal to those of the tokenizer file.
 

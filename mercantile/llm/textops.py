@@ -7,16 +7,19 @@ by one document, where that is longer).
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mercantile.storage import materialise, shared_dir
+
+__all__ = ["Words", "buffers", "chunks", "lists", "map_text", "materialise", "mix", "prefix_hash", "shared_dir", "span_hash", "spread", "windows"]
+
 CHUNK = 1 << 20
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -128,6 +131,12 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each of the runs of the given sizes, one after the other."""
+    before = np.cumsum(size) - size
+    return np.arange(int(size.sum())) + np.repeat(start - before, size)
+
+
 def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column from flat values and the number in each row."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values, type=kind))
@@ -154,20 +163,3 @@ def map_text(df: DataFrame, text: str, keep: list[str], out: T.StructType, make:
                 yield pa.RecordBatch.from_arrays([*kept, *fn(byte, off)], names=names)
 
     return src.mapInArrow(run, schema)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder where all executors can read and write. Only where ``spark.checkpoint.dir``
-    is unset (as in tests) is one set, below the working folder of a local session."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = "/tmp/mercantile-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: writes ``df`` as Parquet in the shared folder and reads it again."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

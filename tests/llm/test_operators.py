@@ -136,11 +136,17 @@ def test_contamination(spark, sf_dir, docs):
 
 
 def test_contamination_in_blocks(spark):
-    docs = spark.createDataFrame([(1, "a b c d e f"), (2, None), (3, "z")], "doc_id long, text string")
-    bench = spark.createDataFrame([(1, "b c"), (2, "d e"), (3, None), (4, "")], "item_id long, text string")
-    one = decontam.contamination(docs, bench).orderBy("doc_id").collect()
-    many = decontam.contamination(docs, bench, block_bytes=3).select(*[c for c in decontam.contamination(docs, bench).columns]).orderBy("doc_id").collect()
-    assert [(r["n_hit"], r["items"]) for r in one] == [(r["n_hit"], r["items"]) for r in many] == [(4, ["1", "2"]), (0, []), (0, [])]
+    """Repeated rows and rows without an id stay, however many blocks and rounds there are; a block in many patterns too."""
+    same = [(2, "k " * 30 + "x y z")] * 2
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, None), *same, (None, "a d e"), (3, "z"), (4, "p q 7 r s p q 8 r s")], "doc_id long, text string")
+    items = [(1, "b c"), (2, "d e"), (3, None), (4, ""), (None, "a b"), (5, "D e"), (6, "k x Y"), *((10 + i, f"p q {i} r s") for i in range(20))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def got(**more):
+        return sorted([(r["doc_id"] or 0, r["n_words"], r["n_hit"], r["hit_spans"], r["items"], r["contaminated"]) for r in decontam.contamination(docs, bench, **more).collect()])
+
+    want = [(0, 3, 2, [1, 3], ["2", "5"], True), (1, 6, 4, [1, 5], ["1", "2", "5"], True), (2, 0, 0, [], [], False), *[(2, 33, 3, [29, 32], ["6"], True)] * 2, (3, 1, 0, [], [], False), (4, 10, 10, [0, 10], ["17", "18"], True)]
+    assert got() == got(block_bytes=60) == got(block_bytes=60, round_bytes=120) == want
     assert decontam.contamination(docs, bench.where("false")).where("contaminated").count() == 0
 
 
@@ -283,6 +289,32 @@ def test_chat_layouts(spark):
     assert [chat.parse(r["formatted"]) for r in got[:3]] == [[("user", "p"), ("assistant", "")], [("user", "i"), ("assistant", "o")], [("user", "x ### y\\")]]
 
 
+def test_chat_odd_records(spark):
+    """Further fields, null and empty lists, surrogates, deep nesting, keys with dots, own mappings."""
+    records = {
+        '{"id": 1, "messages": [{"role": "user", "content": "x", "name": "n"}, null, {"content": "y"}]}': [("user", "x"), ("", ""), ("", "y")],
+        '{"messages": []}': [],
+        '{"messages": [null]}': [("", "")],
+        '{"messages": [{"other": 1}]}': None,
+        '{"prompt": "p \\ud800", "response": "r", "meta": {"a": [1]}}': [("user", "p ?"), ("assistant", "r")],
+        "[" * 100_000: None,
+        '{"a":' * 5000 + "1" + "}" * 5000: None,
+        '{"data": 1, "data.answer": "x", "data.question": "y"}': None,
+        '{"data": {"answer": "x", "question": "y"}, "source": "s"}': [("user", "y"), ("assistant", "x")],
+        '{"ask": "q", "reply": "a"}': [("user", "q"), ("assistant", "a")],
+        '{"prompt": "' + "long " * 200_000 + '", "completion": ""}': [("user", "long " * 200_000), ("assistant", "")],
+        "[1]": None,
+    }
+    df = spark.createDataFrame([(t, "x", i) for i, t in enumerate(records)], "record string, mapped string, i int")
+    own = (*chat.LAYOUTS, ("fields", (("ask", "user"), ("reply", "assistant"))))
+    got = chat.format_records(df, keep=["i", "mapped"], layouts=own).orderBy("i").collect()
+    assert [chat.parse(r["formatted"]) if r["mapped"] else None for r in got] == list(records.values())
+    rows = spark.createDataFrame([(None, 1, "user", "a"), (None, 1, "user", "a"), (1, None, None, None), (1, 1, "b", "z"), (1, 1, "a", "z")], "conv_id long, turn long, role string, text string")
+    made = chat.format_records(chat.conversation_records(rows), keep=["conv_id"])
+    assert sorted((r["conv_id"] or 0, chat.parse(r["formatted"])) for r in made.collect()) == [(0, [("user", "a")])] * 2 + [(1, [("", ""), ("a", "z"), ("b", "z")])]
+    assert chat.format_records(chat.conversation_records(rows.where("false")), keep=["conv_id"]).count() == 0
+
+
 def test_packing(spark, sf_dir, docs):
     from tokenizers import Tokenizer
 
