@@ -1,9 +1,11 @@
 """Language-model scoring by cross-entropy difference.
 
 Two bigram models share one vocabulary: the target model counts the documents marked as
-target, the background model counts all. The score of a document is the mean over its words
-of the target model's loss minus the background model's loss, in nats; the lower, the more
-the document resembles the target.
+target, the background model all others. The models are matched: the background's counts are
+scaled to the target's number of words, so that smoothing weighs the same in both, and a document
+is scored by counts without its own. The score of a document is the mean over its words of the
+target model's loss minus the background model's loss, in nats; the lower, the more the document
+resembles the target.
 
 Counts are exact and whole: every word and bigram of every document counts and scores, however
 rare. Documents are dealt into blocks of about ``BLOCK`` bytes, as many as the corpus needs. A
@@ -14,30 +16,26 @@ task holds hangs on the size of a block, and what is sent grows with the corpus.
 hash of the row, so that counting and scoring see the same rows; only rows equal in all columns
 meet in one.
 
-With ``resolution`` given (never by the query), the vocabulary is instead bounded: it holds what
-occurs as often as the bytes of the corpus divided by it, rounded up, and is gathered and
-broadcast; words outside share one class.
-
 The probability of a word is ``lam * c(prev, word) / c(prev) + (1 - lam) * flat`` with
-``flat = (c(word) + 1) / (N + V + 1)``; where the word before is unseen by the model, absent or
-outside the vocabulary, it is ``flat``. Hashes of 63 bits stand for words and bigrams.
-
-Null and empty texts have no words: losses and score 0. Without target documents the target
-model is uniform. A null target mark counts as not target. Rows are scored each on its own,
-repeated ones too.
+``flat = (c(word) + 1) / (N + V + 1)``, with V distinct words of the corpus; where the word before
+is unseen by the model or absent, it is ``flat``. Hashes of 63 bits stand for words and bigrams.
+
+Null and empty texts have no words: losses and score 0. Without target documents, or without
+others, that model is uniform. A null target mark counts as not target. Rows are scored each on its
+own, repeated ones too, each of which still counts for the others. Very long texts are scored
+whole, an empty table gives no rows, and ties do not arise. Columns of ``keep`` that are named as
+results are replaced by them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import U, Words, chunks, map_text, mix
+from .textops import U, Words, chunks, mix
 
 #: Bytes of text that are counted and scored together.
 BLOCK = 16 << 20
@@ -45,10 +43,6 @@ LAMBDA = 0.6
 #: Columns of what blocks send and get back.
 SENT = ["part", "block", "n", "own_words", "words", "key", "own", "total"]
 ANSWERED = ["part", "block", "n", "kinds", "own_words", "words", "own", "total"]
-#: Occurrences that a task holds before it sums and sends them.
-FLUSH = 4 << 20
-#: The key of the number of words. Words have odd keys, bigrams even ones.
-TOTAL = 0
 
 
 def keys(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,84 +55,6 @@ def keys(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (h | U(1)).view(np.int64), two.view(np.int64), inner
 
 
-def count(docs: DataFrame, text: str, target: str) -> DataFrame:
-    """(key, target, total): the counts of all words and bigrams."""
-    src = docs.select(F.coalesce(F.col(target).cast("boolean"), F.lit(False)), F.col(f"`{text}`"))
-
-    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        key, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        mark = np.concatenate([p[1] for p in parts])
-        total = np.bincount(inverse, minlength=len(key))
-        own = np.bincount(inverse[mark], minlength=len(key))
-        for a in range(0, len(key), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 16)]) for x in (key, own, total)], names=["key", "target", "total"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        words, held = np.zeros(2, np.int64), 0
-        for batch in batches:
-            mark = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi, byte, off in chunks(batch.column(1)):
-                w = Words(byte, off)
-                one, two, inner = keys(w)
-                own = np.repeat(mark[lo:hi], np.diff(w.off))
-                parts.append((np.concatenate([one, two[inner]]), np.concatenate([own, own[inner]])))
-                words += int(own.sum()), len(one)
-                held += len(parts[-1][0])
-                if held >= FLUSH:
-                    yield from summed(parts)
-                    parts, held = [], 0
-        if parts:
-            yield from summed(parts)
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (TOTAL, int(words[0]), int(words[1]))], names=["key", "target", "total"])
-
-    parts = src.mapInArrow(run, "key long, target long, total long")
-    return parts.groupBy("key").agg(F.sum("target").alias("target"), F.sum("total").alias("total"))
-
-
-class Model:
-    """Sorted keys of the vocabulary with both counts; N of both; V."""
-
-    def __init__(self, key: np.ndarray, target: np.ndarray, total: np.ndarray):
-        order = np.argsort(key)
-        self.key, counts = key[order], np.stack([target[order], total[order]])
-        at = int(np.searchsorted(self.key, TOTAL))
-        self.words = counts[:, at].astype(float) if at < len(self.key) and self.key[at] == TOTAL else np.zeros(2)
-        real = self.key != TOTAL
-        self.key, self.counts = self.key[real], counts[:, real].astype(np.float32)
-        word = (self.key & 1) == 1
-        self.kinds = int(word.sum())
-        self.outside = np.maximum(0, self.words - self.counts[:, word].sum(1, dtype=np.float64))
-
-    def find(self, key: np.ndarray) -> np.ndarray:
-        """Places of the keys, -1 for those outside."""
-        if not len(self.key):
-            return np.full(len(key), -1)
-        i = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return np.where(self.key[i] == key, i, -1)
-
-    def losses(self, w: Words, lam: float) -> list[np.ndarray]:
-        """Mean loss of each document under the target and the background model."""
-        one, two, inner = keys(w)
-        i, j = self.find(one), self.find(two)
-        prev = np.concatenate([i[:1], i[:-1]])
-        n, doc, out = np.diff(w.off), w.doc(), []
-        for k in (0, 1):
-            c = np.concatenate([self.counts[k], np.zeros(1, np.float32)])  # place -1: not there
-            flat = (np.where(i < 0, self.outside[k], c[i]) + 1.0) / (self.words[k] + self.kinds + 1)
-            known = inner & (c[prev] > 0)
-            p = np.where(known, lam * c[j] / np.maximum(c[prev], 1.0) + (1 - lam) * flat, flat)
-            out.append(np.bincount(doc, -np.log(p), len(n)) / np.maximum(n, 1))
-        return out
-
-
-def train(docs: DataFrame, text: str, target: str, resolution: int) -> Model:
-    size = docs.agg(F.sum(F.octet_length(f"`{text}`")).alias("n")).first()["n"] or 0
-    least = max(1, -(-size // resolution))
-    got = count(docs, text, target).where((F.col("total") >= least) | (F.col("key") == TOTAL)).toArrow()
-    return Model(*(got.column(c).to_numpy() for c in ("key", "target", "total")))
-
-
 OUT = T.StructType([T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("target_loss", "background_loss", "score"))])
 
 
@@ -174,8 +90,16 @@ def block_keys(table: pa.Table, text: str) -> tuple[np.ndarray, np.ndarray, np.n
     return one, two, inner, n, np.repeat(np.arange(len(n)), n)
 
 
-def exact_scores(docs: DataFrame, keep: list[str], text: str, target: str, lam: float, block: int) -> DataFrame:
-    spark = docs.sparkSession
+def own_counts(doc: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """How often each entry's document holds what the entry is."""
+    pair = doc.astype(np.int64) << 32 | of
+    _, inverse, many = np.unique(pair, return_inverse=True, return_counts=True)
+    return many[inverse]
+
+
+def lm_scores(docs: DataFrame, *, keep: list[str] | None = None, text: str = "text", target: str = "target", lam: float = LAMBDA, block: int = BLOCK) -> DataFrame:
+    """One row for each document: ``keep`` (default doc_id), n_tokens, target_loss, background_loss, score."""
+    spark, keep = docs.sparkSession, keep or ["doc_id"]
     size = docs.agg(F.sum(F.octet_length(f"`{text}`")).alias("n")).first()["n"] or 0
     n_blocks = max(1, -(-size // block), int(spark.conf.get("spark.sql.shuffle.partitions")))
     ids = places(spark, n_blocks)
@@ -237,13 +161,26 @@ def exact_scores(docs: DataFrame, keep: list[str], text: str, target: str, lam:
             raise RuntimeError("the rows of a block were not the same when they were counted and scored")
         kinds, *words = (int(answers.column(c).to_numpy().sum()) for c in ("kinds", "own_words", "words"))
         i, j = inverse[: len(one)], inverse[len(one) :]
-        prev, loss = np.concatenate([i[:1], i[:-1]]), []
-        for total, name in zip(words, ("own", "total"), strict=True):
+        mark = np.concatenate([c.to_numpy(zero_copy_only=False) for c in table.column("__target").chunks]).astype(bool)
+        known = {}
+        for name in ("own", "total"):
             c = np.zeros(len(key))
             c[place] = np.concatenate([unpack(x, k) for x, k in zip(answers.column(name).to_pylist(), sent.tolist(), strict=True)])
-            flat = (c[i] + 1.0) / (total + kinds + 1)
-            before = c[prev]
-            p = np.where(inner & (before > 0), lam * c[j] / np.maximum(before, 1.0) + (1 - lam) * flat, flat)
+            known[name] = c
+        marked, every = words
+        ratio = marked / (every - marked) if marked and every > marked else 1.0
+        mine, mine_two = own_counts(doc, i), np.zeros(len(j), np.int64)
+        mine_two[inner] = own_counts(doc[inner], j[inner])
+        before = np.maximum(np.arange(len(i)) - 1, 0)  # place of the word before
+        loss = []
+        for own, c, size, scale in ((mark, known["own"], marked, 1.0), (~mark, known["total"] - known["own"], every - marked, ratio)):
+            without = own[doc]
+            one_count = (c[i] - np.where(without, mine, 0)) * scale
+            flat = (one_count + 1.0) / ((size - np.where(own, n, 0)) * scale + kinds + 1)[doc]
+            # the word before lies in the same document, where there is one
+            first = (c[i[before]] - np.where(without, mine[before], 0)) * scale
+            pair = (c[j] - np.where(without, mine_two, 0)) * scale
+            p = np.where(inner & (first > 0), lam * pair / np.maximum(first, 1e-9) + (1 - lam) * flat, flat)
             loss.append(np.bincount(doc, -np.log(p), len(n)) / np.maximum(n, 1))
         return pa.Table.from_arrays([*(table.column(c) for c in keep), *map(pa.array, (n, *loss, loss[0] - loss[1]))], names=schema.fieldNames())
 
@@ -252,25 +189,6 @@ def exact_scores(docs: DataFrame, keep: list[str], text: str, target: str, lam:
     return dealt.groupBy("__block").cogroup(summed.repartition(n_blocks, "block").groupBy("block")).applyInArrow(scores, schema)
 
 
-def lm_scores(docs: DataFrame, *, keep: list[str] | None = None, text: str = "text", target: str = "target", lam: float = LAMBDA, resolution: int | None = None, block: int = BLOCK) -> DataFrame:
-    """One row for each document: ``keep`` (default doc_id), n_tokens, target_loss, background_loss, score."""
-    if resolution is None:
-        return exact_scores(docs, keep or ["doc_id"], text, target, lam, block)
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, text, target, resolution))
-
-    def make():
-        own = model.value
-
-        def fn(byte, off):
-            w = Words(byte, off)
-            a, b = own.losses(w, lam)
-            return [pa.array(np.diff(w.off)), pa.array(a), pa.array(b), pa.array(a - b)]
-
-        return fn
-
-    return map_text(docs, text, keep or ["doc_id"], OUT, make)
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     """Target: the documents labelled as of good quality."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -9,16 +9,23 @@ The model is fitted on a sample of at most ``max_train_rows`` labelled rows, the
 hash of doc_id, so that the fit is bounded whatever the corpus. Rows whose crc32(doc_id as
 text) mod 5 is 0 are never learnt from. Within the sample Spark counts the terms by label
 and keeps at most the ``max_terms`` most telling ones, and none whose log-likelihood ratio chance
-would bring up among so many terms; the driver gets their ids and the sample's
-few occurrences of them. Every document is scored, from its whole text, in Spark tasks.
+would bring up among so many terms. Terms that tell nothing by themselves but much together are
+found among the ``PAIR_TERMS`` most frequent ones: those of every pair stay whose joint table tells
+more than both do alone, beyond chance. The driver gets their ids and the sample's occurrences of
+them. Every document is scored, from its whole text, in Spark tasks.
 
 Null and empty texts have no terms and get the score of the bias alone. With no labelled
 row of both kinds, the score of all is the share of toxic labels (0 without labels). A null
-doc_id is held out and not learnt from. Repeated rows give repeated results.
+doc_id is held out and not learnt from. Repeated rows give repeated results; a doc_id labelled
+more than once has the largest label, and each of its texts is learnt from. Very long texts are
+scored whole, an empty table gives no rows. Terms that tell equally much are taken by their
+numbers. Columns of ``keep`` that are named as results are replaced by them.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +40,8 @@ RATES = (256, 64, 16)
 LEVELS = 1 + len(RATES)
 MAX_TRAIN_ROWS = 20_000
 MAX_TERMS = 2048
+#: Most frequent terms whose pairs are looked at, and documents of the sample that must hold one.
+PAIR_TERMS, PAIR_DOCS = 2048, 20
 FACTORS = 4
 ROUNDS = 150
 
@@ -136,6 +145,35 @@ def _surprise(k: F.Column, c: F.Column, p: int, n: int) -> F.Column:
     return 2 * sum((F.when(seen > 0, seen * F.ln(seen / due)).otherwise(0.0) for seen, due in cells), F.lit(0.0))
 
 
+def _ratio(k: np.ndarray, n: np.ndarray, rate: float) -> np.ndarray:
+    """Log-likelihood ratio of k toxic among n documents against the rate of all."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        parts = [np.where(x > 0, x * np.log(x / (n * r)), 0.0) for x, r in ((k, rate), (n - k, 1 - rate))]
+    return 2 * (parts[0] + parts[1])
+
+
+def joint_terms(doc: np.ndarray, at: np.ndarray, terms: int, label: np.ndarray) -> np.ndarray:
+    """Which terms belong to a pair that tells more together than apart. ``at``: index of each occurrence."""
+    n, rate, keep = len(label), float(label.mean()) if len(label) else 0.0, np.zeros(terms, bool)
+    if terms < 2 or not 0 < rate < 1:
+        return keep
+    x = np.zeros((n, terms), np.float32)
+    x[doc, at] = 1
+    toxic = x * label[:, None].astype(np.float32)
+    count, bad = x.sum(0, dtype=np.float64), toxic.sum(0, dtype=np.float64)
+    alone = _ratio(bad, count, rate) + _ratio(label.sum() - bad, n - count, rate)
+    least = 2 * math.log(terms * terms / 2) + 10
+    for lo in range(0, terms, 256):
+        own = slice(lo, lo + 256)
+        n11, k11 = (x[:, own].T @ x).astype(np.float64), (toxic[:, own].T @ x).astype(np.float64)
+        n10, k10 = count[own, None] - n11, bad[own, None] - k11
+        n01, k01 = count[None, :] - n11, bad[None, :] - k11
+        joint = _ratio(k11, n11, rate) + _ratio(k10, n10, rate) + _ratio(k01, n01, rate) + _ratio(label.sum() - k11 - k10 - k01, n - n11 - n10 - n01, rate)
+        i, j = np.nonzero(joint - alone[own, None] - alone[None, :] > least)
+        keep[i + lo] = keep[j] = True
+    return keep
+
+
 def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_train_rows: int = MAX_TRAIN_ROWS, max_terms: int = MAX_TERMS) -> Model:
     rows = labels.where(F.col(label).isNotNull() & ~held_out(F.col(doc_id))).groupBy(F.col(doc_id).alias("__id")).agg(F.max(F.col(label)).alias("__y"))
     sample = rows.orderBy(F.xxhash64("__id"), "__id").limit(max_train_rows)
@@ -146,13 +184,21 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     counts = materialise(found.select("__y", F.explode("terms").alias("b")).groupBy("b").agg(F.count("*").alias("c"), F.sum("__y").alias("k")).where("c >= 2"))
     least = 2 * np.log(max(counts.count(), 1))
     telling = counts.withColumn("g", _surprise(F.col("k"), F.col("c"), p, n)).where(F.col("g") > least).orderBy(F.desc("g"), "b").limit(max_terms)
-    bucket = np.array(sorted(r["b"] for r in telling.collect()), np.int64)
-    kept = F.array_intersect("terms", F.array(*[F.lit(int(b)) for b in bucket]).cast("array<int>"))
+    common = counts.where(F.col("b") < 1 << BITS).where(F.col("c").between(PAIR_DOCS, n - PAIR_DOCS)).orderBy(F.desc("c"), "b").limit(PAIR_TERMS)
+    telling_ids, common_ids = (np.array(sorted(r["b"] for r in t.collect()), np.int64) for t in (telling, common))
+    bucket = np.union1d(telling_ids, common_ids)
+    kept = F.array_intersect("terms", F.lit(bucket.tolist()).cast("array<int>"))
     got = found.select(F.col("__y").cast("double").alias("y"), kept.alias("t")).toArrow()
     t = got.column("t").combine_chunks()
-    flat = t.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.searchsorted(bucket, t.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
     doc = np.repeat(np.arange(n), np.diff(t.offsets.to_numpy())) if n else np.zeros(0, np.int64)
-    return fit(doc, np.searchsorted(bucket, flat), got.column("y").to_numpy(), bucket)
+    label_of = got.column("y").to_numpy()
+    place = np.searchsorted(common_ids, bucket[at])
+    is_common = np.isin(bucket[at], common_ids)
+    joint = common_ids[joint_terms(doc[is_common], place[is_common], len(common_ids), label_of)]
+    chosen = np.union1d(telling_ids, joint)
+    live = np.isin(bucket[at], chosen)
+    return fit(doc[live], np.searchsorted(chosen, bucket[at][live]), label_of, chosen)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, keep: list[str] | None = None, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:

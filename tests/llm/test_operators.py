@@ -171,6 +171,90 @@ def test_embeddings(spark, sf_dir):
     assert len(got) == len(data) and (have <= want).all() and have.sum() >= 0.9 * want.sum()
 
 
+def test_toxicity_of_pairs(spark):
+    """Labels that only two terms tell together: a linear model can do no better than chance."""
+    rng = np.random.default_rng(8)
+    filler = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(4000):
+        a, b = rng.integers(0, 2, 2)
+        own = [*rng.choice(filler, 12), *["foo"] * a, *["bar"] * b]
+        rng.shuffle(own)
+        texts.append((i, " ".join(own), int(a ^ b)))
+    df = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    got = rows(toxicity.toxicity(df, df))
+    out = [i for i, _, _ in texts if zlib.crc32(str(i).encode()) % 5 == 0]
+    right = np.mean([got[i]["predicted"] == texts[i][2] for i in out])
+    assert len(out) > 500 and right > 0.95, right
+
+
+def brute_links(data, cosine=0.98):
+    """n_links and component of each (id, label, vector), block by block."""
+    out = {}
+    for lab in {k for _, k, _ in data}:
+        ids = np.array([i for i, k, _ in data if k == lab])
+        x = np.array([v for _, k, v in data if k == lab], float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        near = x @ x.T >= cosine
+        np.fill_diagonal(near, False)
+        comp = ids.copy()
+        while True:
+            low = np.minimum(comp, np.where(near, comp[None, :], 1 << 60).min(1))
+            if (low == comp).all():
+                break
+            comp = low
+        out |= {int(i): (int(n), int(c)) for i, n, c in zip(ids, near.sum(1), comp, strict=True)}
+    return out
+
+
+def planted_vectors(n, seed, groups):
+    """Vectors of two labels with pairs a little above and below the least cosine, and dense groups."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+
+    def beside(v, cos):
+        u = rng.normal(size=v.shape)
+        u -= (u * v).sum(1, keepdims=True) * v
+        return cos * v + np.sqrt(1 - cos * cos) * u / np.linalg.norm(u, axis=1, keepdims=True)
+
+    parts = [x, beside(x[: n // 20], 0.981), beside(x[n // 20 : n // 10], 0.979)]
+    parts += [beside(np.repeat(x[g : g + 1], size, 0), 0.995) for g, size in groups]
+    x = np.concatenate(parts)
+    label = (rng.random(len(x)) < 0.9).astype(int)
+    return [(i, int(k), v.tolist()) for i, (k, v) in enumerate(zip(label, x, strict=True))]
+
+
+def test_forest_recall(spark):
+    """A label above 10,000 rows, trees of several levels, and a dense group in blocks, against brute force."""
+    data = planted_vectors(10_500, 3, ((0, 700), (1, 60)))
+    assert sum(k for _, k, _ in data) > 10_000
+    df = spark.createDataFrame(data, "vec_id long, label int, embedding array<float>").repartition(8)
+    data = [(r["vec_id"], r["label"], r["embedding"]) for r in df.collect()]
+    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_vectors(df, cell_rows=256).collect()}
+    want = {i: n for i, (n, _) in brute_links(data).items()}
+    lone = [i for i in want if 0 < want[i] < 5]
+    assert all(got[i] <= want[i] for i in want)
+    recall = sum(got[i] for i in lone) / sum(want[i] for i in lone)
+    print("recall of lone pairs", recall, "of all", sum(got.values()) / sum(want.values()))
+    assert recall >= 0.9 and sum(got.values()) >= 0.9 * sum(want.values()) and len(lone) > 500
+
+
+def test_forest_is_exact_where_it_does_not_split(spark):
+    data = planted_vectors(300, 4, ((0, 40),))
+    df = spark.createDataFrame(data, "vec_id long, label int, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_vectors(df, leaf_rows=1000, cell_rows=37).collect()}
+    assert got == brute_links(data)
+
+
+def test_repeated_vector_ids(spark):
+    data = [(1, 0, [1.0, 0.0]), (1, 0, [1.0, 0.0]), (1, 1, [0.0, 1.0]), (2, 0, [1.0, 0.01]), (2, 0, None), (3, 1, [0.0, 1.0])]
+    df = spark.createDataFrame([(*r, 0, 0) for r in data], "vec_id long, label int, embedding array<double>, rep int, copies int")
+    got = [(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.near_vectors(df).orderBy("vec_id").collect()]
+    assert got == [(1, 1, 1, True)] * 3 + [(2, 1, 1, False)] * 2 + [(3, 0, 3, True)]
+    assert embed_dedup.near_vectors(df.where("false")).count() == 0
+
+
 def test_odd_embeddings(spark):
     nan, big = float("nan"), [1e200, 0.0]
     data = [(1, 0, [1.0, 0.0]), (2, 0, [2.0, 0.0]), (3, 1, [1.0, 0.0]), (4, None, [1.0, 0.0]), (5, 0, None), (6, 0, [0.0, 0.0]), (7, 0, [nan, 1.0]), (8, 0, [1.0, None]), (9, 0, big), (None, 0, [1.0, 0.0]), (10, 0, [1.0, 0.0, 0.0]), (11, 0, [1.0, 0.0])]
@@ -200,73 +284,54 @@ def test_license_headers_and_files():
 
 
 def test_lm(spark):
-    from collections import Counter
-    from math import log
+    from pyspark.sql import functions as F
 
     data = [(1, "a b c a b", True), (2, "a b d", False), (3, "", True), (4, None, None), (5, "c c c é", None), (5, "c c c é", None)]
     got = rows(lm_score.lm_scores(spark.createDataFrame(data, "doc_id long, text string, target boolean")))
 
-    def model(texts):
-        one, two = Counter(), Counter()
-        for t in texts:
-            one.update(w := words(t))
-            two.update(zip(w, w[1:]))
-        return one, two
-
-    kinds = len(model([t for _, t, _ in data])[0])
+    want = brute_losses([(words(t), bool(k)) for _, t, k in data])
+    for (i, _, _), w in zip(data, want, strict=True):
+        assert np.allclose([got[i]["target_loss"], got[i]["background_loss"], got[i]["score"]], [*w, w[0] - w[1]])
+    no_target = rows(lm_score.lm_scores(spark.createDataFrame(data, "doc_id long, text string, target boolean").withColumn("target", F.lit(None).cast("boolean"))))
+    want = brute_losses([(words(t), False) for _, t, _ in data])
+    assert all(np.allclose([no_target[i]["target_loss"], no_target[i]["background_loss"]], w) for (i, _, _), w in zip(data, want, strict=True))
 
-    def loss(text, m):
-        one, two = m
-        n, total, prev = sum(one.values()), 0.0, None
-        for w in words(text):
-            flat = (one[w] + 1) / (n + kinds + 1)
-            total -= log(0.6 * two[prev, w] / one[prev] + 0.4 * flat if prev is not None and one[prev] else flat)
-            prev = w
-        return total / max(1, len(words(text)))
 
-    target, every = model([t for _, t, k in data if k]), model([t for _, t, _ in data])
-    for i, text, _ in data:
-        assert np.allclose([got[i]["target_loss"], got[i]["background_loss"]], [loss(text, target), loss(text, every)])
-
-
-def test_lm_vocabulary_is_bounded(spark, sf_dir):
-    from pyspark.sql import functions as F
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("target", F.col("doc_id") % 3 == 0)
-    model = lm_score.train(docs, "text", "target", resolution=1000)
-    assert 0 < len(model.key) <= 1000 and model.outside.min() > 0
-
-
-def test_lm_keeps_rare_words(spark, sf_dir):
-    """Over 4 MB of documents, where rare words and bigrams were dropped, against brute force."""
+def brute_losses(data, lam=0.6):
+    """(target, background) losses of each of (words, target), by counts without its own."""
     from collections import Counter
     from math import log
 
-    data = [(r["doc_id"], words(r["text"])) for r in spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.1')}/documents.parquet").select("doc_id", "text").where("doc_id < 4000").collect()]
-    assert sum(len(" ".join(w)) for _, w in data) > 6 << 20
-    from pyspark.sql import functions as F
+    one, two, size = [Counter(), Counter()], [Counter(), Counter()], [0, 0]
+    for w, target in data:
+        k = 0 if target else 1
+        one[k].update(w)
+        two[k].update(zip(w, w[1:]))
+        size[k] += len(w)
+    kinds = len(one[0].keys() | one[1].keys())
+    ratio = size[0] / size[1] if all(size) else 1.0
+    out = []
+    for w, target in data:
+        mine, mine_two, pair = Counter(w), Counter(zip(w, w[1:])), []
+        for k, scale in ((0, 1.0), (1, ratio)):
+            here, total = (0 if target else 1) == k, 0.0
+            for i, x in enumerate(w):
+                flat = ((one[k][x] - here * mine[x]) * scale + 1) / ((size[k] - here * len(w)) * scale + kinds + 1)
+                before = one[k][w[i - 1]] - here * mine[w[i - 1]] if i else 0
+                total -= log(lam * (two[k][w[i - 1], x] - here * mine_two[w[i - 1], x]) / before + (1 - lam) * flat if before else flat)
+            pair.append(total / max(1, len(w)))
+        out.append(tuple(pair))
+    return out
+
 
-    src = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.1')}/documents.parquet").where("doc_id < 4000").withColumn("target", F.col("doc_id") % 3 == 0)
-    got = rows(lm_score.lm_scores(src))
-    models = []
-    for own in (lambda i: i % 3 == 0, lambda i: True):
-        one, two = Counter(), Counter()
-        for i, w in data:
-            if own(i):
-                one.update(w)
-                two.update(zip(w, w[1:]))
-        models.append((one, two, sum(one.values())))
-    kinds = len(models[1][0])
-    assert got.keys() == {i for i, _ in data}
-    for i, w in data[::7]:
-        want = []
-        for one, two, n in models:
-            total = 0.0
-            for k, x in enumerate(w):
-                flat = (one[x] + 1) / (n + kinds + 1)
-                total -= log(0.6 * two[w[k - 1], x] / one[w[k - 1]] + 0.4 * flat if k and one[w[k - 1]] else flat)
-            want.append(total / max(1, len(w)))
-        assert got[i]["n_tokens"] == len(w) and np.allclose([got[i]["target_loss"], got[i]["background_loss"]], want)
+def test_lm_query(spark, sf_dir, docs):
+    """The query over its whole tables against brute force, rare words and all."""
+    good = {r["doc_id"]: r["quality"] == 1 for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    got = rows(QUERIES["op6_lm_scoring"](spark, sf_dir))
+    want = brute_losses([(words(t), good.get(i, False)) for i, t in docs])
+    assert got.keys() == {i for i, _ in docs}
+    for (i, t), w in zip(docs, want, strict=True):
+        assert got[i]["n_tokens"] == len(words(t)) and np.allclose([got[i]["target_loss"], got[i]["background_loss"]], w)
 
 
 def test_chat(spark, sf_dir):
