@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, embed_dedup, licenses, lm_score, minhash, packing, secret_scan, substring_dedup, toxicity
+from . import chat, decontam, embed_dedup, licenses, lm_score, minhash, packing, secret_scan, sql, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secret_scan.query,
@@ -21,6 +21,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_array_dedup": substring_dedup.query,
 }
 
-#: None of the ten can be held against SQL: their digests hang on models, tokenizers, sketches
-#: or positions; tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {}
+#: The others hang on models, thresholds of entropy, templates or a tokenizer; tests/llm holds them
+#: against brute force, round trips or held-out accuracy.
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": sql.DECONTAMINATION,
+    "op4_embedding_near_dedup": sql.EMBEDDINGS,
+    "op7_chat_formatting": sql.CHAT,
+    "op9_minhash_near_dedup": sql.NEAR_DUPLICATES,
+    "op10_suffix_array_dedup": sql.SUBSTRINGS,
+}
