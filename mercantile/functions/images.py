@@ -1,15 +1,11 @@
 """Perceptual hashes of product images.
 
-No image library is at hand, so PNG (8 bits, not interlaced) and PGM/PPM are decoded here;
-other images get a null hash. Images come from Spark's ``binaryFile`` reader; each is decoded
-on its own in an Arrow batch.
+Images are decoded by Spark's image source in the JVM (JPEG, PNG, GIF, BMP); what it cannot read
+has a null hash. Only the hash is made here, in Arrow batches.
 """
 
 from __future__ import annotations
 
-import struct
-import zlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,49 +15,6 @@ from pyspark.sql import types as T
 SIDE, LOW = 32, 8
 
 
-def decode(raw: bytes) -> np.ndarray:
-    """Grey values, height by width."""
-    if raw[:2] in (b"P5", b"P6"):
-        head = raw.split(maxsplit=4)
-        channels = 1 if raw[:2] == b"P5" else 3
-        w, h = int(head[1]), int(head[2])
-        x = np.frombuffer(raw, np.uint8, offset=len(raw) - w * h * channels).reshape(h, w, channels)
-        return x.mean(2)
-    if raw[:8] != b"\x89PNG\r\n\x1a\n":
-        raise ValueError("no PNG, PGM or PPM")
-    at, data = 8, b""
-    while at < len(raw):
-        n, kind = struct.unpack(">I4s", raw[at : at + 8])
-        body = raw[at + 8 : at + 8 + n]
-        if kind == b"IHDR":
-            w, h, depth, color, _, _, interlaced = struct.unpack(">IIBBBBB", body)
-        elif kind == b"IDAT":
-            data += body
-        at += 12 + n
-    channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(color)
-    if depth != 8 or interlaced or not channels:
-        raise ValueError("this kind of PNG is not read")
-    lines = np.frombuffer(zlib.decompress(data), np.uint8).reshape(h, 1 + w * channels)
-    out = np.zeros((h + 1, w + 1, channels), np.int64)  # a row above and a column before of zeros
-    for y in range(h):
-        line, kind = lines[y, 1:].reshape(w, channels).astype(np.int64), lines[y, 0]
-        if kind in (0, 2):
-            out[y + 1, 1:] = line + (out[y, 1:] if kind == 2 else 0) & 255
-            continue
-        for x in range(w):
-            a, b, c = out[y + 1, x], out[y, x + 1], out[y, x]
-            if kind == 1:
-                guess = a
-            elif kind == 3:
-                guess = (a + b) // 2
-            else:
-                p = a + b - c
-                pa, pb, pc = abs(p - a), abs(p - b), abs(p - c)
-                guess = np.where((pa <= pb) & (pa <= pc), a, np.where(pb <= pc, b, c))
-            out[y + 1, x + 1] = line[x] + guess & 255
-    return out[1:, 1:, : 3 if channels > 2 else 1].mean(2)
-
-
 def phash(grey: np.ndarray) -> int:
     """64 bits: which of the low frequencies of the image are above their median."""
     rows = np.linspace(0, grey.shape[0], SIDE + 1).astype(int)
@@ -75,17 +28,19 @@ def phash(grey: np.ndarray) -> int:
 
 
 @F.pandas_udf(T.LongType())
-def image_hash(content: pd.Series) -> pd.Series:
-    def one(raw):
-        try:
-            return phash(decode(bytes(raw)))
-        except (ValueError, TypeError, IndexError, struct.error, zlib.error):
+def image_hash(image: pd.DataFrame) -> pd.Series:
+    """Of the image source's columns height, width, nChannels and data (bytes by row)."""
+
+    def one(height, width, channels, data):
+        if data is None or min(height, width, channels) < 1:
             return None
+        x = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+        return phash(x[:, :, : min(channels, 3)].mean(2))
 
-    return pd.Series([one(x) for x in content], dtype="Int64")
+    return pd.Series([one(*row) for row in zip(image["height"], image["width"], image["nChannels"], image["data"], strict=True)], dtype="Int64")
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """(path, hash) of the image files below ``path``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", image_hash("content").alias("hash"))
+    files = spark.read.format("image").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.col("image.origin").alias("path"), image_hash("image").alias("hash"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialise
@@ -36,25 +36,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def match_products(offers: DataFrame, *, id_col: str, keys: list[str], price: str, tolerance: float) -> DataFrame:
-    """(a, b), a < b: offers that agree in ``keys`` and whose prices differ by ``tolerance`` at most.
+def price_clusters(offers: DataFrame, *, id_col: str, keys: list[str], price: str, tolerance: float) -> DataFrame:
+    """(id, cluster_id): offers that agree in ``keys`` and whose prices form a chain of steps of
+    ``tolerance`` at most; the smallest id of a chain names it.
 
-    The price is cut into cells as wide as the tolerance, so the match is an equi-join of a
-    cell with itself and the next one, and the largest join key is one narrow price cell of
-    one product name, not the whole name. Null ids, keys and prices match nothing.
+    In one dimension chains are runs without a wider gap, so no offers are paired. Prices of one
+    cell of the tolerance's width are near each other; cells are reduced to their least and
+    largest prices within tasks, and only cells are put in order, not the offers of a product.
+    Offers with a null id, key or price are clusters of their own.
     """
     cell = F.floor(F.col(price) / F.lit(tolerance)).cast("long")
-    left = offers.select(F.col(id_col).alias("a"), *keys, F.col(price).alias("pa"), cell.alias("cell"))
-    right = offers.select(F.col(id_col).alias("b"), *keys, F.col(price).alias("pb"), cell.alias("own"))
-    right = right.withColumn("cell", F.explode(F.array("own", F.col("own") - 1, F.col("own") + 1)))
-    near = left.join(right, [*keys, "cell"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("pa") - F.col("pb")) <= tolerance))
-    return near.select("a", "b")
-
-
-def clusters(rows: DataFrame, edges: DataFrame, *, id_col: str) -> DataFrame:
-    """(id, cluster_id): every row, alone or with those its edges reach."""
-    found = components(edges)
-    return rows.select(id_col).join(found, F.col(id_col) == F.col("node"), "left").select(id_col, F.coalesce("component", id_col).alias("cluster_id"))
+    known = F.lit(True)
+    for c in (id_col, *keys, price):
+        known = known & F.col(c).isNotNull()
+    own = offers.select(id_col, *keys, F.when(known, cell).alias("cell"), F.col(price).alias("__price"))
+    cells = own.where("cell is not null").groupBy(*keys, "cell").agg(F.min("__price").alias("lo"), F.max("__price").alias("hi"), F.min(id_col).alias("first"))
+    along = Window.partitionBy(*keys).orderBy("cell")
+    fresh = F.when(F.col("lo") - F.lag("hi").over(along) <= tolerance, 0).otherwise(1)
+    runs = cells.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    named = runs.withColumn("cluster_id", F.min("first").over(Window.partitionBy(*keys, "run"))).select(*keys, "cell", "cluster_id")
+    return own.join(named, [*keys, "cell"], "left").select(id_col, F.coalesce("cluster_id", id_col).alias("cluster_id"))
 
 
 def exact_clusters(rows: DataFrame, *, id_col: str, keys: list[str]) -> DataFrame:

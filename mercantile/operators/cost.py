@@ -14,6 +14,8 @@ PROFILE_ROWS = """
 ('AE', 0.05, 0.05, 6.10), ('US', 0.08, 0.00, 7.40), ('PL', 0.04, 0.23, 4.90), ('RO', 0.04, 0.19, 4.70)
 """
 COUNTRIES = ["TR", "DE", "NL", "GB", "AE", "US", "PL", "RO"]
+#: Rows of rates that each product may meet.
+MOST_COUNTRIES = 300
 #: Rates a user has set; nulls leave the profile's.
 OVERRIDE_ROWS = "('TR', 0.10, null, null), ('US', null, 0.07, 6.00), ('PL', 0.00, 0.08, 3.00)"
 _RATES = "select country, cast(duty as double) duty, cast(vat as double) vat, cast(ship as double) ship from (values {}) as t(country, duty, vat, ship)"
@@ -59,7 +61,9 @@ def cheapest_per_origin(offers: DataFrame, *, product: str, origin: str, price:
 
 def landed_best(offers: DataFrame, rates: DataFrame, *, product: str, origin: str, price: str, supplier: str) -> DataFrame:
     """The cheapest landed supplier of each product for each target country; goods from the
-    target itself bear no duty. ``rates`` has a row a country and is broadcast."""
+    target itself bear no duty. ``rates`` has a row a country, checked to be at most ``MOST_COUNTRIES``."""
+    if rates.limit(MOST_COUNTRIES + 1).count() > MOST_COUNTRIES:
+        raise ValueError("rates must have a row a country")
     few = cheapest_per_origin(offers, product=product, origin=origin, price=price, supplier=supplier)
     every = few.crossJoin(F.broadcast(rates))  # at most countries x countries rows a product
     duty = F.when(F.col(origin) == F.col("country"), F.lit(0.0)).otherwise(F.col("duty"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialise
+from ..storage import broadcast_if_small, materialise
 
 #: Customs headings with the words that speak for them, as SQL rows (code, title, word, weight).
 CODE_ROWS = """
@@ -68,9 +68,9 @@ def supplier_score(facts: DataFrame) -> DataFrame:
 def suggest_codes(products: DataFrame, headings: DataFrame, *, id_col: str, text: str) -> DataFrame:
     """The heading whose words weigh most in a product's text (ties: the smaller code), or null.
 
-    ``headings`` is a fixed list and is broadcast; a product's words are aggregated by product.
+    ``headings`` is broadcast if it is small; a product's words are aggregated by product.
     """
     words = products.select(id_col, F.explode(F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+"))).alias("word"))
-    scores = words.join(F.broadcast(headings), "word").groupBy(id_col, "code").agg(F.sum("weight").alias("points"))
+    scores = words.join(broadcast_if_small(headings), "word").groupBy(id_col, "code").agg(F.sum("weight").alias("points"))
     best = scores.groupBy(id_col).agg(F.min(F.struct((-F.col("points")).alias("p"), "code")).alias("best"))
     return products.select(id_col).join(best, id_col, "left").select(id_col, F.col("best.code").alias("code"), (-F.col("best.p")).cast("long").alias("points"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import broadcast_if_small
+
 #: Turkish words and their translation, as SQL rows (word, lang, translated).
 DICTIONARY_ROWS = """
 ('halka', 'en', 'ring'), ('dişli', 'en', 'gear'), ('cıvata', 'en', 'bolt'), ('kırmızı', 'en', 'red'), ('mavi', 'en', 'blue'),
@@ -33,7 +35,7 @@ def ladder(queries: DataFrame, words: DataFrame, *, lang: str) -> DataFrame:
     """
     own = words.where(F.col("lang") == lang).select(F.col("word"), "translated")
     parts = queries.select("query_id", F.posexplode(F.split(turkish_lower(F.trim("text")), r"\s+")).alias("at", "word"))
-    found = parts.join(F.broadcast(own), "word", "left")
+    found = parts.join(broadcast_if_small(own), "word", "left")
     one = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("at", "translated"))).alias("t"))
     every = F.transform("t", lambda x: x["translated"])
     whole = F.when(F.forall(every, lambda x: x.isNotNull()), F.array_join(every, " "))
@@ -48,7 +50,7 @@ def first_hits(rungs: DataFrame, products: DataFrame, *, id_col: str, name: str)
     """
     names = products.select(F.col(id_col).alias("id"), F.lower(name).alias("n"))
     index = names.select("id", F.explode(F.array_distinct(F.concat(F.array("n"), F.split("n", r"\s+")))).alias("text"))
-    hits = index.join(F.broadcast(rungs), "text").groupBy("query_id", "rung", "text").agg(F.count("*").alias("n_hits"), F.min("id").alias("best_id"))
+    hits = index.join(broadcast_if_small(rungs), "text").groupBy("query_id", "rung", "text").agg(F.count("*").alias("n_hits"), F.min("id").alias("best_id"))
     return hits.groupBy("query_id").agg(F.min(F.struct("rung", "text", "n_hits", "best_id")).alias("x")).select("query_id", "x.*")
 
 

@@ -149,8 +149,7 @@ select n as p_partkey, min(m) as cluster_id from reach group by 1""")
 def same_product_clusters(spark, sf_dir):
     """Parts of one brand, type and name whose prices are near, joined along chains."""
     parts = table(spark, sf_dir, "part")
-    edges = clusters.match_products(parts, id_col="p_partkey", keys=["p_brand", "p_type", "p_name"], price="p_retailprice", tolerance=5.0)
-    return clusters.clusters(parts, edges, id_col="p_partkey")
+    return clusters.price_clusters(parts, id_col="p_partkey", keys=["p_brand", "p_type", "p_name"], price="p_retailprice", tolerance=5.0)
 
 
 @query("select min(doc_id) as cluster_id, count(*) as n_members from documents where text is not null group by text having count(*) > 1")
@@ -159,14 +158,14 @@ def exact_text_clusters(spark, sf_dir):
 
 
 @query("""
-with h as (select vec_id, label, array_to_string(list_transform(embedding, lambda x: case when x > 0 then '1' else '0' end), '') as bits from embeddings),
+with h as (select vec_id, label, array_to_string(list_transform(embedding, lambda x: case when x > 0 then '1' else '0' end)[1:32], '') as bits from embeddings),
      u as (select label, bits, min(vec_id) as rep, count(*) as n from h where label is not null group by 1, 2)
 select x.rep as a, y.rep as b, x.n as n_a, y.n as n_b, cast(bit_count(xor(x.bits::bit, y.bits::bit)) as int) as distance
 from u x join u y on x.label = y.label and x.rep < y.rep where bit_count(xor(x.bits::bit, y.bits::bit)) <= 7""")
 def fingerprint_pairs(spark, sf_dir):
-    """Pairs of 64-bit fingerprints at most 7 bits apart, within a label."""
-    prints = table(spark, sf_dir, "embeddings").select("vec_id", "label", pg.sign_bits(F.col("embedding")).alias("bits"))
-    return clusters.hamming_pairs(prints, id_col="vec_id", bits="bits", by="label", distance=7)
+    """Pairs of 32-bit fingerprints at most 7 bits apart, within a label."""
+    prints = table(spark, sf_dir, "embeddings").select("vec_id", "label", pg.sign_bits(F.slice("embedding", 1, 32)).alias("bits"))
+    return clusters.hamming_pairs(prints, id_col="vec_id", bits="bits", by="label", distance=7, width=32)
 
 
 @query("""
@@ -247,9 +246,10 @@ def top_orders(spark, sf_dir):
     return search.top_per_group(joined, by=["c_mktsegment"], order=[F.desc("o_totalprice"), F.col("o_orderkey")], n=5).select("c_mktsegment", "o_orderkey", "o_totalprice", "place")
 
 
-@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 400000)")
 def idle_customers(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey", "c_name")
+    """Customers without a large order."""
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_totalprice > 400000"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @query("""
@@ -298,7 +298,7 @@ def stream_daily_events(spark, sf_dir):
     return done.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("select event_id, user_id, value from events where user_id % 10 = 3 and value >= 15")
+@query("select event_id, user_id, value from events where value >= 15 and user_id in (select user_id from events where event_type = 'signup' and value >= 150)")
 def stream_alerts(spark, sf_dir):
-    watched = table(spark, sf_dir, "events").where("user_id % 10 = 3").select("user_id").distinct()
+    watched = table(spark, sf_dir, "events").where("event_type = 'signup' and value >= 150").select("user_id").distinct()
     return watch.drain(watch.alerts(watch.read_events(spark, sf_dir, "events.parquet"), watched, above=15.0).select("event_id", "user_id", "value"))

@@ -7,8 +7,8 @@ so a market's pages are read, filtered and parsed by one Spark scan.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,20 +28,6 @@ class Adapter:
     seller: str = r'(?i)class="seller"[^>]*>\s*([^<]*?)\s*<'
     comma: bool = False
 
-    def amount(self, html: Column) -> Column:
-        raw = F.regexp_extract(html, self.price, 1)
-        plain = F.translate(raw, ".", "") if self.comma else F.translate(raw, ",", "")
-        return F.translate(plain, ",", ".").try_cast("decimal(12,2)")
-
-    def offers(self, pages: DataFrame) -> DataFrame:
-        """Offers of the pages of this market; what a page lacks is null."""
-        own = pages.where(F.col("market") == self.market)
-
-        def text(pattern: str) -> Column:
-            return F.nullif(F.regexp_extract("html", pattern, 1), F.lit(""))
-
-        return own.select("market", "url", F.lit(self.lang).alias("lang"), text(self.title).alias("title"), self.amount(F.col("html")).alias("price"), F.lit(self.currency).alias("currency"), text(self.seller).alias("seller"))
-
 
 REGISTRY: dict[str, Adapter] = {}
 
@@ -68,10 +54,42 @@ for _market, _lang, _currency, _comma in (
     register(Adapter(_market, _lang, _currency, comma=_comma))
 
 
+def parsed(pages: DataFrame, adapters: list[Adapter]) -> DataFrame:
+    """Offers of the pages of the adapters' markets; what a page lacks is null. One scan: each
+    column is one expression, with a branch for each different pattern, not for each market."""
+
+    def branch(of: Callable[[Adapter], object], make: Callable[[object], Column]) -> Column:
+        markets: dict[object, list[str]] = {}
+        for a in adapters:
+            markets.setdefault(of(a), []).append(a.market)
+        out = None
+        for key, names in markets.items():
+            here = F.col("market").isin(names)
+            out = F.when(here, make(key)) if out is None else out.when(here, make(key))
+        return F.lit(None).cast("string") if out is None else out
+
+    def text(pattern: str) -> Column:
+        return F.nullif(F.regexp_extract("html", pattern, 1), F.lit(""))
+
+    def amount(key: tuple[str, bool]) -> Column:
+        pattern, comma = key
+        raw = F.regexp_extract("html", pattern, 1)
+        return F.translate(F.translate(raw, "." if comma else ",", ""), ",", ".").try_cast("decimal(12,2)")
+
+    return pages.where(F.col("market").isin([a.market for a in adapters])).select(
+        "market",
+        "url",
+        branch(lambda a: a.lang, F.lit).alias("lang"),
+        branch(lambda a: a.title, text).alias("title"),
+        branch(lambda a: (a.price, a.comma), amount).cast("decimal(12,2)").alias("price"),
+        branch(lambda a: a.currency, F.lit).alias("currency"),
+        branch(lambda a: a.seller, text).alias("seller"),
+    )
+
+
 def search(pages: DataFrame, markets: list[str] | None = None, words: list[str] = ()) -> DataFrame:
-    """Offers of all asked markets whose titles hold all words; markets run side by side."""
-    parts = [REGISTRY[m].offers(pages) for m in (markets or sorted(REGISTRY))]
-    found = reduce(DataFrame.unionByName, parts)
+    """Offers of all asked markets whose titles hold all words; all markets in one scan."""
+    found = parsed(pages, [REGISTRY[m] for m in (sorted(REGISTRY) if markets is None else markets)])
     for word in words:
         found = found.where(F.contains(F.lower("title"), F.lit(word.lower())))
     return found

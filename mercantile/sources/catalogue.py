@@ -18,5 +18,4 @@ from {{source}}
 
 
 def catalogue(spark: SparkSession, products: int = PRODUCTS) -> DataFrame:
-    spark.range(products).createOrReplaceTempView("__catalogue_ids")
-    return spark.sql(CATALOGUE_SQL.format(source="__catalogue_ids"))
+    return spark.sql(CATALOGUE_SQL, source=spark.range(products))

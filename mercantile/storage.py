@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Used only where ``spark.checkpoint.dir`` is unset, as in local tests.
-LOCAL_FOLDER = "/tmp/mercantile-checkpoints"
+#: Rows up to which a side of a join counts as small.
+SMALL_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,10 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, where all executors can read and write."""
+    """A new folder below ``spark.checkpoint.dir``, where all executors can read and write. Only a
+    local session, whose executors are the driver, may do without that setting."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = LOCAL_FOLDER
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -29,3 +34,9 @@ def materialise(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most so many rows; else the join is a shuffle.
+    The count stops behind the limit."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -61,16 +61,54 @@ def test_percent_ranks(spark):
 
 def png(rows):
     raw = b"".join(b"\x00" + bytes(r) for r in rows)
+
     def part(kind, body):
         return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", len(rows[0]), len(rows), 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+
+    size = struct.pack(">IIBBBBB", len(rows[0]) if rows else 0, len(rows), 8, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", size) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+
+
+def bmp(rows):
+    """24 bits, rows from the last to the first; widths that are multiples of four."""
+    data = b"".join(bytes(x for v in r for x in (v, v, v)) for r in reversed(rows))
+    return b"BM" + struct.pack("<IHHI", 54 + len(data), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, len(rows[0]), len(rows), 1, 24, 0, len(data), 0, 0, 0, 0) + data
 
 
 def test_image_hash(spark, tmp_path):
     rng = random.Random(1)
     rows = [[rng.randrange(256) for _ in range(64)] for _ in range(64)]
     (tmp_path / "a.png").write_bytes(png(rows))
-    (tmp_path / "b.pgm").write_bytes(b"P5 64 64 255\n" + bytes(x for r in rows for x in r))
+    (tmp_path / "b.bmp").write_bytes(bmp(rows))
     (tmp_path / "c.png").write_bytes(b"junk")
+    (tmp_path / "d.png").write_bytes(png([])[:20])
     got = {r["path"][-5:]: r["hash"] for r in images.read_images(spark, str(tmp_path)).collect()}
-    assert got["a.png"] == got["b.pgm"] is not None and got["c.png"] is None
+    assert got["a.png"] == got["b.bmp"] is not None and got["c.png"] is got["d.png"] is None
+
+
+def test_price_clusters(spark):
+    """Chains of prices by brute force, over equal prices, cell edges, nulls and one hot product."""
+    rng = random.Random(3)
+    offers = [(i, rng.choice("ab"), rng.choice([None, *[round(rng.uniform(0, 60), 2) for _ in range(5)], 5.0, 10.0])) for i in range(120)] + [(500, None, 1.0)]
+    got = {r["id"]: r["cluster_id"] for r in clusters.price_clusters(spark.createDataFrame(offers, "id long, k string, p double"), id_col="id", keys=["k"], price="p", tolerance=2.5).collect()}
+    want = {i: i for i, k, p in offers}
+    for key in "ab":
+        own, run = sorted((p, i) for i, k, p in offers if k == key and p is not None), []
+        for p, i in own:
+            if run and p - run[-1][0] > 2.5:
+                want |= {j: min(x for _, x in run) for _, j in run}
+                run = []
+            run.append((p, i))
+        want |= {j: min(x for _, x in run) for _, j in run}
+    assert got == want
+
+
+def test_shared_dir_needs_a_setting_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from mercantile.storage import shared_dir
+
+    with pytest.raises(ValueError, match="share"):
+        shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:1")))
