@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,3 +42,28 @@ def drain(stream: DataFrame) -> DataFrame:
     query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{top}/out").option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{top}/out")
+
+
+def running_extremes(events: DataFrame) -> DataFrame:
+    """(event_type, least, most, n) after each batch: a state of three numbers for each type."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        least, most, n = state.get if state.exists else (float("inf"), float("-inf"), 0)
+        for batch in batches:
+            v = batch["value"].dropna()
+            if len(v):
+                least, most = min(least, float(v.min())), max(most, float(v.max()))
+            n += len(batch)
+        state.update((least, most, n))
+        yield pd.DataFrame({"event_type": [key[0]], "least": [least], "most": [most], "n": [n]})
+
+    one = events.select("event_type", "value").groupBy("event_type")
+    return one.applyInPandasWithState(step, "event_type string, least double, most double, n long", "least double, most double, n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def latest(stream: DataFrame, *, by: list[str], order: str) -> DataFrame:
+    """The last of the rows that a stream has given for each group."""
+    done = drain(stream)
+    return done.groupBy(*by).agg(F.max(F.struct(order, *[c for c in done.columns if c not in (*by, order)])).alias("x")).select(*by, "x.*")

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from mercantile.plans import queries as plans
+from mercantile.plans import queries as plans  # the entry module has registered all
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
