@@ -37,9 +37,9 @@ def market_offers(spark, sf_dir):
     return amounts(adapters.search(pages(spark, sf_dir)), "price")
 
 
-@query(f"select market, url, cast(price as double) as price from ({_OFFERS}) where market in ('ebay', 'trendyol') and contains(title, 'red') and contains(title, 'ring')")
+@query(f"select market, url, cast(price as double) as price from ({_OFFERS}) where market in ('ebay', 'trendyol') and contains(title, 'red') and contains(title, 'i')")
 def market_search(spark, sf_dir):
-    return amounts(adapters.search(pages(spark, sf_dir), ["ebay", "trendyol"], ["Red", "ring"]), "price").select("market", "url", "price")
+    return amounts(adapters.search(pages(spark, sf_dir), ["ebay", "trendyol"], ["Red", "i"]), "price").select("market", "url", "price")
 
 
 @query(f"""
