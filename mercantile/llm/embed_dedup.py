@@ -36,7 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .components import components
+from mercantile.operators.clusters import components
+
 from .textops import materialise
 
 COSINE = 0.98

@@ -41,7 +41,7 @@ LEVELS = 1 + len(RATES)
 MAX_TRAIN_ROWS = 20_000
 MAX_TERMS = 2048
 #: Most frequent terms whose pairs are looked at, and documents of the sample that must hold one.
-PAIR_TERMS, PAIR_DOCS = 2048, 20
+PAIR_TERMS, PAIR_DOCS = 1024, 20
 FACTORS = 4
 ROUNDS = 150
 
@@ -157,20 +157,22 @@ def joint_terms(doc: np.ndarray, at: np.ndarray, terms: int, label: np.ndarray)
     n, rate, keep = len(label), float(label.mean()) if len(label) else 0.0, np.zeros(terms, bool)
     if terms < 2 or not 0 < rate < 1:
         return keep
-    x = np.zeros((n, terms), np.float32)
+    x = np.zeros((n, terms), np.uint8)
     x[doc, at] = 1
-    toxic = x * label[:, None].astype(np.float32)
+    toxic, all_bad = x[label == 1].astype(np.float32), float(label.sum())
     count, bad = x.sum(0, dtype=np.float64), toxic.sum(0, dtype=np.float64)
-    alone = _ratio(bad, count, rate) + _ratio(label.sum() - bad, n - count, rate)
+    alone = _ratio(bad, count, rate) + _ratio(all_bad - bad, n - count, rate)
     least = 2 * math.log(terms * terms / 2) + 10
-    for lo in range(0, terms, 256):
-        own = slice(lo, lo + 256)
-        n11, k11 = (x[:, own].T @ x).astype(np.float64), (toxic[:, own].T @ x).astype(np.float64)
-        n10, k10 = count[own, None] - n11, bad[own, None] - k11
-        n01, k01 = count[None, :] - n11, bad[None, :] - k11
-        joint = _ratio(k11, n11, rate) + _ratio(k10, n10, rate) + _ratio(k01, n01, rate) + _ratio(label.sum() - k11 - k10 - k01, n - n11 - n10 - n01, rate)
-        i, j = np.nonzero(joint - alone[own, None] - alone[None, :] > least)
-        keep[i + lo] = keep[j] = True
+    blocks = [slice(lo, lo + 128) for lo in range(0, terms, 128)]
+    for k, own in enumerate(blocks):
+        mine = x[:, own].astype(np.float32)
+        for other in blocks[k:]:
+            n11, k11 = (mine.T @ x[:, other].astype(np.float32)).astype(np.float64), (toxic[:, own].T @ toxic[:, other]).astype(np.float64)
+            n10, k10 = count[own, None] - n11, bad[own, None] - k11
+            n01, k01 = count[None, other] - n11, bad[None, other] - k11
+            joint = _ratio(k11, n11, rate) + _ratio(k10, n10, rate) + _ratio(k01, n01, rate) + _ratio(all_bad - k11 - k10 - k01, n - n11 - n10 - n01, rate)
+            i, j = np.nonzero(joint - alone[own, None] - alone[None, other] > least)
+            keep[i + own.start] = keep[j + other.start] = True
     return keep
 
 
@@ -190,15 +192,15 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     kept = F.array_intersect("terms", F.lit(bucket.tolist()).cast("array<int>"))
     got = found.select(F.col("__y").cast("double").alias("y"), kept.alias("t")).toArrow()
     t = got.column("t").combine_chunks()
-    at = np.searchsorted(bucket, t.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
-    doc = np.repeat(np.arange(n), np.diff(t.offsets.to_numpy())) if n else np.zeros(0, np.int64)
+    at = np.searchsorted(bucket, t.flatten().to_numpy(zero_copy_only=False).astype(np.int64)).astype(np.int32)
+    doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(t.offsets.to_numpy())) if n else np.zeros(0, np.int32)
     label_of = got.column("y").to_numpy()
-    place = np.searchsorted(common_ids, bucket[at])
-    is_common = np.isin(bucket[at], common_ids)
-    joint = common_ids[joint_terms(doc[is_common], place[is_common], len(common_ids), label_of)]
+    del got, t
+    live = np.isin(bucket, common_ids)[at]
+    joint = common_ids[joint_terms(doc[live], np.searchsorted(common_ids, bucket)[at[live]], len(common_ids), label_of)]
     chosen = np.union1d(telling_ids, joint)
-    live = np.isin(bucket[at], chosen)
-    return fit(doc[live], np.searchsorted(chosen, bucket[at][live]), label_of, chosen)
+    live = np.isin(bucket, chosen)[at]
+    return fit(doc[live], np.searchsorted(chosen, bucket)[at[live]], label_of, chosen)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, keep: list[str] | None = None, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
