@@ -12,7 +12,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is below 0.5."""
+    """Documents whose score is below 0.5, repeated rows and those with null columns too; a null or
+    empty text has the score of no terms. Without labels nothing is toxic; an empty table stays empty."""
     scored = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=COLUMNS)
     return scored.where("predicted = 0").select(*COLUMNS)
 
@@ -26,18 +27,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
+    """Documents that hold no passage of the benchmark, repeated rows and those with null columns
+    too. An empty benchmark rejects none; an empty table stays empty."""
     found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=COLUMNS)
     return found.where("not contaminated").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked."""
+    """All documents, with secrets masked and ``n_chars`` counted anew (null for a null text);
+    repeated rows and rows without an id stay. An empty table stays empty."""
     return secret_scan.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens, as pieces of documents with their ids."""
+    """Sequences of at most 2048 tokens, as pieces of documents with their ids. Null and empty texts
+    are the end id alone, repeated rows are packed again; an empty table gives no pieces."""
     return packing.pack(docs, with_ids=True)
 
 
