@@ -38,6 +38,12 @@ from .textops import map_text, materialise
 
 COSINE = 0.7
 FILE_SHARE = 0.6
+#: License, terms and identifier of tags.
+SPDX = (
+    *((n, n.lower(), n) for n in ("MIT", "ISC")),
+    *((n, n.lower().replace("-", " "), n) for n in ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "CC0-1.0")),
+    *((f"{k}-{v}", f"{k.lower()} {v}", f"{k}-{v}{end}") for k, v in (("GPL", "2.0"), ("GPL", "3.0"), ("LGPL", "2.1"), ("LGPL", "3.0"), ("AGPL", "3.0")) for end in ("", "-only", "-or-later")),
+)
 #: License, terms that a text must hold, notice. Several rows of a license are several templates.
 TEMPLATES: tuple[tuple[str, str, str], ...] = (
     ("MIT", "mit license", "Released under the MIT License."),
@@ -56,6 +62,7 @@ TEMPLATES: tuple[tuple[str, str, str], ...] = (
     *((f"CC-{k.upper()}-4.0", "cc 4.0", f"Licensed under CC {k.upper()} 4.0.") for k in ("by", "by-sa", "by-nc", "by-nc-sa", "by-nd")),
     ("CC0-1.0", "cc0 1.0", "Released under CC0 1.0 Universal, dedicated to the public domain."),
     ("proprietary", "rights reserved", "All rights reserved."),
+    *((n, f"spdx {t}", f"SPDX-License-Identifier: {x}") for n, t, x in SPDX),
 )
 MIT = """MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 #: License, terms, and file of the whole text in license_texts. The first HEAD words are a template of their own.

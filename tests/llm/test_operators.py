@@ -280,6 +280,7 @@ def test_license_headers_and_files():
     cases += [(name, (top / file).read_text()[:1500]) for name, _, file in licenses.FILES if file in ("Apache-2.0", "GPL-3", "GPL-2")]
     cases += [("GPL-2.0", gpl.format(2)), ("GPL-3.0", gpl.format(3)), ("GPL-2.0", "# " + gpl.format(2).replace(" the ", "\n# the ")), ("MIT", "Copyright (c) 2021 A B\n\n" + licenses.MIT)]
     cases += [("proprietary", "Copyright (c) 2021 Acme Corporation. All rights reserved."), ("MIT", prose + "Released under the MIT License."), ("Apache-2.0", prose * 30 + "Licensed under the Apache License, Version 2.0." + prose), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), (None, prose + "a driving license is needed"), ("MIT", "All rights reserved. Released under the MIT License.")]
+    cases += [(n, f"# SPDX-License-Identifier: {x}\n" + prose) for n, _, x in licenses.SPDX]
     assert [(n, t[:40], licenses.own_license(t, own)) for n, t in cases if licenses.own_license(t, own)[0] != n] == []
 
 
