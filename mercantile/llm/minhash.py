@@ -15,7 +15,8 @@ with each other; the pairs are verified by the exact weighted Jaccard similarity
 to classes. Then, in bands that still hold more than one class, every document is compared with
 those of other classes, so no link between bandmates that would join two classes is lost. Such
 a band is dealt out as pairs of blocks of bounded rows and bytes; a task counts the common
-elements of two blocks with matrix products and gives one link a document, never its pairs.
+elements of two blocks with matrix products and gives one link a document, never its pairs. Joins
+by band deal a band of many documents over several tasks.
 
 Words are as in the decontamination. Null texts and texts without words link with nothing and
 are classes of their own. Rows with a null doc_id are left out of classes: class_id null, kept
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 
 from mercantile.operators.clusters import components
 
-from .textops import U, Words, lists, map_text, materialise, mix, prefix_hash, span_hash, windows
+from .textops import U, Words, hot_join, hot_limit, lists, map_text, materialise, mix, prefix_hash, span_hash, windows
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -205,8 +206,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     bands = known.join(copies.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", F.explode("bands").alias("band"))
     # bands of one document go; the others get a few pivots each
     order = [F.struct(F.lit(0).alias("h"), "doc_id")] + [F.struct(F.xxhash64("doc_id", F.lit(i)).alias("h"), "doc_id") for i in range(1, PIVOTS)]
-    pivots = materialise(bands.groupBy("band").agg(F.count("*").alias("n"), *[F.min(x).alias(f"p{i}") for i, x in enumerate(order)]).where("n > 1").select("band", F.array_distinct(F.array(*[f"p{i}.doc_id" for i in range(PIVOTS)])).alias("pivots")))
-    shared = materialise(bands.join(pivots, "band").select("band", "doc_id", "pivots"))
+    pivots = materialise(bands.groupBy("band").agg(F.count("*").alias("n"), *[F.min(x).alias(f"p{i}") for i, x in enumerate(order)]).where("n > 1").select("band", "n", F.array_distinct(F.array(*[f"p{i}.doc_id" for i in range(PIVOTS)])).alias("pivots")))
+    limit, by = hot_limit(pivots, "n"), F.xxhash64("doc_id")
+    shared = materialise(hot_join(bands, pivots, "band", "n", by, limit).select("band", "doc_id", "pivots"))
     star = shared.select("doc_id", F.explode("pivots").alias("p")).where("doc_id <> p").select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")).distinct()
     star = materialise(star)
     involved = shared.select("doc_id").distinct()
@@ -215,10 +217,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     found = materialise(components(links))
     label = found.select(F.col("node").alias("doc_id"), "component")
     marked = shared.select("band", "doc_id").join(label, "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    open_bands = marked.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
-    rest = materialise(marked.join(open_bands, "band").join(cells.select("doc_id", F.octet_length("cells").alias("bytes")), "doc_id"))
-    blocks = rest.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    dealt = rest.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).join(cells, "doc_id")
+    open_bands = materialise(marked.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("band", "n"))
+    rest = materialise(hot_join(marked, open_bands, "band", "n", by, limit).join(cells.select("doc_id", F.octet_length("cells").alias("bytes")), "doc_id"))
+    blocks = rest.groupBy("band").agg(F.count("*").alias("n"), F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = hot_join(rest, materialise(blocks), "band", "n", by, limit).withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).join(cells, "doc_id")
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "c", "block", "cells")
     more = materialise(dealt.groupBy("band", "i", "j").applyInArrow(lambda k, t: across(k, t, similarity), links.select(F.col("a"), F.col("b")).schema))
     if not more.isEmpty():

@@ -12,15 +12,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mercantile.storage import materialise, shared_dir
 
-__all__ = ["Words", "buffers", "chunks", "lists", "map_text", "materialise", "mix", "prefix_hash", "shared_dir", "span_hash", "spread", "windows"]
+__all__ = ["Words", "buffers", "chunks", "hot_join", "hot_limit", "lists", "map_text", "materialise", "mix", "prefix_hash", "shared_dir", "span_hash", "spread", "windows"]
 
 CHUNK = 1 << 20
+#: Keys are hot that hold more rows than this, and than one in HOT_SHARE of all rows.
+HOT_ROWS, HOT_SHARE = 256, 10_000
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -163,3 +165,21 @@ def map_text(df: DataFrame, text: str, keep: list[str], out: T.StructType, make:
                 yield pa.RecordBatch.from_arrays([*kept, *fn(byte, off)], names=names)
 
     return src.mapInArrow(run, schema)
+
+
+def hot_limit(counted: DataFrame, n: str) -> int:
+    """The rows above which a key is hot. ``n``: how many rows each key has. At most HOT_SHARE keys
+    can be hot."""
+    return max(HOT_ROWS, -(-(counted.agg(F.sum(n)).first()[0] or 0) // HOT_SHARE))
+
+
+def hot_join(rows: DataFrame, one: DataFrame, key: str, n: str, by: Column, limit: int, counted: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``one``, which has one row a key and in ``n`` how many of ``rows``
+    have it. Hot keys are dealt by ``by`` over one task for each ``limit`` rows, to all of which
+    their row of ``one`` goes; the list of hot keys is broadcast. ``counted`` (default ``one``) has
+    ``key`` and ``n`` of all keys of ``rows``, as a left join needs."""
+    parts = F.ceil(F.col(n) / limit).cast("long")
+    hot = (one if counted is None else counted).where(F.col(n) > limit).select(key, parts.alias("__parts"))
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("__part", F.pmod(by, F.coalesce("__parts", F.lit(1))).cast("long")).drop("__parts")
+    right = one.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop(n)
+    return left.join(right, [key, "__part"], how).drop("__part")
