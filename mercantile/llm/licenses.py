@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import map_text, materialise
+from .textops import hot_join, hot_limit, map_text, materialise
 
 COSINE = 0.7
 FILE_SHARE = 0.6
@@ -200,14 +200,18 @@ def licenses(files: DataFrame, *, keep: list[str], path: str = "path", text: str
     grants = seen.where(F.col("own_license").isNotNull() & (named | (F.col("share") >= FILE_SHARE)) & F.col("__path").isNotNull())
     grants = grants.groupBy(folder.alias("dir")).agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("own_license").alias("l"))).alias("best")).select("dir", F.col("best.l").alias("granted"))
     # only directories of files that need one; each once
-    need = seen.where("own_license is null and __path is not null").select(folder.alias("d")).distinct()
-    parts = F.split("d", "/")
+    without = F.col("own_license").isNull() & F.col("__path").isNotNull()
+    need = materialise(seen.where(without).groupBy(folder.alias("__dir")).agg(F.count("*").alias("n")))
+    parts = F.split("__dir", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    chains = need.select("d", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), above))).alias("dir"))
-    nearest = chains.join(grants, "dir").groupBy("d").agg(F.max(F.struct(F.length("dir").alias("n"), "dir", "granted")).alias("best")).select("d", F.col("best.dir").alias("license_dir"), F.col("best.granted").alias("granted"))
-    out = seen.withColumn("__dir", F.when(F.col("own_license").isNull(), folder)).join(nearest, F.col("__dir") == F.col("d"), "left")
-    origin = F.when(F.col("own_license").isNotNull(), "own").when(F.col("granted").isNotNull(), "inherited")
-    return out.select(*keep, "own_license", "cosine", F.coalesce("own_license", "granted").alias("license"), origin.alias("origin"), "license_dir")
+    chains = need.select("__dir", "n", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), above))).alias("dir"))
+    nearest = chains.join(grants, "dir").groupBy("__dir", "n").agg(F.max(F.struct(F.length("dir").alias("n"), "dir", "granted")).alias("best"))
+    nearest = nearest.select("__dir", "n", F.col("best.dir").alias("license_dir"), F.col("best.granted").alias("__granted"))
+    # files that need none stay where they are
+    inherit = hot_join(seen.where(without).withColumn("__dir", folder), nearest, "__dir", "n", F.monotonically_increasing_id(), hot_limit(need, "n"), counted=need, how="left")
+    out = inherit.drop("__dir").unionByName(seen.where(~without), allowMissingColumns=True)
+    origin = F.when(F.col("own_license").isNotNull(), "own").when(F.col("__granted").isNotNull(), "inherited")
+    return out.select(*keep, "own_license", "cosine", F.coalesce("own_license", "__granted").alias("license"), origin.alias("origin"), "license_dir")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from mercantile.llm import chat, decontam, embed_dedup, licenses, lm_score, minhash, packing, secret_scan, substring_dedup, toxicity
+from mercantile.llm import chat, decontam, embed_dedup, licenses, lm_score, minhash, packing, secret_scan, substring_dedup, textops, toxicity
 from mercantile.llm.queries import QUERIES
 from mercantile.llm.suffix_array import permuted_prefixes, suffix_array
 
@@ -270,6 +270,15 @@ def test_licenses(spark):
     assert got == {"a/LICENSE": ("MIT", "own", None), "a/b/x.py": ("Apache-2.0", "inherited", "a/b"), "a/b/COPYING": ("Apache-2.0", "own", None), "a/b/c/y.py": ("Apache-2.0", "inherited", "a/b"), "z.py": (None, None, None), None: (None, None, None), "a/k.py": ("MIT", "inherited", "a"), "q/w.txt": ("proprietary", "own", None)}
 
 
+def test_licenses_of_hot_directories(spark, monkeypatch):
+    """Many files of one directory, with and without a license above, and repeated paths."""
+    monkeypatch.setattr(textops, "HOT_ROWS", 8)
+    data = [("a/LICENSE", "Released under the MIT License.")] + [(f"a/b/{i % 50}.py", "x") for i in range(100)] + [(f"c/{i}.py", None) for i in range(100)] + [(None, "x")] * 20 + [("d/e.py", "y")]
+    got = [(r["path"], r["license"], r["origin"], r["license_dir"]) for r in licenses.licenses(spark.createDataFrame(data, "path string, text string"), keep=["path"]).collect()]
+    want = [(p, "MIT", "own", None) if p == "a/LICENSE" else (p, "MIT", "inherited", "a") if (p or "").startswith("a/") else (p, None, None, None) for p, _ in data]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_license_headers_and_files():
     from pathlib import Path
 
@@ -454,8 +463,10 @@ def test_minhash(spark, sf_dir, docs):
     assert got == classes_of(docs)
 
 
-def test_minhash_hub(spark, monkeypatch):
-    """Documents that only a hub links meet in blocks, however small those are."""
+@pytest.mark.parametrize("hot", [4, 256])
+def test_minhash_hub(spark, monkeypatch, hot):
+    """Documents that only a hub links meet in blocks, however small those are and however few make a band hot."""
+    monkeypatch.setattr(textops, "HOT_ROWS", hot)
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(100)]
     texts = [(1000, " ".join(base))]
