@@ -47,7 +47,7 @@ ANSWERED = ["part", "block", "n", "kinds", "own_words", "words", "own", "total"]
 
 def keys(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Key of each word, of each bigram by its second word, and whether that has a first one."""
-    h = w.hash
+    h = w.digest()
     inner = np.ones(len(h), bool)
     inner[w.off[:-1][np.diff(w.off) > 0]] = False
     prev = np.concatenate([h[:1], h[:-1]])
@@ -84,7 +84,7 @@ def block_keys(table: pa.Table, text: str) -> tuple[np.ndarray, np.ndarray, np.n
     parts = []
     for column in table.column(text).chunks:
         for _, _, byte, off in chunks(column):
-            w = Words(byte, off)
+            w = Words(byte, off, hashes=False)
             parts.append((*keys(w), np.diff(w.off)))
     one, two, inner, n = (np.concatenate([p[i] for p in parts]) for i in range(4))
     return one, two, inner, n, np.repeat(np.arange(len(n)), n)

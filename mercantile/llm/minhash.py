@@ -18,9 +18,13 @@ a band is dealt out as pairs of blocks of bounded rows and bytes; a task counts
 elements of two blocks with matrix products and gives one link a document, never its pairs. Joins
 by band deal a band of many documents over several tasks.
 
-Words are as in the decontamination. Null texts and texts without words link with nothing and
+Copies are told by 128 bits of a digest of their words, shingles by 64-bit digests of theirs. Words
+are as in the decontamination. Null texts and texts without words link with nothing and
 are classes of their own. Rows with a null doc_id are left out of classes: class_id null, kept
-true. Repeated rows are copies of each other and get the same class.
+true. Repeated rows are copies of each other and get the same class. Where one doc_id has several
+texts, each row gets the class of its own text's copies, and the text of the smallest digest
+stands for the id in links. Very long texts are read whole; ties go to the smaller id; an empty
+table has no rows. Columns other than the two named do not count and are not returned.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from pyspark.sql import types as T
 
 from mercantile.operators.clusters import components
 
-from .textops import U, Words, hot_join, hot_limit, lists, map_text, materialise, mix, prefix_hash, span_hash, windows
+from .textops import U, Words, hot_join, hot_limit, lists, map_text, materialise, mix, windows
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -48,20 +52,21 @@ COLUMNS = 4096
 def elements(byte: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> tuple[Words, np.ndarray, np.ndarray]:
     """Words; document and hash of each cell, by document: a shingle's n-th occurrence in its
     document, for n a power of two."""
-    w = Words(byte, off)
+    w = Words(byte, off, hashes=False)
+    h = w.digest()
     n = np.diff(w.off)
     many = np.where(n >= size, n - size + 1, 0)
-    sh = windows(w.hash, size)
+    sh = windows(h, size)
     first = np.repeat(w.off[:-1], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     doc = [np.repeat(np.arange(len(n)), many)]
     val = [sh[first]]
     for k in range(1, size):
         own = np.flatnonzero(n == k)
         if len(own):
-            h = w.hash[w.off[own][:, None] + np.arange(k)]
+            each = h[w.off[own][:, None] + np.arange(k)]
             out = np.full(len(own), k, U)
             for j in range(k):
-                out = mix(out * U(0x9FB21C651E98DF25) + h[:, j])
+                out = mix(out * U(0x9FB21C651E98DF25) + each[:, j])
             doc.append(own)
             val.append(out)
     doc, val = np.concatenate(doc), np.concatenate(val)
@@ -108,7 +113,7 @@ def signatures(doc: np.ndarray, cell: np.ndarray, docs: int, k: int = K) -> np.n
 
 
 def profile(docs: DataFrame, doc_id: str, text: str, k: int, rows: int) -> DataFrame:
-    """(doc_id, copy_a, copy_b, bands): two hashes of the word sequence, null without words."""
+    """(doc_id, copy_a, copy_b, bands): 128 bits of a digest of the word sequence, null without words."""
 
     def make():
         def fn(byte, off):
@@ -116,12 +121,10 @@ def profile(docs: DataFrame, doc_id: str, text: str, k: int, rows: int) -> DataF
             n = np.diff(w.off)
             sig = signatures(doc, cell, len(n), k)
             bands = np.stack([windows(sig[:, b : b + rows].ravel(), rows)[::rows] + U(b) for b in range(0, k, rows)], 1) if len(n) else np.zeros((0, k // rows), U)
-            copy = []
-            for salt in (U(0x2545F4914F6CDD1D), U(0x9E6C63D0876A9A63)):
-                copy.append(span_hash(prefix_hash(mix(w.hash * salt)), w.off[:-1], w.off[1:]).view(np.int64))
+            copy = w.copies()
             empty = n == 0
             per = np.where(empty, 0, k // rows)
-            return [pa.array(copy[0], mask=empty), pa.array(copy[1], mask=empty), lists(mix(bands[~empty]).view(np.int64).ravel(), per, pa.int64())]
+            return [pa.array(copy[:, 0].copy(), mask=empty), pa.array(copy[:, 1].copy(), mask=empty), lists(mix(bands[~empty]).view(np.int64).ravel(), per, pa.int64())]
 
         return fn
 
@@ -134,15 +137,21 @@ def cells_of(docs: DataFrame) -> DataFrame:
 
     def make():
         def fn(byte, off):
-            _, doc, cell = elements(byte, off)
+            w, doc, cell = elements(byte, off)
             cell = cell[np.lexsort((cell, doc))]
             at = np.searchsorted(doc, np.arange(len(off)))
             raw = cell.astype("<u8").tobytes()
-            return [pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())]
+            return [*(pa.array(w.copies()[:, i].copy()) for i in (0, 1)), pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())]
 
         return fn
 
-    return map_text(docs, "text", ["doc_id"], T.StructType([T.StructField("cells", T.BinaryType())]), make)
+    own = [T.StructField("copy_a", T.LongType()), T.StructField("copy_b", T.LongType()), T.StructField("cells", T.BinaryType())]
+    return map_text(docs, "text", ["doc_id"], T.StructType(own), make)
+
+
+def first_text(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row a doc_id: of its texts, the one of the smallest digest."""
+    return rows.groupBy("doc_id").agg(F.min_by(F.struct(*columns), F.struct("copy_a", "copy_b")).alias("x")).select("doc_id", "x.*")
 
 
 def verified(pairs: DataFrame, cells: DataFrame, similarity: float) -> DataFrame:
@@ -203,7 +212,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     seen = materialise(profile(docs, "doc_id", "text", k, rows))
     known = seen.where("doc_id is not null and copy_a is not null")
     copies = materialise(known.groupBy("copy_a", "copy_b").agg(F.min("doc_id").alias("rep")))
-    bands = known.join(copies.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", F.explode("bands").alias("band"))
+    bands = known.join(copies.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    bands = first_text(bands, "bands").select("doc_id", F.explode("bands").alias("band"))
     # bands of one document go; the others get a few pivots each
     order = [F.struct(F.lit(0).alias("h"), "doc_id")] + [F.struct(F.xxhash64("doc_id", F.lit(i)).alias("h"), "doc_id") for i in range(1, PIVOTS)]
     pivots = materialise(bands.groupBy("band").agg(F.count("*").alias("n"), *[F.min(x).alias(f"p{i}") for i, x in enumerate(order)]).where("n > 1").select("band", "n", F.array_distinct(F.array(*[f"p{i}.doc_id" for i in range(PIVOTS)])).alias("pivots")))
@@ -212,7 +222,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     star = shared.select("doc_id", F.explode("pivots").alias("p")).where("doc_id <> p").select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")).distinct()
     star = materialise(star)
     involved = shared.select("doc_id").distinct()
-    cells = materialise(cells_of(docs.join(involved.hint("shuffle_hash"), "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
+    cells = materialise(cells_of(docs.join(involved.hint("shuffle_hash"), "doc_id", "left_semi")).transform(first_text, "cells"))
     links = materialise(verified(star, cells, similarity))
     found = materialise(components(links))
     label = found.select(F.col("node").alias("doc_id"), "component")

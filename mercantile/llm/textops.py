@@ -7,11 +7,13 @@ by one document, where that is longer).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,6 +126,27 @@ class Words:
         """The document of each word."""
         return np.repeat(np.arange(len(self.off) - 1), np.diff(self.off))
 
+    def numbered(self) -> tuple[np.ndarray, list[bytes]]:
+        """A number for each word, the same for equal words only, and the words by number."""
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(self.end - self.start)])), pa.py_buffer(self.low[self.low != 0])]).dictionary_encode()
+        return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+
+    def digest(self) -> np.ndarray:
+        """64 bits of each word by a hash that is no polynomial: repetitive words of one
+        length, which agree in ``hash``, differ here."""
+        number, kinds = self.numbered()
+        return np.array([xxhash.xxh3_64_intdigest(x) for x in kinds], U)[number] if kinds else np.zeros(0, U)
+
+    def copies(self) -> np.ndarray:
+        """128 bits (two of int64) of each document's words, each followed by a 0."""
+        size = self.end - self.start
+        word = np.repeat(np.arange(len(size)), size)
+        joined = np.zeros(len(word) + len(size), np.uint8)
+        joined[np.arange(len(word)) + word] = self.low[self.low != 0]
+        at = (np.concatenate([[0], np.cumsum(size + 1)])[self.off]).tolist()
+        raw = b"".join(hashlib.blake2b(joined[a:b], digest_size=16).digest() for a, b in zip(at, at[1:], strict=False))
+        return np.frombuffer(raw, np.int64).reshape(-1, 2)
+
 
 def windows(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of each ``n`` consecutive values."""
