@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, embed_dedup, licenses, lm_score, minhash, packing, secret_scan, sql, substring_dedup, toxicity
+from . import chat, decontam, embed_dedup, importance, language, licenses, lm_score, manifest, minhash, packing, secret_scan, sql, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secret_scan.query,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": packing.query,
     "op9_minhash_near_dedup": minhash.query,
     "op10_suffix_array_dedup": substring_dedup.query,
+    "op11_importance_resampling": importance.query,
+    "op12_merkle_manifest": manifest.query,
+    "op13_language_id": language.query,
 }
 
 #: The others hang on models, thresholds of entropy, templates or a tokenizer; tests/llm holds them
@@ -29,4 +32,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_chat_formatting": sql.CHAT,
     "op9_minhash_near_dedup": sql.NEAR_DUPLICATES,
     "op10_suffix_array_dedup": sql.SUBSTRINGS,
+    "op11_importance_resampling": sql.IMPORTANCE,
+    "op12_merkle_manifest": sql.MANIFEST,
 }

@@ -102,3 +102,72 @@ k AS (
 SELECT n.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
 FROM n LEFT JOIN k ON n.doc_id = k.doc_id
 """
+
+#: CRC32 of a string's bytes, read off its hex digits; ``t`` is the list of the table ``crc_table``.
+CRC_TABLE = "crc_table AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM (SELECT unnest(range(256)) AS i)))"
+DIGIT = "(instr('0123456789ABCDEF', upper(substr({h}, {i}, 1))) - 1)"
+
+
+def crc(text: str) -> str:
+    byte = f"CAST({DIGIT.format(h=f'hex({text})', i='2 * i - 1')} * 16 + {DIGIT.format(h=f'hex({text})', i='2 * i')} AS BIGINT)"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, strlen({text}) + 1), lambda i: {byte})), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), CAST(4294967295 AS BIGINT))"
+
+
+IMPORTANCE = f"""
+WITH {CRC_TABLE},
+d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+b AS (SELECT {WORDS} AS w FROM benchmark),
+f AS (SELECT doc_id, unnest(w) AS x FROM d),
+g AS (SELECT unnest(w) AS x FROM b),
+k AS (SELECT x, {crc('x')} % 10000 AS bucket FROM (SELECT x FROM f UNION SELECT x FROM g) CROSS JOIN crc_table),
+s AS (SELECT bucket, count(*) AS s FROM f JOIN k USING (x) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM g JOIN k USING (x) GROUP BY bucket),
+n AS (SELECT CAST((SELECT count(*) FROM f) + 10000 AS DOUBLE) AS s_all, CAST((SELECT count(*) FROM g) + 10000 AS DOUBLE) AS t_all),
+a AS (SELECT s.bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1e0) * s_all / ((s + 1e0) * t_all))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket) CROSS JOIN n),
+e AS (SELECT doc_id, CAST(sum(gain) AS BIGINT) AS weight FROM f JOIN k USING (x) JOIN a USING (bucket) GROUP BY doc_id),
+h AS (SELECT doc_id, len(w) AS words, coalesce(weight, 0) AS weight, sha256('2024:' || doc_id) AS x FROM d LEFT JOIN e USING (doc_id)),
+y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((list_reduce(list_transform(range(1, 9), lambda i: CAST({DIGIT.format(h='x', i='i')} AS BIGINT)), lambda p, q: p * 16 + q) + 0.5e0) / 4294967296e0))) AS BIGINT) AS score FROM h),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM y WHERE words >= 20)
+SELECT y.doc_id, CAST(words AS BIGINT) AS n_features, weight, score, CASE WHEN rank <= (SELECT 10 * count(*) // 100 FROM r) THEN CAST(rank AS BIGINT) END AS rank
+FROM y LEFT JOIN r ON y.doc_id = r.doc_id
+"""
+
+
+def leaf(text: str) -> str:
+    shown = ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in shown) + ")"
+
+
+def grown(name: str, leaves: str) -> str:
+    """Levels (tree, level, pos, digest, n) over leaves (tree, pos, digest, n); n: nodes of the level."""
+    return f"""{name} AS (
+    SELECT tree, 0 AS level, pos, digest, n FROM {leaves}
+    UNION ALL
+    SELECT tree, max(level) + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (max(n) + 2) // 3 FROM {name} WHERE n > 1 GROUP BY tree, pos // 3
+)"""
+
+
+MANIFEST = f"""
+WITH RECURSIVE {CRC_TABLE},
+d AS (SELECT doc_id, source, {leaf('text')} AS own, CASE WHEN {crc('CAST(doc_id AS VARCHAR)')} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf('text')} END AS seen FROM documents CROSS JOIN crc_table),
+l AS (SELECT coalesce('.' || source, '') AS tree, source, doc_id, own AS digest, seen, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, own) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM d),
+{grown('low', 'l')},
+u AS (SELECT tree AS source_tree, '/' AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, digest, count(*) OVER () AS n FROM low WHERE n = 1),
+{grown('high', 'u')},
+k AS (SELECT tree, level, pos // 3 AS run, list(digest ORDER BY pos) AS kids FROM (SELECT * FROM low UNION ALL SELECT * FROM high) WHERE n > 1 GROUP BY ALL),
+fold AS (
+    SELECT doc_id, tree AS home, tree, 0 AS level, pos, seen AS digest, '' AS proof FROM l
+    UNION ALL
+    SELECT doc_id, home, tree, level, pos, digest, proof FROM (
+        SELECT f.doc_id, f.home, f.tree, f.level + 1 AS level, f.pos // 3 AS pos, sha256(array_to_string(list_transform(kids, lambda x, i: CASE WHEN i = f.pos % 3 + 1 THEN f.digest ELSE x END), '')) AS digest,
+            f.proof || coalesce(array_to_string(list_filter(kids, lambda x, i: i <> f.pos % 3 + 1), ''), '') AS proof
+        FROM fold f JOIN k ON f.tree = k.tree AND f.level = k.level AND f.pos // 3 = k.run
+        UNION ALL
+        SELECT f.doc_id, f.home, '/', 0, u.pos, f.digest, f.proof FROM fold f JOIN u ON f.tree = u.source_tree AND f.tree <> '/' WHERE NOT EXISTS (SELECT 1 FROM k WHERE f.tree = k.tree AND f.level = k.level)
+    )
+),
+done AS (SELECT * FROM fold f WHERE tree = '/' AND NOT EXISTS (SELECT 1 FROM k WHERE k.tree = '/' AND f.level = k.level)),
+root AS (SELECT digest AS root FROM high WHERE n = 1)
+SELECT l.doc_id, l.digest AS leaf, u.digest AS subroot, root, sha256(proof) AS proof_sha256, done.digest AS folded_root, done.digest = root AS verified
+FROM l JOIN u ON l.tree = u.source_tree JOIN done ON l.doc_id = done.doc_id AND l.tree = done.home CROSS JOIN root
+"""
