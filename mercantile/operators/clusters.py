@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+from itertools import combinations
+from math import comb
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialise
+from .skew import dealt_join
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -66,21 +71,117 @@ def exact_clusters(rows: DataFrame, *, id_col: str, keys: list[str]) -> DataFram
     return rows.groupBy(*keys).agg(F.min(id_col).alias("cluster_id"), F.count("*").alias("n_members")).where("n_members > 1").select("cluster_id", "n_members")
 
 
-def hamming_pairs(rows: DataFrame, *, id_col: str, bits: str, by: str, distance: int, width: int = 64) -> DataFrame:
+#: Keys by which a fingerprint is looked up, and the share of pairs that are compared.
+MOST_KEYS, MOST_SHARE = 2000, 0.05
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """Cuts of a fingerprint into blocks of bits, (lowest bit, width, radius) each: two fingerprints
+    within the distance agree in one block but for ``radius`` bits at most."""
+
+    cuts: tuple[tuple[int, int, int], ...]
+
+    @property
+    def keys(self) -> int:
+        """How many keys a fingerprint is looked up by."""
+        return sum(comb(w, k) for _, w, r in self.cuts for k in range(r + 1))
+
+    @property
+    def share(self) -> float:
+        """Of pairs of random fingerprints, those that meet."""
+        return sum(sum(comb(w, k) for k in range(r + 1)) / 2**w for _, w, r in self.cuts)
+
+
+def blocks(width: int, distance: int, rows: int) -> Blocks:
+    """A cut that makes few keys and candidates for so many fingerprints: at most ``MOST_KEYS`` a
+    fingerprint, and of those cuts rather one by which at most ``MOST_SHARE`` of pairs meet.
+
+    If radii and one for each block add up to more than the distance, no two fingerprints within it
+    can differ by more than its radius in every block. Few wide blocks have many neighbouring keys but
+    few chance meetings, many narrow ones the reverse, so the best cut hangs on the number of rows.
+    """
+    best = None
+    for m in range(1, min(width, distance + 1) + 1):
+        edges = [width * i // m for i in range(m + 1)]
+        # distance + 1 is dealt out over the blocks, wider ones first
+        order = sorted(range(m), key=lambda i: edges[i] - edges[i + 1])
+        radii = [(distance + 1) // m - 1] * m
+        for i in order[: (distance + 1) % m]:
+            radii[i] += 1
+        cut = Blocks(tuple((edges[i], edges[i + 1] - edges[i], radii[i]) for i in range(m)))
+        price = cut.keys > MOST_KEYS, cut.share > MOST_SHARE, rows * cut.keys + rows * rows * cut.share / 2
+        if best is None or price < best[0]:
+            best = price, cut
+    return best[1]
+
+
+def flips(width: int, radius: int) -> list[int]:
+    """All values of ``width`` bits of which at most ``radius`` are set."""
+    return [sum(1 << b for b in bits) for k in range(radius + 1) for bits in combinations(range(width), k)]
+
+
+def _met(left: DataFrame, right: DataFrame, on: list[str], distance: int, cut: Blocks) -> DataFrame:
+    """Rows of both sides, with columns x_a and x_b, whose fingerprints are within the distance, once
+    each, and their ``distance``. ``left`` looks up all near keys of each block, ``right`` its own."""
+
+    def block(c: str, lo: int, w: int) -> Column:
+        return F.shiftrightunsigned(F.col(c), lo).bitwiseAND((1 << w) - 1)
+
+    def looked_up(c: str, i: int, near: bool) -> Column:
+        lo, w, r = cut.cuts[i]
+        own = block(c, lo, w)
+        seen = F.transform(F.lit(flips(w, r)).cast("array<bigint>"), lambda f: own.bitwiseXOR(f)) if near else F.array(own)
+        return F.transform(seen, lambda k: F.struct(F.lit(i).alias("at"), k.alias("key")))
+
+    def every(c: str, near: bool) -> Column:
+        return F.explode(F.flatten(F.array(*[looked_up(c, i, near) for i in range(len(cut.cuts))])))
+
+    a = left.select("*", every("x_a", True).alias("k")).select("*", "k.at", "k.key").drop("k")
+    b = right.select("*", every("x_b", False).alias("k")).select("*", "k.at", "k.key").drop("k")
+    far = F.bit_count(F.col("x_a").bitwiseXOR(F.col("x_b")))
+    # a pair counts in the first block that agrees
+    first = F.lit(len(cut.cuts))
+    for i, (lo, w, r) in reversed(list(enumerate(cut.cuts))):
+        first = F.when(F.bit_count(block("x_a", lo, w).bitwiseXOR(block("x_b", lo, w))) <= r, F.lit(i)).otherwise(first)
+    met = dealt_join(a, b, [*on, "at", "key"], by=F.col("x_b"))
+    return met.where((F.col("at") == first) & (far <= distance)).withColumn("distance", far.cast("int")).drop("at", "key")
+
+
+def one_each(rows: DataFrame, id_col: str, bits: str, by: str | None) -> DataFrame:
+    """(by, x, rep, n): the different fingerprints, their smallest id and their number of rows."""
+    own = rows.select(F.col(id_col).alias("id"), F.col(bits).alias("x"), (F.lit(0) if by is None else F.col(by)).alias("by"))
+    return materialise(own.where("x is not null and `by` is not null").groupBy("by", "x").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
+
+
+def hamming_pairs(rows: DataFrame, *, id_col: str, bits: str, by: str | None, distance: int, width: int = 64, cut: Blocks | None = None) -> DataFrame:
     """(a, b, n_a, n_b, distance): pairs of different fingerprints at most ``distance`` bits apart.
 
     Equal fingerprints of a ``by`` group count as one, named by their smallest id, with the
-    number of rows. The fingerprint is cut into distance + 1 bands; of two that are near, one
-    band at least is equal (pigeonhole), so an equi-join on bands finds all. A pair is kept in
-    the first band it shares, so no distinct is needed.
+    number of rows. The rest is an equi-join on blocks of bits (``blocks``): one side looks up all
+    keys near its own, so candidates are few, and keys that many fingerprints have are dealt.
+    """
+    one = one_each(rows, id_col, bits, by)
+    cut = cut or blocks(width, distance, one.count())
+    left, right = (one.select("by", *[F.col(c).alias(f"{c}_{s}") for c in ("x", "rep", "n")]) for s in "ab")
+    met = _met(left, right, ["by"], distance, cut).where("rep_a < rep_b")
+    return met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "n_a", "n_b", "distance")
+
+
+def nearest_hashes(queries: DataFrame, index: DataFrame, *, id_col: str, bits: str, distance: int, k: int, by: str | None = None, width: int = 64) -> DataFrame:
+    """(query, place, id, distance): for each query fingerprint, itself left out, the ``k`` nearest ids
+    of the index within ``distance`` bits; ties go to the smaller id. Equal fingerprints of the index
+    are found as one, by their smallest id or, if that is the query, by their largest.
+
+    For image search, ``index`` are hashes of product images and ``queries`` those of the asked ones.
     """
-    one = rows.where(f"{bits} is not null and {by} is not null").groupBy(by, bits).agg(F.min(id_col).alias("rep"), F.count("*").alias("n"))
-    edges = [width * i // (distance + 1) for i in range(distance + 2)]
-    bands = F.array(*[F.shiftrightunsigned(F.col(bits), lo).bitwiseAND((1 << (hi - lo)) - 1) for lo, hi in zip(edges, edges[1:], strict=False)])
-    cut = one.withColumn("bands", bands)
-    side = cut.select(by, F.col(bits).alias("x"), "rep", "n", "bands", F.posexplode("bands").alias("pos", "band"))
-    left = side.select(by, "pos", "band", F.col("x").alias("xa"), F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("bands").alias("ba"))
-    right = side.select(by, "pos", "band", F.col("x").alias("xb"), F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("bands").alias("bb"))
-    first = F.array_position(F.zip_with("ba", "bb", lambda p, q: p == q), True) - 1
-    far = F.bit_count(F.col("xa").bitwiseXOR(F.col("xb")))
-    return left.join(right, [by, "pos", "band"]).where((F.col("a") < F.col("b")) & (first == F.col("pos")) & (far <= distance)).select("a", "b", "n_a", "n_b", far.cast("int").alias("distance"))
+    asked = queries.select(F.col(id_col).alias("query"), F.col(bits).alias("x_a"), (F.lit(0) if by is None else F.col(by)).alias("by")).where("x_a is not null and `by` is not null")
+    own = index.select(F.col(id_col).alias("id"), F.col(bits).alias("x_b"), (F.lit(0) if by is None else F.col(by)).alias("by")).where("x_b is not null and `by` is not null")
+    two = own.groupBy("by", "x_b").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    two = materialise(two)
+    prints = asked.select("by", "x_a").distinct()
+    met = materialise(_met(materialise(prints), two, ["by"], distance, blocks(width, distance, two.count())))
+    few = met.groupBy("by", "x_a").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", F.col("lo").alias("id"), "hi"))), 1, k + 1).alias("found"))
+    every = asked.join(few, ["by", "x_a"]).select("query", F.explode("found").alias("f")).select("query", "f.distance", F.when(F.col("f.id") != F.col("query"), F.col("f.id")).when(F.col("f.hi") != F.col("query"), F.col("f.hi")).alias("id"))
+    ranked = every.where("id is not null").withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("distance", "id")))
+    return ranked.where(F.col("place") <= k).select("query", "place", "id", "distance")

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..storage import broadcast_if_small
+from ..storage import broadcast_if_small, materialise
 
-#: Turkish words and their translation, as SQL rows (word, lang, translated).
-DICTIONARY_ROWS = """
-('halka', 'en', 'ring'), ('dişli', 'en', 'gear'), ('cıvata', 'en', 'bolt'), ('kırmızı', 'en', 'red'), ('mavi', 'en', 'blue'),
-('küçük', 'en', 'small'), ('sıcak', 'en', 'hot'), ('halka', 'de', 'ring'), ('dişli', 'de', 'zahnrad'), ('kırmızı', 'de', 'rot')
-"""
+#: Turkish words, language and translation.
+DICTIONARY = (
+    *(("halka", "en", "ring"), ("dişli", "en", "gear"), ("cıvata", "en", "bolt"), ("kırmızı", "en", "red"), ("mavi", "en", "blue"), ("küçük", "en", "small"), ("sıcak", "en", "hot")),
+    *(("halka", "de", "ring"), ("dişli", "de", "zahnrad"), ("kırmızı", "de", "rot")),
+    *(("halka", "zh", "环"), ("dişli", "zh", "齿轮"), ("cıvata", "zh", "螺栓"), ("kırmızı", "zh", "红色"), ("mavi", "zh", "蓝色"), ("küçük", "zh", "小号"), ("sıcak", "zh", "热")),
+)
+DICTIONARY_ROWS = ", ".join(map(str, DICTIONARY))
 #: Queries as SQL rows (query_id, text).
 QUERY_ROWS = "(1, 'kırmızı halka'), (2, 'mavi dişli'), (3, 'küçük cıvata'), (4, 'sıcak halka'), (5, 'ahşap dişli'), (6, 'ahşap masa'), (7, 'KIRMIZI HALKA')"
 DICTIONARY_SQL = f"select * from (values {DICTIONARY_ROWS}) as t(word, lang, translated)"
@@ -27,15 +29,32 @@ def dictionary(spark: SparkSession) -> DataFrame:
     return spark.sql(DICTIONARY_SQL)
 
 
+def lowered(text: Column, lang: Column) -> Column:
+    """Lower case by the rules of the text's language."""
+    return F.when(lang == "tr", turkish_lower(text)).otherwise(F.lower(text))
+
+
+def to_english() -> dict[str, str]:
+    """Words of all languages of the dictionary, and their English."""
+    english = {t: x for t, lang, x in DICTIONARY if lang == "en"}
+    return english | {x: english[t] for t, lang, x in DICTIONARY if lang != "en" and x not in english.values()}
+
+
+def in_english(words: Column) -> Column:
+    """An array of words with those that the dictionary knows in English, each once."""
+    known = F.create_map(*[F.lit(x) for pair in to_english().items() for x in pair])
+    return F.array_distinct(F.transform(words, lambda w: F.coalesce(F.try_element_at(known, w), w)))
+
+
 def ladder(queries: DataFrame, words: DataFrame, *, lang: str) -> DataFrame:
     """(query_id, rung, text): the whole translated query, then its last word.
 
-    A rung needs all of its words translated. ``words`` is a dictionary of one row a word and
-    language; a query's words are grouped by query.
+    A rung needs all of its words translated; for Turkish itself they are as they stand. ``words`` is
+    a dictionary of one row a word and language; a query's words are grouped by query.
     """
     own = words.where(F.col("lang") == lang).select(F.col("word"), "translated")
     parts = queries.select("query_id", F.posexplode(F.split(turkish_lower(F.trim("text")), r"\s+")).alias("at", "word"))
-    found = parts.join(broadcast_if_small(own), "word", "left")
+    found = parts.withColumn("translated", F.col("word")) if lang == "tr" else parts.join(broadcast_if_small(own), "word", "left")
     one = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("at", "translated"))).alias("t"))
     every = F.transform("t", lambda x: x["translated"])
     whole = F.when(F.forall(every, lambda x: x.isNotNull()), F.array_join(every, " "))
@@ -54,6 +73,22 @@ def first_hits(rungs: DataFrame, products: DataFrame, *, id_col: str, name: str)
     return hits.groupBy("query_id").agg(F.min(F.struct("rung", "text", "n_hits", "best_id")).alias("x")).select("query_id", "x.*")
 
 
+def ladder_hits(rungs: DataFrame, offers: DataFrame) -> DataFrame:
+    """``offers`` with the query_id and rung that found them: for each query its first rung with hits.
+
+    ``rungs`` (query_id, lang, rung, text) hits an offer of its language whose title holds all of its
+    words. Words of titles are joined with words of rungs and counted. ``rungs`` may be of any size.
+    """
+    asked = rungs.select("query_id", "lang", "rung", F.array_distinct(F.split("text", " ")).alias("words"))
+    asked = asked.select("query_id", "lang", "rung", F.size("words").alias("n"), F.explode("words").alias("word"))
+    names = offers.columns
+    seen = offers.where("title is not null").select(F.struct(*names).alias("offer"), "lang", F.explode(F.array_distinct(F.split(lowered(F.col("title"), F.col("lang")), r"\s+"))).alias("word"))
+    hits = seen.join(broadcast_if_small(asked), ["lang", "word"]).groupBy("query_id", "rung", "n", "offer").agg(F.count("*").alias("k")).where("k = n")
+    hits = materialise(hits.select("query_id", "rung", "offer.*"))
+    first = hits.groupBy("query_id").agg(F.min("rung").alias("rung"))
+    return hits.join(broadcast_if_small(first), ["query_id", "rung"], "left_semi")
+
+
 def members(offers: DataFrame, project: DataFrame, *, key: str) -> DataFrame:
     """Offers of a project."""
     return offers.join(project.select(key).distinct(), key, "left_semi")

@@ -3,25 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import pages as pg
-from ..operators import cost, search
+from ..operators import cost, search, similar
 from ..sources import adapters, fixtures
 from ..storage import broadcast_if_small, shared_dir, table
 from ..streaming import watch
 from .queries import query
 
-_ITEMS = "select p_partkey as item, p_name as name, cast(round(p_retailprice * 100) as bigint) as cents from part"
+_ITEMS = "select p_partkey as item, p_name as name, p_brand as brand, p_type as kind, p_size as size, cast(round(p_retailprice * 100) as bigint) as cents from part"
 _OFFERS = fixtures._offers_sql(_ITEMS)
+#: A title in lower case by the rules of its language.
+_LOW = "case when lang = 'tr' then lower(translate(title, 'Iİ', 'ıi')) else lower(title) end"
 
 
 def pages(spark, sf_dir):
-    items = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), F.col("p_name").alias("name"), F.round(F.col("p_retailprice") * 100).cast("long").alias("cents"))
-    return fixtures.market_pages(items)
+    part = table(spark, sf_dir, "part").withColumn("cents", F.round(F.col("p_retailprice") * 100).cast("long"))
+    return fixtures.market_pages(part.select(*[F.col(c).alias(n) for c, n in zip(("p_partkey", "p_name", "p_brand", "p_type", "p_size", "cents"), fixtures.ITEM, strict=True)]))
 
 
 def amounts(df, *columns):
@@ -37,19 +40,21 @@ def market_offers(spark, sf_dir):
     return amounts(adapters.search(pages(spark, sf_dir)), "price")
 
 
-@query(f"select market, url, cast(price as double) as price from ({_OFFERS}) where market in ('ebay', 'trendyol') and contains(title, 'red') and contains(title, 'i')")
+@query(f"select market, url, cast(price as double) as price from ({_OFFERS}) where market in ('ebay', 'trendyol') and (contains({_LOW}, 'small') or contains({_LOW}, 'kırmızı'))")
 def market_search(spark, sf_dir):
-    return amounts(adapters.search(pages(spark, sf_dir), ["ebay", "trendyol"], ["Red", "i"]), "price").select("market", "url", "price")
+    """Titles that hold a word, in either case; Turkish ones by Turkish rules."""
+    found = [adapters.search(pages(spark, sf_dir), ["ebay", "trendyol"], [w]) for w in ("Small", "KIRMIZI")]
+    return amounts(found[0].unionByName(found[1]).distinct(), "price").select("market", "url", "price")
 
 
 @query(f"""
-with q(query, asked) as (values ('red ring', 'ebay'), ('gear', null), ('bolt, blue', 'ebay'), ('blue bolt', 'taobao')),
- o as (select *, string_split(title, ' ') as w from ({_OFFERS}))
+with q(query, asked) as (values ('red ring', 'ebay'), ('gear', null), ('bolt, blue', 'ebay'), ('螺栓 brand#7', 'taobao'), ('kirmizi', null), ('kırmızı halka', null)),
+ o as (select *, string_split({_LOW}, ' ') as w from ({_OFFERS}))
 select query, asked, market, url, cast(price as double) as price from q join o on list_has_all(w, string_split(query, ' ')) and (asked is null or asked = market)""")
 def bulk_csv_search(spark, sf_dir):
     """Queries of a CSV file over the offers of all markets."""
     path = shared_dir(spark)
-    rows = "select * from values ('Red ring', 'ebay'), (' gear ', null), ('bolt, blue', 'ebay'), ('blue bolt', 'taobao'), ('', 'ebay') as t(query, market)"
+    rows = "select * from values ('Red ring', 'ebay'), (' gear ', null), ('bolt, blue', 'ebay'), ('螺栓 Brand#7', 'taobao'), ('', 'ebay'), ('kirmizi', null), ('kırmızı halka', null) as t(query, market)"
     adapters.export_csv(spark.sql(rows), path)
     found = adapters.bulk_search(adapters.read_bulk_queries(spark, path), adapters.search(pages(spark, sf_dir)))
     return amounts(found, "price").select(F.lower("query").alias("query"), "asked", "market", "url", "price")
@@ -70,30 +75,65 @@ def csv_export(spark, sf_dir):
 
 #: Value of a unit of each currency in the currency of costs. Made-up rates.
 _FX = "('USD', 1.0), ('TRY', 0.03), ('CNY', 0.14)"
-_HITS = "(values (1, 'red ring'), (2, 'blue gear'), (4, 'hot ring'), (5, 'gear')) as t(query_id, text)"
 
 
 @query(f"""
-with o as (select *, case lang when 'tr' then 'TR' when 'en' then 'US' else 'CN' end as origin from ({_OFFERS}) where price is not null),
- h as (select query_id, text, market, url, origin, cast(price as double) * cast(fx as double) as price from o join {_HITS} on list_has_all(string_split(title, ' '), string_split(text, ' ')) join (values {_FX}) as f(currency, fx) using (currency)),
- l as (select query_id, text, country, market, url, (price + ship) * (1e0 + case when origin = country then 0e0 else duty end) * (1e0 + vat) as landed from h cross join ({cost.PROFILES_SQL}))
-select query_id, text, country, market, url, landed from (select *, row_number() over (partition by query_id, country order by landed, url) as place from l) where place = 1""")
+with dict as ({search.DICTIONARY_SQL}),
+ w as (select query_id, string_split(lower(translate(text, 'Iİ', 'ıi')), ' ') as words from ({search.QUERIES_SQL})),
+ p as (select query_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as place, len(words) as n from w),
+ t as (select query_id, lang, place, n, translated from p join dict using (word) where lang in ('en', 'zh') union all select query_id, 'tr', place, n, word from p),
+ r as (select query_id, lang, 1 as rung, list(translated) as words from t group by query_id, lang, n having count(*) = n union all select query_id, lang, 2, [translated] from t where place = n),
+ o as (select *, string_split({_LOW}, ' ') as title_words, case lang when 'tr' then 'TR' when 'en' then 'US' else 'CN' end as origin from ({_OFFERS}) where price is not null),
+ h as (select query_id, rung, market, url, origin, cast(price as double) * cast(fx as double) as price from o join r on o.lang = r.lang and list_has_all(title_words, words) join (values {_FX}) as f(currency, fx) using (currency)),
+ f as (select * from h x where rung = (select min(rung) from h y where x.query_id = y.query_id)),
+ l as (select query_id, rung, country, market, url, (price + ship) * (1e0 + case when origin = country then 0e0 else duty end) * (1e0 + vat) as landed from f cross join ({cost.PROFILES_SQL}))
+select query_id, rung, country, market, url, landed from (select *, row_number() over (partition by query_id, country order by landed, url) as place from l) where place = 1""")
 def best_offer(spark, sf_dir):
-    """End to end: translated queries, the offers of all markets that they find, their landed cost
-    in each country, and the best of them."""
-    rungs = search.ladder(spark.sql(search.QUERIES_SQL), search.dictionary(spark), lang="en").where("query_id in (1, 2, 4, 5)")
-    text = rungs.groupBy("query_id").agg(F.min(F.struct("rung", "text")).alias("x")).select("query_id", "x.text")
-    asked = text.select("query_id", "text", F.split("text", " ").alias("words")).withColumn("n", F.size("words")).withColumn("word", F.explode("words")).drop("words")
-    offers = adapters.search(pages(spark, sf_dir)).where("price is not null")
-    seen = offers.withColumn("word", F.explode(F.array_distinct(F.split("title", " "))))
-    hits = seen.join(broadcast_if_small(asked), "word").groupBy("query_id", "text", "n", "market", "url", "lang", "currency", "price").agg(F.count("*").alias("k")).where("k = n")
+    """End to end: queries in the languages of the markets, the offers of all markets that their first
+    rung with hits finds, the landed cost in each country, and the best of them."""
+    asked, words = spark.sql(search.QUERIES_SQL), search.dictionary(spark)
+    rungs = reduce(lambda a, b: a.unionByName(b), [search.ladder(asked, words, lang=g).withColumn("lang", F.lit(g)) for g in ("en", "zh", "tr")])
+    hits = search.ladder_hits(rungs, adapters.search(pages(spark, sf_dir)).where("price is not null"))
     fx = spark.sql(f"select currency, cast(fx as double) as fx from values {_FX} as t(currency, fx)")
     origin = F.when(F.col("lang") == "tr", "TR").when(F.col("lang") == "en", "US").otherwise("CN")
-    priced = hits.join(broadcast_if_small(fx), "currency").select("query_id", "text", "market", "url", origin.alias("origin"), (F.col("price").cast("double") * F.col("fx")).alias("price"))
+    priced = hits.join(broadcast_if_small(fx), "currency").select("query_id", "rung", "market", "url", origin.alias("origin"), (F.col("price").cast("double") * F.col("fx")).alias("price"))
     # an origin's cheapest offer is all that a country needs
-    few = cost.best_source(priced, by=["query_id", "text", "origin"], cost="price", tiebreak=["url"], carry=["market"])
+    few = cost.best_source(priced, by=["query_id", "origin"], cost="price", tiebreak=["url"], carry=["market", "rung"])
     best = cost.landed_best(few, cost.profiles(spark), product="query_id", origin="origin", price="price", supplier="url")
-    return best.join(few.select("query_id", "text", "url", "market"), ["query_id", "url"]).select("query_id", "text", "country", "market", "url", "landed")
+    return best.join(few.select("query_id", "rung", "url", "market"), ["query_id", "url"]).select("query_id", "rung", "country", "market", "url", "landed")
+
+
+_TITLE_TOKENS = f"list_distinct(list_filter(regexp_split_to_array({_LOW}, '[^\\p{{L}}\\p{{N}}#]+'), lambda x: x <> ''))"
+#: Tokens of titles with Turkish and Chinese words in English.
+_ENGLISH = "list_distinct(list_transform({t}, lambda w: case w " + " ".join(f"when '{x}' then '{e}'" for x, e in search.to_english().items()) + " else w end))"
+_SETS = f"""
+o as (select market, url, list_sort({_ENGLISH.format(t=_TITLE_TOKENS)}) as tokens from ({_OFFERS})),
+s as (select market, tokens, min(url) as rep from o group by 1, 2)"""
+
+
+def _matches(spark, sf_dir):
+    found = adapters.search(pages(spark, sf_dir))
+    tokens = search.in_english(similar.title_tokens(search.lowered(F.col("title"), F.col("lang"))))
+    return similar.similar_sets(found.select("url", "market", tokens.alias("tokens")), id_col="url", group="market", tokens="tokens")
+
+
+@query(f"""
+with {_SETS},
+ e as (select rep, market, unnest(tokens) as token from s),
+ f as (select token, length(bin((select count(*) from s) // count(*))) as w from e group by token),
+ t as (select rep, market, token, w, sum(w) over (partition by rep) as total from e join f using (token)),
+ p as (select a.rep as a, b.rep as b, sum(a.w) as shared, any_value(a.total) + any_value(b.total) as sums from t a join t b on a.token = b.token and a.market < b.market group by 1, 2)
+select a, b, cast(shared as bigint) as shared, cast(sums - shared as bigint) as total from p where shared * 10 >= (sums - shared) * 7""")
+def title_matches(spark, sf_dir):
+    """Titles of different markets that name the same product: weighted Jaccard similarity of 0.7 or
+    more, between the first of equal titles of each market."""
+    return _matches(spark, sf_dir).pairs
+
+
+@query(f"with {_SETS} select url as id, rep from o join s using (market, tokens)")
+def title_members(spark, sf_dir):
+    """Each offer with the offer that stands for it in ``title_matches``."""
+    return _matches(spark, sf_dir).members
 
 
 @query("""with m as (select unnest(['1688', 'taobao', 'pinduoduo', 'trendyol', 'hepsiburada', 'amazon_tr', 'dhgate', 'ebay', 'tokopedia', 'lazada_th']) as market)

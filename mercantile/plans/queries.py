@@ -168,6 +168,21 @@ def fingerprint_pairs(spark, sf_dir):
     return clusters.hamming_pairs(prints, id_col="vec_id", bits="bits", by="label", distance=7, width=32)
 
 
+_PRINTS = "select vec_id, label, array_to_string(list_transform(embedding, lambda x: case when x > 0 then '1' else '0' end)[1:32], '')::bit as bits from embeddings"
+
+
+@query(f"""
+with h as ({_PRINTS}),
+ u as (select bits, min(vec_id) as lo, max(vec_id) as hi from h group by bits),
+ p as (select x.vec_id as query, case when lo <> x.vec_id then lo when hi <> x.vec_id then hi end as id, cast(bit_count(xor(x.bits, u.bits)) as int) as distance from h x join u on bit_count(xor(x.bits, u.bits)) <= 6)
+select query, cast(place as int) as place, id, distance from (select *, row_number() over (partition by query order by distance, id) as place from p where id is not null) where place <= 3""")
+def nearest_fingerprints(spark, sf_dir):
+    """Search by hash, as by image: for each fingerprint of 32 bits the three nearest others at most
+    6 bits away, over all labels."""
+    prints = table(spark, sf_dir, "embeddings").select("vec_id", pg.sign_bits(F.slice("embedding", 1, 32)).alias("bits"))
+    return clusters.nearest_hashes(prints, prints, id_col="vec_id", bits="bits", distance=6, k=3, width=32)
+
+
 @query("""
 select page_id, replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') as title,
        regexp_extract(html, '<html lang="([a-z-]+)"', 1) as lang, cast((length(html) - length(replace(html, '<a ', ''))) // 3 as bigint) as n_links from pages""")

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.search import lowered, turkish_lower
+
 OFFER = ["market", "url", "lang", "title", "price", "currency", "seller"]
 
 
@@ -88,10 +90,12 @@ def parsed(pages: DataFrame, adapters: list[Adapter]) -> DataFrame:
 
 
 def search(pages: DataFrame, markets: list[str] | None = None, words: list[str] = ()) -> DataFrame:
-    """Offers of all asked markets whose titles hold all words; all markets in one scan."""
+    """Offers of all asked markets whose titles hold all words, in either case by the rules of each
+    market's language; all markets in one scan."""
     found = parsed(pages, [REGISTRY[m] for m in (sorted(REGISTRY) if markets is None else markets)])
+    title, turkish = lowered(F.col("title"), F.col("lang")), F.col("lang") == "tr"
     for word in words:
-        found = found.where(F.contains(F.lower("title"), F.lit(word.lower())))
+        found = found.where(F.contains(title, F.when(turkish, turkish_lower(F.lit(word))).otherwise(F.lit(word.lower()))))
     return found
 
 
@@ -110,13 +114,16 @@ def bulk_search(queries: DataFrame, offers: DataFrame) -> DataFrame:
     """Offers whose titles hold all words of a query, of the query's market (null: of any).
 
     Words of titles are joined with words of queries and counted, so nothing is compared with
-    everything; the query file is the small side, but is not assumed to fit a broadcast.
+    everything; the query file is the small side, but is not assumed to fit a broadcast. Both are
+    lower-cased by the rules of the offer's language: Turkish or others.
     """
     q = queries.select(F.trim("query").alias("query"), "market").distinct().where("query <> ''")
-    asked = q.select("query", F.col("market").alias("asked"), F.array_distinct(F.split(F.lower("query"), r"\s+")).alias("w"))
-    asked = asked.select("query", "asked", F.size("w").alias("n"), F.explode("w").alias("word"))
-    seen = offers.select("market", "url", "title", "price", F.explode(F.array_distinct(F.split(F.lower("title"), r"\s+"))).alias("word"))
-    hits = seen.join(asked, "word").where("asked is null or asked = market")
+    forms = F.array(*[F.struct(F.lit(t).alias("turkish"), F.array_distinct(F.split(low, r"\s+")).alias("w")) for t, low in ((False, F.lower("query")), (True, turkish_lower(F.col("query"))))])
+    asked = q.select("query", F.col("market").alias("asked"), F.explode(forms).alias("f"))
+    asked = asked.select("query", "asked", "f.turkish", F.size("f.w").alias("n"), F.explode("f.w").alias("word"))
+    title = lowered(F.col("title"), F.col("lang"))
+    seen = offers.select("market", "url", "title", "price", (F.col("lang") == "tr").alias("turkish"), F.explode(F.array_distinct(F.split(title, r"\s+"))).alias("word"))
+    hits = seen.join(asked, ["turkish", "word"]).where("asked is null or asked = market")
     return hits.groupBy("query", "asked", "market", "url", "title", "price", "n").agg(F.count("*").alias("k")).where("k = n").drop("k", "n")
 
 
