@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import html
 from ..functions import pages as pg
 from ..operators import cost, search, similar
 from ..sources import adapters, fixtures
@@ -247,6 +248,43 @@ def shared_name_words(spark, sf_dir):
     return words.groupBy("p_brand", "word").agg(F.min("p_partkey").alias("first_id"), F.count("*").alias("n")).where("n > 1")
 
 
+def _decoded(x: str) -> str:
+    """SQL for a text of ``pages`` with its entities decoded and its white space collapsed."""
+    for name, text in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{name}', '{text}')"
+    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+
+
+@query(rf"""
+with l as (select page_id, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') as a from pages),
+ e as (select page_id, unnest(a) as a, unnest(range(1, len(a) + 1)) as place from l)
+select page_id, cast(place as int) as place, regexp_extract(a, '"([^"]*)"', 1) as href, {_decoded("regexp_extract(a, '>([^<]*)<', 1)")} as anchor from e""")
+def page_links(spark, sf_dir):
+    """The links of all pages with their anchors, in order."""
+    read = html.read_pages(table(spark, sf_dir, "pages"), keep=["page_id"])
+    return read.select("page_id", F.posexplode("links").alias("at", "l")).select("page_id", (F.col("at") + 1).alias("place"), "l.href", "l.anchor")
+
+
+@query(rf"""
+with l as (select page_id, regexp_extract_all(html, '<h[1-6]>[^<]*</h[1-6]>') as a from pages),
+ e as (select page_id, unnest(a) as a, unnest(range(1, len(a) + 1)) as place from l)
+select page_id, cast(place as int) as place, cast(substr(a, 3, 1) as int) as level, {_decoded("regexp_extract(a, '>([^<]*)<', 1)")} as heading from e""")
+def page_headings(spark, sf_dir):
+    read = html.read_pages(table(spark, sf_dir, "pages"), keep=["page_id"])
+    return read.select("page_id", F.posexplode("headings").alias("at", "h")).select("page_id", (F.col("at") + 1).alias("place"), "h.level", F.col("h.text").alias("heading"))
+
+
+@query(rf"""
+with a as (select page_id, regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1) as x from pages),
+ b as (select page_id, string_split(regexp_replace(regexp_replace(regexp_replace(x, '\s+', ' ', 'g'), '</?(p|h1|br)>', chr(10), 'g'), '</?b>', '', 'g'), chr(10)) as parts from a),
+ c as (select page_id, list_filter(list_transform(parts, lambda t: {_decoded("t")}), lambda t: t <> '') as lines from b)
+select page_id, array_to_string(lines, chr(10)) as main_text, cast(len(lines) as int) as n_lines from c""")
+def page_main_text(spark, sf_dir):
+    """The main text of all pages, without frames and advertisements."""
+    read = html.read_pages(table(spark, sf_dir, "pages"), keep=["page_id"]).select("page_id", html.main_text(F.col("blocks")).alias("main_text"))
+    return read.withColumn("n_lines", F.when(F.col("main_text") == "", 0).otherwise(F.size(F.split("main_text", "\n"))).cast("int"))
+
+
 @query("select host, count(*) as n, min(page_id) as first_id from (select page_id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) as host from pages) group by 1")
 def hosts(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(pg.host(F.col("url")).alias("host")).agg(F.count("*").alias("n"), F.min("page_id").alias("first_id"))
