@@ -14,7 +14,7 @@ from ..functions import pages as pg
 from ..operators import cost, search, similar
 from ..sources import adapters, fixtures
 from ..storage import broadcast_if_small, shared_dir, table
-from ..streaming import watch
+from ..streaming import watch, watchlist
 from .queries import query
 
 _ITEMS = "select p_partkey as item, p_name as name, p_brand as brand, p_type as kind, p_size as size, cast(round(p_retailprice * 100) as bigint) as cents from part"
@@ -170,6 +170,71 @@ def stream_sessions(spark, sf_dir):
     return done.withColumn("start", F.col("start").cast("string"))
 
 
+#: Days by which events of a type come late, days of a delivery, and days that are waited for late ones.
+_LATE, _DELIVERY, _WAIT = {"error": 3, "signup": 1}, 6, 2
+#: Events with the number of their delivery, and the watermark (in milliseconds) at each.
+_DELIVERED = f"""
+d as (select *, cast(epoch_us(ts - (select date_trunc('day', min(ts)) from events)) // 86400000000 + case event_type {" ".join(f"when '{t}' then {n}" for t, n in _LATE.items())} else 0 end as bigint) // {_DELIVERY} as number from events),
+w as (select number, (select max(epoch_us(ts)) // 1000 from d y where y.number < x.number) - {_WAIT * 86_400_000} as mark from (select distinct number from d) x),
+last as (select max(epoch_us(ts)) // 1000 - {_WAIT * 86_400_000} as mark from d)"""
+_ON_TIME = "(mark is null or epoch_us(ts) > mark * 1000)"
+
+
+def _deliveries(spark, sf_dir):
+    """Events with the number of their delivery, and how many there are."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    begin = events.agg(F.date_trunc("day", F.min("ts")).alias("t")).first()["t"]
+    late = F.lit(0)
+    for kind, days in _LATE.items():
+        late = F.when(F.col("event_type") == kind, days).otherwise(late)
+    day = F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(begin))) / 86_400_000_000) + late
+    numbered = events.withColumn("number", F.floor(day / _DELIVERY).cast("long"))
+    return numbered, (numbered.agg(F.max("number")).first()[0] or 0) + 1
+
+
+def _run(spark, sf_dir, run, more=None):
+    events, count = _deliveries(spark, sf_dir)
+    every, count = (events, count) if more is None else (more(events), count + 1)
+    return watchlist.deliver(every, F.col("number"), count, run)
+
+
+@query(f"""with {_DELIVERED}
+select cast(date_trunc('day', ts) as varchar) as start, event_type, count(*) as n, cast(sum(cast(value as decimal(12,2))) as double) as total from d join w using (number)
+where mark is null or epoch_ms(date_trunc('day', ts) + interval 1 day) > mark
+group by date_trunc('day', ts), event_type having epoch_ms(date_trunc('day', ts) + interval 1 day) <= (select mark from last)""")
+def stream_late_counts(spark, sf_dir):
+    """Counts of days from deliveries out of order; what comes after its day is closed is dropped."""
+    return _run(spark, sf_dir, lambda s: watch.windowed_counts(s, late=f"{_WAIT} days")).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss").cast("string"))
+
+
+@query(f"""with {_DELIVERED},
+ again as (select event_id, ts, number from d union all select event_id, ts, number + 1 from d where event_type in ('purchase', 'view')),
+ x as (select distinct number from again), m as (select number, (select max(epoch_us(ts)) // 1000 from again y where y.number < x.number) - {_WAIT * 86_400_000} as mark from x)
+select distinct event_id from again join m using (number) where {_ON_TIME}""")
+def stream_once(spark, sf_dir):
+    """Events of which some are delivered twice, each once."""
+    twice = lambda e: e.unionByName(e.where("event_type in ('purchase', 'view')").withColumn("number", F.col("number") + 1))
+    return _run(spark, sf_dir, lambda s: watchlist.once(s, id_col="event_id", at="ts", late=f"{_WAIT} days").select("event_id"), twice)
+
+
+@query(f"""with {_DELIVERED},
+ s as (select number, (select least(max(epoch_us(ts)) filter (event_type = 'error'), max(epoch_us(ts)) filter (event_type = 'purchase')) // 1000 from d y where y.number < w.number) - {_WAIT * 86_400_000} as mark from w),
+ t as (select * from d join s using (number) where {_ON_TIME})
+select a.event_id as first_id, b.event_id as then_id from t a join t b on a.user_id = b.user_id and b.ts between a.ts and a.ts + interval 6 hours where a.event_type = 'error' and b.event_type = 'purchase'""")
+def stream_followed(spark, sf_dir):
+    """Purchases within six hours of an error of the same user, whichever is delivered first. The
+    watermark is that of the side which is behind."""
+    return _run(spark, sf_dir, lambda s: watchlist.followed(s, F.col("event_type") == "error", F.col("event_type") == "purchase", by="user_id", id_col="event_id", at="ts", within="6 hours", late=f"{_WAIT} days"))
+
+
+@query(f"""with {_DELIVERED}, t as (select user_id, epoch_us(ts) // 1000 as ms, value from d join w using (number) where {_ON_TIME} and value is not null),
+ r as (select *, sum(fresh) over (partition by user_id order by ms rows unbounded preceding) as visit from (select *, case when ms - lag(ms) over (partition by user_id order by ms) < 21600000 then 0 else 1 end as fresh from t))
+select user_id as key, min(ms) as started, max(ms) as ended, count(*) as n, min(value) as least, max(value) as most from r group by user_id, visit having max(ms) + 21600000 <= (select mark from last)""")
+def stream_visits(spark, sf_dir):
+    """Visits of users, from deliveries out of order, as the state's timers close them."""
+    return _run(spark, sf_dir, lambda s: watchlist.visits(s, by="user_id", at="ts", value="value", idle_ms=21_600_000, late=f"{_WAIT} days"))
+
+
 @query("select event_type, min(value) as least, max(value) as most, count(*) as n from events group by 1")
 def stream_running_extremes(spark, sf_dir):
     """Least and largest values so far of each type, kept as a stream's own state."""
