@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions import html
 from ..functions import pages as pg
 from ..operators import cost, search, similar
-from ..sources import adapters, fixtures
+from ..sources import adapters, fixtures, warc
 from ..storage import broadcast_if_small, shared_dir, table
 from ..streaming import watch, watchlist
 from .queries import query
@@ -313,6 +313,32 @@ def shared_name_words(spark, sf_dir):
     return words.groupBy("p_brand", "word").agg(F.min("p_partkey").alias("first_id"), F.count("*").alias("n")).where("n > 1")
 
 
+_HOST = "lower(regexp_extract(url, '^https?://([^/?#]+)', 1))"
+
+
+@query(f"select page_id, url, {_HOST} as host, md5(html) as html_md5 from pages where {_HOST} in (select distinct {_HOST} from pages order by 1 limit 3)")
+def warc_hosts(spark, sf_dir):
+    """All pages written as WARC files, and those of three hosts read back by the index."""
+    warc.use(spark)
+    path, own = shared_dir(spark), table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    own.write.format("page_warc").mode("append").save(path)
+    asked = [r[0] for r in own.select(pg.host(F.col("url")).alias("h")).distinct().orderBy("h").limit(3).collect()]
+    found = spark.read.format("page_warc").load(path).where(F.col("host").isin(asked))
+    return found.select("page_id", "url", "host", F.md5(F.col("html").cast("binary")).alias("html_md5"))
+
+
+@query(f"select {_HOST} as host, count(*) as n, cast(sum(length(html)) as bigint) as n_chars from pages group by 1")
+def warc_stream(spark, sf_dir):
+    """Pages of two commits of WARC files, read as a stream."""
+    warc.use(spark)
+    path, own = shared_dir(spark), table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    secure = F.coalesce(F.startswith("url", F.lit("https:")), F.lit(False))
+    for part in (secure, ~secure):
+        own.where(part).write.format("page_warc").mode("append").save(path)
+    read = watch.drain(spark.readStream.format("page_warc").load(path).select("host", F.length("html").alias("n")))
+    return read.groupBy("host").agg(F.count("*").alias("n"), F.sum("n").alias("n_chars"))
+
+
 def _decoded(x: str) -> str:
     """SQL for a text of ``pages`` with its entities decoded and its white space collapsed."""
     for name, text in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "''"), ("&amp;", "&")):

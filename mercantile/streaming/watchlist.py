@@ -48,9 +48,9 @@ def once(events: DataFrame, *, id_col: str, at: str, late: str) -> DataFrame:
 def followed(events: DataFrame, first: Column, then: Column, *, by: str, id_col: str, at: str, within: str, late: str) -> DataFrame:
     """(first_id, then_id): pairs of events of one ``by``, the second up to ``within`` after the first. The
     watermark is the lesser of both sides'. The interval bounds the state: an event is kept until none that matches it can come in time."""
-    marked = events.withWatermark(at, late)
-    a = marked.where(first).select(F.col(by).alias("a_by"), F.col(id_col).alias("first_id"), F.col(at).alias("a_at"))
-    b = marked.where(then).select(F.col(by).alias("b_by"), F.col(id_col).alias("then_id"), F.col(at).alias("b_at"))
+    a = events.withWatermark(at, late).where(first).select(F.col(by).alias("a_by"), F.col(id_col).alias("first_id"), F.col(at).alias("a_at"))
+    # a watermark of its own: of one that both sides share, Spark counts one side only
+    b = events.withWatermark(at, late).where(then).select(F.col(by).alias("b_by"), F.col(id_col).alias("then_id"), F.col(at).alias("b_at"))
     near = (F.col("a_by") == F.col("b_by")) & (F.col("b_at") >= F.col("a_at")) & (F.col("b_at") <= F.col("a_at") + F.expr(f"interval {within}"))
     return a.join(b, near).select("first_id", "then_id")
 
