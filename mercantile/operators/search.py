@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import broadcast_if_small, materialise
+from .skew import dealt_join
 
 #: Turkish words, language and translation.
 DICTIONARY = (
@@ -106,14 +107,46 @@ def comparison(offers: DataFrame, *, rows: str, columns: str, values: list[str],
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, *, at: str, start: str, stop: str, width: float, by: list[str] = ()) -> DataFrame:
-    """Rows of ``points`` with each interval [start, stop) that holds them.
+    """Rows of ``points`` with each interval [start, stop) that holds them, of the same ``by``.
 
-    Intervals are dealt to the cells of ``width`` that they touch, so the join is an equi-join
-    on cells; a range condition alone would compare all rows with all.
+    An interval is stored by the level of its length: cells are ``width`` at level 0, twice as wide at
+    each further one, and an interval stands in the two cells at most that it touches at the first
+    level whose cells are as long as itself. A point is looked up in its cell of each level that
+    there is, a few dozen at most whatever the lengths; so it is an equi-join, and no interval is
+    spread over its whole range. Cells of many points are dealt over tasks.
     """
-    lo, hi = F.floor(F.col(start) / width), F.floor(F.col(stop) / width)
-    dealt = intervals.where(F.col(start) < F.col(stop)).withColumn("__cell", F.explode(F.sequence(lo, hi)))
-    return points.withColumn("__cell", F.floor(F.col(at) / width)).join(dealt, ["__cell", *by]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(stop))).drop("__cell")
+    names, kept = points.columns, intervals.columns
+    sides = [F.col(c).alias(f"__{c}") for c in by]
+    size = F.lit(float(width)) * F.pow(F.lit(2.0), F.col("__level"))
+    long = (F.col(start) < F.col(stop)) & F.col(start).isNotNull()
+    stored = intervals.where(long).withColumn("__level", F.greatest(F.lit(0), F.ceil(F.log2((F.col(stop) - F.col(start)).cast("double") / width))).cast("int"))
+    stored = stored.withColumn("__cell", F.explode(F.sequence(F.floor(F.col(start) / size).cast("long"), F.floor(F.col(stop) / size).cast("long"))))
+    stored = materialise(stored.select(F.struct(*kept).alias("__interval"), *sides, "__level", "__cell"))
+    levels = sorted(r[0] for r in stored.select("__level").distinct().collect())
+    asked = points.where(F.col(at).isNotNull()).select(F.struct(*names).alias("__point"), *sides, F.col(at).alias("__at"), F.explode(F.lit(levels).cast("array<int>")).alias("__level"))
+    asked = materialise(asked.withColumn("__cell", F.floor(F.col("__at") / size).cast("long")))
+    met = dealt_join(stored, asked, [*(f"__{c}" for c in by), "__level", "__cell"], by=F.xxhash64("__point"))
+    inside = met.where((F.col("__at") >= F.col(f"__interval.{start}")) & (F.col("__at") < F.col(f"__interval.{stop}")))
+    return inside.select(*[F.col(f"__point.{c}") for c in names], *[F.col(f"__interval.{c}") for c in kept if c not in by])
+
+
+def overlap_join(left: DataFrame, right: DataFrame, *, start: str, stop: str, width: float, by: list[str] = ()) -> DataFrame:
+    """(a, b): structs of the rows of both sides whose intervals [start, stop) overlap, of the same ``by``.
+
+    Of two that overlap, one begins within the other: those of the left that begin in one of the right,
+    and those of the right that begin in one of the left, but not with it. Empty intervals meet none.
+    """
+
+    def packed(side: DataFrame, name: str, *more: Column) -> DataFrame:
+        return side.where(F.col(start) < F.col(stop)).select(F.struct(*side.columns).alias(name), *by, *more)
+
+    def spans(side: DataFrame, name: str) -> DataFrame:
+        return packed(side, name, F.col(start).alias("__from"), F.col(stop).alias("__to"))
+
+    ends = {"start": "__from", "stop": "__to", "at": "__at", "width": width, "by": list(by)}
+    first = interval_join(packed(left, "a", F.col(start).alias("__at")), spans(right, "b"), **ends)
+    then = interval_join(packed(right, "b", F.col(start).alias("__at")), spans(left, "a"), **ends).where(F.col("__at") > F.col("__from"))
+    return first.select("a", "b").unionByName(then.select("a", "b"))
 
 
 def sessions(events: DataFrame, *, by: str, at: str, gap_seconds: int) -> DataFrame:

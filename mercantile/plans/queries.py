@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pages as pg
-from ..operators import clusters, cost, scoring, search
+from ..operators import clusters, cost, scoring, search, spelling
 from ..sources import catalogue as cat
 from ..storage import table
 from ..streaming import watch
@@ -253,6 +253,38 @@ def price_cube(spark, sf_dir):
     return table(spark, sf_dir, "part").cube("p_brand", "p_type").agg(F.grouping_id().alias("level"), F.count("*").alias("n"), F.sum(F.col("p_retailprice").cast("decimal(12,2)")).cast("double").alias("total"))
 
 
+@query("""
+with o as (select o_orderkey, o_custkey, epoch_us(o_orderdate) / 86400000000e0 as day from orders)
+select a.o_custkey, a.o_orderkey as first_order, b.o_orderkey as second_order from o a join o b on a.o_custkey = b.o_custkey and a.o_orderkey < b.o_orderkey and a.day < b.day + 20e0 and b.day < a.day + 20e0""")
+def overlapping_orders(spark, sf_dir):
+    """Orders of one customer whose twenty days of delivery overlap."""
+    day = F.unix_micros(F.col("o_orderdate").cast("timestamp")) / F.lit(86_400_000_000)
+    spans = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", day.alias("lo"), (day + 20).alias("hi"))
+    met = search.overlap_join(spans, spans, start="lo", stop="hi", width=1.0, by=["o_custkey"]).where("a.o_orderkey < b.o_orderkey")
+    return met.select("a.o_custkey", F.col("a.o_orderkey").alias("first_order"), F.col("b.o_orderkey").alias("second_order"))
+
+
+@query("""
+with n as (select lower(p_name) as name, min(p_partkey) as id, count(*) as c from part group by 1),
+ q as (select id as query_id, substr(name, 1, 1) || substr(name, 3) || ' cheapest' as text from n),
+ w as (select distinct query_id, unnest(string_split(text, ' ')) as word from q),
+ v as (select word, count(*) as n from (select distinct p_partkey, unnest(string_split(lower(p_name), ' ')) as word from part) group by 1),
+ c as (select x.word, v.word as found, v.n, row_number() over (partition by x.word order by levenshtein(x.word, v.word), v.n desc, v.word) as r
+  from (select distinct word from w) x join v on levenshtein(x.word, v.word) <= case when length(x.word) >= 8 then 2 when length(x.word) >= 4 then 1 else 0 end),
+ b as (select distinct query_id, found, n from w join c using (word) where r = 1),
+ p as (select *, row_number() over (partition by query_id order by n, found) as place, count(*) over (partition by query_id) as total from b),
+ r as (select query_id, total - k + 1 as rung, list(found order by found) as words from p join (select unnest(range(1, 10)) as k) on place <= k and k <= total group by query_id, total, k),
+ h as (select query_id, rung, words, sum(c) as n_hits, min(id) as best_id from r join n on list_has_all(string_split(name, ' '), words) group by all)
+select query_id, cast(rung as int) as rung, array_to_string(words, ' ') as words, cast(n_hits as bigint) as n_hits, best_id from (select *, row_number() over (partition by query_id order by rung) as f from h) where f = 1""")
+def misspelt_search(spark, sf_dir):
+    """Every name, without its second letter and with a word that no name holds: its corrected
+    words, and the first rung with hits."""
+    names = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("name"))
+    asked = names.groupBy("name").agg(F.min("p_partkey").alias("query_id"))
+    asked = asked.select("query_id", F.concat(F.substring("name", 1, 1), F.substring("name", 3, 1000), F.lit(" cheapest")).alias("text"))
+    return spelling.spelled_hits(asked, names, id_col="p_partkey", name="name")
+
+
 @query("""
 select c_mktsegment, o_orderkey, o_totalprice, place from (select c_mktsegment, o_orderkey, o_totalprice, cast(row_number() over (partition by c_mktsegment order by o_totalprice desc, o_orderkey) as int) as place
 from orders join customer on o_custkey = c_custkey) where place <= 5""")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mercantile.functions import images
-from mercantile.operators import clusters, search, similar, skew
+from mercantile.operators import clusters, search, similar, skew, spelling
 
 
 def brute_sets(rows, least=0.7):
@@ -122,3 +122,54 @@ def test_turkish_titles(spark):
     assert [r[0] for r in offers.orderBy("url").select(low).collect()] == ["kırmızı halka", "red ring i", None]
     rungs = spark.createDataFrame([(1, "tr", 1, "kırmızı top"), (1, "tr", 2, "kırmızı"), (2, "en", 1, "ring red"), (2, "en", 2, "red"), (3, "en", 1, "anvil")], "query_id int, lang string, rung int, text string")
     assert sorted((r["query_id"], r["rung"], r["url"]) for r in search.ladder_hits(rungs, offers).collect()) == [(1, 2, "u1"), (2, 1, "u2")]
+
+
+@pytest.mark.parametrize("dealt", [3, 4096])
+def test_intervals(spark, monkeypatch, dealt):
+    """Intervals of all lengths and levels, one over everything, points that crowd one cell, nulls."""
+    monkeypatch.setattr(skew, "HOT_ROWS", dealt)
+    rng = np.random.default_rng(9)
+    points = [(i, "ab"[i % 2], float(x)) for i, x in enumerate(rng.uniform(-50, 50, 60))] + [(100 + i, "a", 7.25) for i in range(20)] + [(200, "a", None), (201, None, 1.0), (202, "b", -1e6)]
+    spans = [(i, "ab"[i % 2], float(lo), float(lo + 2.0 ** rng.integers(-6, 7))) for i, lo in enumerate(rng.uniform(-60, 50, 60))]
+    spans += [(90, "a", -1e9, 1e9), (91, "a", 5.0, 5.0), (92, "a", 6.0, 5.0), (93, "b", None, 1.0), (94, None, 0.0, 2.0), (95, "a", 7.25, 8.25)]
+    p, s = spark.createDataFrame(points, "i int, g string, at double"), spark.createDataFrame(spans, "j int, g string, lo double, hi double")
+    got = sorted((r["i"], r["j"]) for r in search.interval_join(p, s, at="at", start="lo", stop="hi", width=1.0, by=["g"]).collect())
+    assert got == sorted((i, j) for i, g, x in points for j, h, lo, hi in spans if g and g == h and x is not None and lo is not None and lo <= x < hi)
+    both = sorted((r["a"]["j"], r["b"]["j"]) for r in search.overlap_join(s, s, start="lo", stop="hi", width=1.0, by=["g"]).collect())
+    assert both == sorted((i, j) for i, g, a, b in spans for j, h, c, d in spans if g and g == h and None not in (a, c) and a < b and c < d and a < d and c < b)
+
+
+def test_wide_intervals_are_not_spread(spark):
+    """An interval a million million cells wide is looked up like any other."""
+    p, s = spark.createDataFrame([(1, 5.0), (2, -1.0)], "i int, at double"), spark.createDataFrame([(1, 0.0, 1e12)], "j int, lo double, hi double")
+    assert [r["i"] for r in search.interval_join(p, s, at="at", start="lo", stop="hi", width=1.0).collect()] == [1]
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_corrected(spark):
+    rng = np.random.default_rng(6)
+    known = {"".join(rng.choice(list("abc"), rng.integers(1, 11))): int(rng.integers(1, 5)) for _ in range(150)}
+    asked = sorted({"".join(rng.choice(list("abc"), rng.integers(1, 11))) for _ in range(120)} | {"", "a"})
+    got = {r["word"]: (r["distance"], -r["n"], r["found"]) for r in spelling.corrected(spark.createDataFrame([(w,) for w in asked], "word string"), spark.createDataFrame(list(known.items()), "word string, n long")).collect()}
+    want = {}
+    for w in asked:
+        allowed = 2 if len(w) >= 8 else 1 if len(w) >= 4 else 0
+        near = [(d, -n, k) for k, n in known.items() if (d := levenshtein(w, k)) <= allowed]
+        if near:
+            want[w] = min(near)
+    assert got == want and len(want) > 60
+
+
+def test_ladder_drops_common_words(spark):
+    names = [(i, f"red {x}") for i, x in enumerate(["gear", "gear", "ring", "bolt", "anvil"])] + [(9, "blue sprocket")]
+    asked = spark.createDataFrame([(1, "red geer"), (2, "blue anvil"), (3, "sprokcet red"), (4, "zzzz"), (5, "")], "query_id int, text string")
+    got = {r["query_id"]: (r["rung"], r["words"], r["n_hits"], r["best_id"]) for r in spelling.spelled_hits(asked, spark.createDataFrame(names, "id int, name string"), id_col="id", name="name").collect()}
+    assert got == {1: (1, "gear red", 2, 0), 2: (2, "anvil", 1, 4), 3: (2, "sprocket", 1, 9)}
