@@ -7,7 +7,7 @@ words are never looked up. Where the shift is 0, the block at the window's end a
 its start select a bucket of patterns, and their words are compared directly, byte by byte. The
 cursors of many stretches of text move together, as NumPy arrays, inside Spark tasks; documents
 are never shuffled, nor do they meet a second time unless the benchmark is larger than what is
-broadcast at once.
+broadcast at once. What several such rounds find in a document is merged in one sort of its spans.
 
 Null and empty texts have no words and give a row with zeros. Rows are independent of each
 other: repeated rows give repeated results, and rows without an id keep theirs. Very long texts
@@ -18,13 +18,15 @@ rows. Columns of ``keep`` that are named as results are replaced by them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import Words, map_text, materialise, mix, spread, windows
+from .textops import Words, lists, map_text, materialise, mix, spread, windows
 
 WINDOW = 10
 STRETCH = 256
@@ -181,6 +183,27 @@ def scan(made: list[Items], byte: np.ndarray, off: np.ndarray) -> list:
     return [pa.array(np.diff(words.off)), pa.array(n_hit), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(n_hit > 0)]
 
 
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (row, n_words, spans, items) as (row, ``OUT``): the spans that several rounds have found, in
+    order, those that meet as one. One sort and one running maximum for all spans of a batch."""
+    for batch in batches:
+        row, n_words, spans, items = batch.columns
+        flat = spans.flatten().to_numpy().reshape(-1, 2)
+        doc = np.repeat(np.arange(len(batch)), spans.value_lengths().to_numpy() // 2)
+        order = np.lexsort((flat[:, 0], doc))
+        doc, start, end = doc[order], flat[order, 0], flat[order, 1]
+        # documents stand one behind the other, so ends of one never reach the next
+        base = doc * (int(end.max(initial=0)) + 2)
+        reach = np.maximum.accumulate(end + base) if len(end) else end
+        fresh = np.ones(len(doc), bool)
+        fresh[1:] = (doc[1:] != doc[:-1]) | (start[1:] + base[1:] > reach[:-1])
+        at = np.flatnonzero(fresh)
+        stop = (reach - base)[np.append(at[1:], len(doc)) - 1] if len(at) else at
+        n_hit = np.bincount(doc[at], stop - start[at], len(batch)).astype(np.int64)
+        merged = lists(np.stack([start[at], stop], 1).ravel(), 2 * np.bincount(doc[at], minlength=len(batch)), pa.int64())
+        yield pa.RecordBatch.from_arrays([row, n_words, pa.array(n_hit), merged, items, pa.array(n_hit > 0)], names=[batch.schema.names[0], *OUT.fieldNames()])
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str] | None = None, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, round_bytes: int = ROUND_BYTES) -> DataFrame:
     """One row for each document: ``keep`` (default doc_id), n_words, n_hit, hit_spans (first
     word and end of each run of hit words, flat), items (ids as sorted strings), contaminated.
@@ -219,12 +242,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str] | No
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    marks = F.expr("flatten(transform(sequence(0, size(hit_spans) div 2 - 1), i -> sequence(hit_spans[2 * i], hit_spans[2 * i + 1] - 1)))")
-    every = every.withColumn("marks", F.when(F.size("hit_spans") > 0, marks).otherwise(F.array().cast("array<bigint>")))
-    one = every.groupBy(row).agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("marks")))).alias("marks"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    edges = one.withColumn("from", F.filter("marks", lambda m: ~F.array_contains("marks", m - 1))).withColumn("to", F.filter("marks", lambda m: ~F.array_contains("marks", m + 1)))
-    spans = F.flatten(F.zip_with("from", "to", lambda a, b: F.array(a, b + 1)))
-    merged = edges.select(F.col(row), "n_words", F.size("marks").cast("long").alias("n_hit"), spans.alias("hit_spans"), "items", (F.size("marks") > 0).alias("contaminated"))
+    one = every.groupBy(row).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hit_spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = one.mapInArrow(joined, T.StructType([one.schema[row], *OUT]))
     return kept.select(*[F.col(f"`{c}`") for c in keep], row).join(merged, row).drop(row)
 
 

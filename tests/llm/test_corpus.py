@@ -2,13 +2,14 @@
 
 import hashlib
 import math
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from mercantile.llm import importance, language, lm_score, manifest, minhash, ranks
+from mercantile.llm import decontam, importance, language, lm_score, manifest, minhash, ranks
 from mercantile.llm.queries import QUERIES
 
 from .test_operators import ODD, sha, words
@@ -197,3 +198,16 @@ def test_minhash_several_texts(spark):
     rows = [(5, one), (5, two), (6, two), (7, one), (9, two)]
     found = [sorted(map(tuple, minhash.near_duplicates(spark.createDataFrame(x, "doc_id long, text string")).collect())) for x in (rows, rows[::-1])]
     assert found[0] == found[1] and {(6, 5), (7, 5), (9, 5)} <= {r[:2] for r in found[0]}
+
+
+def test_many_hits_over_rounds(spark):
+    """A million hit words, found in two rounds and more, take little time to merge."""
+    a, b = [f"a{i}" for i in range(10)], [f"b{i}" for i in range(12)]
+    one = " ".join([*a, "x", *b, *a[:5], "y"])
+    docs = spark.createDataFrame([(1, one * 1), (2, f"{one} " * 45_000), (3, None), (4, " ".join(b + a + b[2:]))], "doc_id long, text string")
+    bench = spark.createDataFrame([("p", " ".join(a)), ("q", " ".join(b)), ("r", " ".join(b[2:] + a[:5]))], "item_id string, text string")
+    whole = {r["doc_id"]: r for r in decontam.contamination(docs, bench).collect()}
+    began = time.time()
+    parts = {r["doc_id"]: r for r in decontam.contamination(docs, bench, block_bytes=40, round_bytes=40).collect()}
+    assert time.time() - began < 30
+    assert parts == whole and whole[2]["n_hit"] == 45_000 * 27 and whole[4]["hit_spans"] == [0, 32] and whole[1]["items"] == ["p", "q", "r"]
