@@ -10,9 +10,11 @@ hash of doc_id, so that the fit is bounded whatever the corpus. Rows whose crc32
 text) mod 5 is 0 are never learnt from. Within the sample Spark counts the terms by label
 and keeps at most the ``max_terms`` most telling ones, and none whose log-likelihood ratio chance
 would bring up among so many terms. Terms that tell nothing by themselves but much together are
-found among the ``PAIR_TERMS`` most frequent ones: those of every pair stay whose joint table tells
-more than both do alone, beyond chance. The driver gets their ids and the sample's occurrences of
-them. Every document is scored, from its whole text, in Spark tasks.
+found by counting every pair of terms that at least ``PAIR_DOCS`` documents of the sample hold: those
+stay whose joint table tells more than both do alone, beyond chance (at most ``max_terms``, the most
+telling). Pairs are dealt over tasks in slices of a fixed number of counters, so the terms may be as many
+as they are. The driver gets the numbers of terms with their counts and the sample's occurrences of
+those that stay. Every document is scored, from its whole text, in Spark tasks.
 
 Null and empty texts have no terms and get the score of the bias alone. With no labelled
 row of both kinds, the score of all is the share of toxic labels (0 without labels). A null
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import U, Words, lists, map_text, materialise, span_hash
+from .textops import U, Words, lists, map_text, materialise, span_hash, spread
 
 BITS = 20
 STEMS = (4, 5, 6)
@@ -40,10 +42,14 @@ RATES = (256, 64, 16)
 LEVELS = 1 + len(RATES)
 MAX_TRAIN_ROWS = 20_000
 MAX_TERMS = 2048
-#: Most frequent terms whose pairs are looked at, and documents of the sample that must hold one.
-PAIR_TERMS, PAIR_DOCS = 1024, 20
+#: Documents of the sample that must hold a term, and lack it, for its pairs to be counted.
+PAIR_DOCS = 20
+#: Pairs that one task counts.
+CELLS = 1 << 23
 FACTORS = 4
 ROUNDS = 150
+#: Weight decay, for the pairs that tell by chance among those that are kept.
+L2 = 3e-3
 
 
 def terms(byte: np.ndarray, off: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +119,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(doc: np.ndarray, at: np.ndarray, label: np.ndarray, bucket: np.ndarray, factors: int = FACTORS, rounds: int = ROUNDS, l2: float = 1e-4) -> Model:
+def fit(doc: np.ndarray, at: np.ndarray, label: np.ndarray, bucket: np.ndarray, factors: int = FACTORS, rounds: int = ROUNDS, l2: float = L2) -> Model:
     """Adam over all rows of the sample. at: index of each occurrence in ``bucket``."""
     n, m = len(label), len(bucket)
     share = min(max(label.mean() if n else 0.0, 1e-6), 1 - 1e-6)
@@ -152,55 +158,94 @@ def _ratio(k: np.ndarray, n: np.ndarray, rate: float) -> np.ndarray:
     return 2 * (parts[0] + parts[1])
 
 
-def joint_terms(doc: np.ndarray, at: np.ndarray, terms: int, label: np.ndarray) -> np.ndarray:
-    """Which terms belong to a pair that tells more together than apart. ``at``: index of each occurrence."""
-    n, rate, keep = len(label), float(label.mean()) if len(label) else 0.0, np.zeros(terms, bool)
-    if terms < 2 or not 0 < rate < 1:
-        return keep
-    x = np.zeros((n, terms), np.uint8)
-    x[doc, at] = 1
-    toxic, all_bad = x[label == 1].astype(np.float32), float(label.sum())
-    count, bad = x.sum(0, dtype=np.float64), toxic.sum(0, dtype=np.float64)
-    alone = _ratio(bad, count, rate) + _ratio(all_bad - bad, n - count, rate)
-    least = 2 * math.log(terms * terms / 2) + 10
-    blocks = [slice(lo, lo + 128) for lo in range(0, terms, 128)]
-    for k, own in enumerate(blocks):
-        mine = x[:, own].astype(np.float32)
-        for other in blocks[k:]:
-            n11, k11 = (mine.T @ x[:, other].astype(np.float32)).astype(np.float64), (toxic[:, own].T @ toxic[:, other]).astype(np.float64)
-            n10, k10 = count[own, None] - n11, bad[own, None] - k11
-            n01, k01 = count[None, other] - n11, bad[None, other] - k11
-            joint = _ratio(k11, n11, rate) + _ratio(k10, n10, rate) + _ratio(k01, n01, rate) + _ratio(all_bad - k11 - k10 - k01, n - n11 - n10 - n01, rate)
-            i, j = np.nonzero(joint - alone[own, None] - alone[None, other] > least)
-            keep[i + own.start] = keep[j + other.start] = True
-    return keep
+def joint_gain(n: int, bad: int, count: tuple[np.ndarray, np.ndarray], toxic: tuple[np.ndarray, np.ndarray], n11: np.ndarray, k11: np.ndarray) -> np.ndarray:
+    """What pairs tell beyond both of their terms: of ``n`` documents, ``bad`` toxic, ``count`` and
+    ``toxic`` with each term, n11 and k11 with both."""
+    rate = bad / n
+    alone = sum(_ratio(t, c, rate) + _ratio(bad - t, n - c, rate) for c, t in zip(count, toxic, strict=True))
+    n10, k10, n01, k01 = count[0] - n11, toxic[0] - k11, count[1] - n11, toxic[1] - k11
+    return _ratio(k11, n11, rate) + _ratio(k10, n10, rate) + _ratio(k01, n01, rate) + _ratio(bad - k11 - k10 - k01, n - n11 - n10 - n01, rate) - alone
+
+
+def joint_terms(found: DataFrame, counts: DataFrame, n: int, bad: int, most: int, cells: int | None = None) -> np.ndarray:
+    """Terms of pairs that tell more together than apart. ``found``: (__y, terms) of the sample; ``counts``:
+    (b, c, k), documents and toxic ones with each term."""
+    cells = cells or CELLS
+    common = counts.where((F.col("b") < 1 << BITS) & F.col("c").between(PAIR_DOCS, n - PAIR_DOCS)).select("b", "c", "k").toArrow().sort_by("b")
+    term, count, toxic = (common.column(x).to_numpy().astype(np.int64) for x in ("b", "c", "k"))
+    v = len(term)
+    if v < 2 or not 0 < bad < n:
+        return np.zeros(0, np.int64)
+    # pair (i, j) of the i-th and a later term is start[i] + j - i - 1
+    many = v - 1 - np.arange(v)
+    start = np.cumsum(many) - many
+    part = start // cells
+    least = 2 * math.log(v * v / 2) + 10
+
+    def deal(batches):
+        for batch in batches:
+            rows: dict[str, list] = {"part": [], "y": [], "own": [], "ranks": []}
+            for y, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                t = np.sort(held.values.to_numpy().astype(np.int64)) if held.is_valid else np.zeros(0, np.int64)
+                at = np.minimum(np.searchsorted(term, t), v - 1)
+                rank = at[term[at] == t]
+                first = np.flatnonzero(np.diff(part[rank], prepend=-1))
+                for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(rank)], strict=True):
+                    if lo + 1 < len(rank):
+                        rows["part"].append(int(part[rank[lo]]))
+                        rows["y"].append(y)
+                        rows["own"].append(hi - lo)
+                        rows["ranks"].append(rank[lo:].astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(rows["part"], pa.int32()), pa.array(rows["y"], pa.int32()), pa.array(rows["own"], pa.int32()), pa.array(rows["ranks"], pa.binary())], names=list(rows))
+
+    def test(key, table):
+        lo, hi = np.searchsorted(part, (key[0].as_py(), key[0].as_py() + 1))
+        base, size = start[lo], int(many[lo:hi].sum())
+        n11, k11 = np.zeros(size, np.int32), np.zeros(size, np.int32)
+        for y, own, raw in zip(table.column("y").to_pylist(), table.column("own").to_pylist(), table.column("ranks").to_pylist(), strict=True):
+            rank = np.frombuffer(raw, "<i4").astype(np.int64)
+            later = len(rank) - 1 - np.arange(own)
+            step = max(1, (1 << 20) // len(rank))
+            for x in range(0, own, step):
+                # a document holds a pair once, so no counter is named twice
+                i, m = np.arange(x, min(own, x + step)), later[x : x + step]
+                cell = np.repeat(start[rank[i]] - base - rank[i] - 1, m) + rank[spread(i + 1, m)]
+                n11[cell] += 1
+                if y:
+                    k11[cell] += 1
+        gain: dict[int, float] = {}
+        for i in range(lo, hi):
+            own = slice(int(start[i] - base), int(start[i] - base + many[i]))
+            g = joint_gain(n, bad, (np.full(many[i], count[i]), count[i + 1 :]), (np.full(many[i], toxic[i]), toxic[i + 1 :]), n11[own], k11[own])
+            for j in np.flatnonzero(g > least).tolist():
+                for t in (i, i + 1 + j):
+                    gain[t] = max(gain.get(t, 0.0), float(g[j]))
+        return pa.table({"term": pa.array([int(term[t]) for t in gain], pa.int64()), "gain": pa.array(list(gain.values()), pa.float64())})
+
+    dealt = found.select(F.col("__y").cast("int").alias("y"), "terms").mapInArrow(deal, "part int, y int, own int, ranks binary")
+    told = dealt.groupBy("part").applyInArrow(test, "term long, gain double").groupBy("term").agg(F.max("gain").alias("gain"))
+    return np.array(sorted(r["term"] for r in told.orderBy(F.desc("gain"), "term").limit(most).collect()), np.int64)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_train_rows: int = MAX_TRAIN_ROWS, max_terms: int = MAX_TERMS) -> Model:
     rows = labels.where(F.col(label).isNotNull() & ~held_out(F.col(doc_id))).groupBy(F.col(doc_id).alias("__id")).agg(F.max(F.col(label)).alias("__y"))
     sample = rows.orderBy(F.xxhash64("__id"), "__id").limit(max_train_rows)
     ids = docs.join(F.broadcast(sample), docs[doc_id] == sample["__id"]).select("__id", "__y", F.col(f"`{text}`").alias("__t"))
+    # an id may have many rows; those of the sample's first ids are taken, up to the bound
+    ids = ids.orderBy(F.xxhash64("__id"), "__id", F.xxhash64("__t")).limit(max_train_rows) if ids.count() > max_train_rows else ids
     found = materialise(featurise(ids, "__t", ["__id", "__y"]))
     totals = found.agg(F.count("*").alias("n"), F.coalesce(F.sum("__y"), F.lit(0)).alias("p")).first()
     n, p = totals["n"], totals["p"]
     counts = materialise(found.select("__y", F.explode("terms").alias("b")).groupBy("b").agg(F.count("*").alias("c"), F.sum("__y").alias("k")).where("c >= 2"))
     least = 2 * np.log(max(counts.count(), 1))
     telling = counts.withColumn("g", _surprise(F.col("k"), F.col("c"), p, n)).where(F.col("g") > least).orderBy(F.desc("g"), "b").limit(max_terms)
-    common = counts.where(F.col("b") < 1 << BITS).where(F.col("c").between(PAIR_DOCS, n - PAIR_DOCS)).orderBy(F.desc("c"), "b").limit(PAIR_TERMS)
-    telling_ids, common_ids = (np.array(sorted(r["b"] for r in t.collect()), np.int64) for t in (telling, common))
-    bucket = np.union1d(telling_ids, common_ids)
-    kept = F.array_intersect("terms", F.lit(bucket.tolist()).cast("array<int>"))
+    chosen = np.union1d(np.array([r["b"] for r in telling.collect()], np.int64), joint_terms(found, counts, n, p, max_terms))
+    kept = F.array_intersect("terms", F.lit(chosen.tolist()).cast("array<int>"))
     got = found.select(F.col("__y").cast("double").alias("y"), kept.alias("t")).toArrow()
     t = got.column("t").combine_chunks()
-    at = np.searchsorted(bucket, t.flatten().to_numpy(zero_copy_only=False).astype(np.int64)).astype(np.int32)
+    at = np.searchsorted(chosen, t.flatten().to_numpy(zero_copy_only=False).astype(np.int64)).astype(np.int32)
     doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(t.offsets.to_numpy())) if n else np.zeros(0, np.int32)
-    label_of = got.column("y").to_numpy()
-    del got, t
-    live = np.isin(bucket, common_ids)[at]
-    joint = common_ids[joint_terms(doc[live], np.searchsorted(common_ids, bucket)[at[live]], len(common_ids), label_of)]
-    chosen = np.union1d(telling_ids, joint)
-    live = np.isin(bucket, chosen)[at]
-    return fit(doc[live], np.searchsorted(chosen, bucket)[at[live]], label_of, chosen)
+    return fit(doc, at, got.column("y").to_numpy(), chosen)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, keep: list[str] | None = None, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
