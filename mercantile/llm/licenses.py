@@ -7,7 +7,8 @@ text is compared with the license files first. Else, for each template, a window
 slides by single words over all places that hold a cue, whatever the lines and lengths. A window
 resembles a template from a cosine of 0.7, if it also holds the template's distinguishing terms
 (name and version) and none that tell another license. The best one is the document's license;
-"all rights reserved" counts only where nothing else is found. A document is a license file if
+"all rights reserved" counts only where nothing else is found. Notices that are denied ("is not
+released under ...") do not count, and all identifiers of an SPDX expression do. A document is a license file if
 such windows hold most of its words, or by its file name.
 
 A document without a license of its own inherits that of the nearest directory above it that
@@ -17,7 +18,8 @@ first, and ancestors are at most as many as a path is deep.
 
 Null and empty texts have no license of their own. A null path inherits nothing. Of several
 license files in a directory the best score wins, then the first by license name. Repeated
-rows give repeated results.
+rows give repeated results; very long texts are searched whole; an empty table gives no rows. Columns of
+``keep`` that are named as results are replaced by them.
 """
 
 from __future__ import annotations
@@ -72,6 +74,14 @@ HEAD = 120
 WHOLE = 0.9
 #: Terms that tell another license where a notice's template does not have them.
 OTHERS = frozenset(("lesser", "affero", "library", "nc", "sa", "nd"))
+#: Words that deny a notice which they stand in, or shortly before in its sentence.
+DENIALS, BEFORE = frozenset("not never neither nor no isn wasn aren".split()), 4
+#: Words of a window that are searched for denials.
+DENIED = 30
+#: The expression of an SPDX tag: identifiers with operators and brackets.
+_TAG = re.compile(r"spdx-license-identifier:[ \t]*(\(*[a-z0-9][a-z0-9.+-]*\)*(?:[ \t]+(?:and|or|with)[ \t]+\(*[a-z0-9][a-z0-9.+-]*\)*)*)", re.I)
+_STOP = re.compile(r"[.;:!?](?:\s|$)|\n")
+KNOWN_TAGS = {x.lower(): n for n, _, x in SPDX}
 _WORD = re.compile(r"[0-9a-z]+(?:\.[0-9]+)*")
 #: A line can only resemble a template if it holds one of these.
 _CUE = re.compile(r"licen[sc]e|rights reserved|permission is|redistribution|public domain|creative commons|\bcc0?\b|spdx", re.I)
@@ -110,7 +120,13 @@ class Templates:
         v = self.vector(count)
         return max(((min(1.0, sum(x * v.get(w, 0.0) for w, x in self.vectors[k].items())), self.names[k]) for k in self.full if self.fits(k, count)), default=(0.0, ""))
 
-    def slide(self, k: int, words: list[str], idf: list[float], first: int, last: int) -> tuple[float, int]:
+    def denied(self, k: int, words: list[str], at: int, sentence: list[int]) -> bool:
+        """Whether the window of template k at a word is denied. ``sentence``: the number of each word's."""
+        if not DENIALS.isdisjoint(words[max(0, at - BEFORE) : at]) and any(words[i] in DENIALS and sentence[i] == sentence[at] for i in range(max(0, at - BEFORE), at)):
+            return True
+        return any(w in DENIALS and w not in self.vectors[k] for w in words[at : at + min(self.size[k], DENIED)])
+
+    def slide(self, k: int, words: list[str], idf: list[float], sentence: list[int], first: int, last: int) -> tuple[float, int]:
         """Best cosine, and where, of the windows of template k that start from ``first`` to ``last``."""
         size, vector, count = min(self.size[k], len(words)), self.vectors[k], {}
         square = dot = 0.0
@@ -133,25 +149,34 @@ class Templates:
             if at > first:
                 turn(at - 1, -1)
                 turn(at + size - 1, 1)
-            if dot > 0 and (cosine := dot / math.sqrt(square)) >= COSINE and cosine > best[0] + 1e-9 and self.fits(k, count):
+            if dot > 0 and (cosine := dot / math.sqrt(square)) >= COSINE and cosine > best[0] + 1e-9 and self.fits(k, count) and not self.denied(k, words, at, sentence):
                 best = (min(1.0, cosine), at)
         return best
 
 
-def own_license(text: str, templates: Templates) -> tuple[str | None, float, float]:
-    """License, cosine, and the share of the words that stand in license statements."""
+def own_license(text: str, templates: Templates) -> tuple[str | None, float, float, list[tuple[str, float]]]:
+    """License, cosine, the share of the words that stand in license statements, and all licenses that
+    are found, each with its best cosine."""
+    none = None, 0.0, 0.0, []
     if not _CUE.search(text):
-        return None, 0.0, 0.0
+        return none
     text = text.lower()
     found = [(m.start(), m[0]) for m in _WORD.finditer(text)]
     starts, words = [a for a, _ in found], [w for _, w in found]
     if not words:
-        return None, 0.0, 0.0
+        return none
     cosine, name = templates.whole(words)
     if cosine >= WHOLE:
-        return name, cosine, 1.0
-    hits = [(cosine, name)] if cosine >= COSINE else []
+        return name, cosine, 1.0, [(name, cosine)]
+    hits = [(cosine, name, 0, len(words))] if cosine >= COSINE else []
     held = np.full(len(words), bool(hits))
+    for tag in _TAG.finditer(text):
+        named = [KNOWN_TAGS[x] for x in re.split(r"[\s()]+", tag[1]) if x in KNOWN_TAGS]
+        a, b = bisect_right(starts, tag.start()) - 1, bisect_right(starts, tag.end() - 1)
+        hits += [(1.0, name, a, b) for name in named]
+        held[a:b] |= bool(named)
+    stops = [m.start() for m in _STOP.finditer(text)]
+    sentence = [bisect_right(stops, a) for a in starts]
     idf = [templates.idf.get(w, templates.unknown) for w in words]
     cues = sorted({max(0, bisect_right(starts, m.start()) - 1) for m in _CUE.finditer(text)})
     for k, name in enumerate(templates.names):
@@ -164,32 +189,42 @@ def own_license(text: str, templates: Templates) -> tuple[str | None, float, flo
             else:
                 ranges.append([a, b])
         for a, b in ranges:
-            cosine, at = templates.slide(k, words, idf, a, b)
+            cosine, at = templates.slide(k, words, idf, sentence, a, b)
             if at >= 0:
-                hits.append((cosine, name))
+                hits.append((cosine, name, at, at + size))
                 held[at : at + size] = True
     if not hits:
-        return None, 0.0, 0.0
-    cosine, name = max(hits, key=lambda h: (h[1] != "proprietary", round(h[0], 9), h[1]))
-    return name, cosine, float(held.mean())
+        return none
+    cosine, name, *_ = max(hits, key=lambda h: (h[1] != "proprietary", round(h[0], 9), h[1]))
+    # where windows meet, the better one tells; an expression's licenses share theirs
+    every: dict[str, float] = {}
+    taken: list[tuple[float, int, int]] = []
+    for c, n, a, b in sorted(hits, key=lambda h: (-round(h[0], 9), h[1])):
+        if all(b <= x or y <= a or (c == best and (a, b) == (x, y)) for best, x, y in taken):
+            every.setdefault(n, c)
+            taken.append((c, a, b))
+    return name, cosine, float(held.mean()), sorted(every.items())
 
 
-OUT = T.StructType([T.StructField("own_license", T.StringType()), T.StructField("cosine", T.DoubleType()), T.StructField("share", T.DoubleType())])
+FOUND = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.StructField("cosine", T.DoubleType())]))
+OUT = T.StructType([T.StructField("own_license", T.StringType()), T.StructField("cosine", T.DoubleType()), T.StructField("share", T.DoubleType()), T.StructField("found", FOUND)])
 
 
 def licenses(files: DataFrame, *, keep: list[str], path: str = "path", text: str = "text") -> DataFrame:
     """One row for each file: ``keep``, own_license, cosine, license (own or inherited), origin
-    ('own', 'inherited' or null), license_dir (of the license file inherited from)."""
+    ('own', 'inherited' or null), license_dir (of the license file inherited from), and in ``found`` all
+    licenses of the text with their cosines, such as those of an expression in a tag."""
     names = [*OUT.fieldNames(), "license", "origin", "license_dir"]
     keep = [c for c in keep if c not in names and c != "__path"]
 
     def make():
         templates = Templates()
+        kind = pa.list_(pa.struct([("license", pa.string()), ("cosine", pa.float64())]))
 
         def fn(byte, off):
             raw = byte.tobytes()
             got = [own_license(raw[a:b].decode(), templates) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            return [pa.array([g[0] for g in got], pa.string()), pa.array(np.array([g[1] for g in got], float)), pa.array(np.array([g[2] for g in got], float))]
+            return [pa.array([g[0] for g in got], pa.string()), pa.array(np.array([g[1] for g in got], float)), pa.array(np.array([g[2] for g in got], float)), pa.array([[{"license": n, "cosine": c} for n, c in g[3]] for g in got], kind)]
 
         return fn
 
@@ -211,7 +246,7 @@ def licenses(files: DataFrame, *, keep: list[str], path: str = "path", text: str
     inherit = hot_join(seen.where(without).withColumn("__dir", folder), nearest, "__dir", "n", F.monotonically_increasing_id(), hot_limit(need, "n"), counted=need, how="left")
     out = inherit.drop("__dir").unionByName(seen.where(~without), allowMissingColumns=True)
     origin = F.when(F.col("own_license").isNotNull(), "own").when(F.col("__granted").isNotNull(), "inherited")
-    return out.select(*keep, "own_license", "cosine", F.coalesce("own_license", "__granted").alias("license"), origin.alias("origin"), "license_dir")
+    return out.select(*keep, "own_license", "cosine", F.coalesce("own_license", "__granted").alias("license"), origin.alias("origin"), "license_dir", "found")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
