@@ -11,8 +11,8 @@ broadcast at once. What several such rounds find in a document is merged in one
 
 Null and empty texts have no words and give a row with zeros. Rows are independent of each
 other: repeated rows give repeated results, and rows without an id keep theirs. Very long texts
-are searched whole. Items of equal windows all count; items without an id cannot be named and
-are left out, as are those without words. An empty benchmark gives no hits, an empty table no
+are searched whole. Items of equal windows all count; the windows of items without an id are hit
+like others, but those items cannot be named. Items without words have no windows. An empty benchmark gives no hits, an empty table no
 rows. Columns of ``keep`` that are named as results are replaced by them.
 """
 
@@ -141,7 +141,7 @@ class Machine:
 class Items:
     """Machines over some items, one for each length of windows."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         raw = [(text or "").encode() for _, text in items]
         self.ids = np.array([i for i, _ in items], object)
         words = Words(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
@@ -173,7 +173,8 @@ def scan(made: list[Items], byte: np.ndarray, off: np.ndarray) -> list:
             many = m.owner_at[pattern + 1] - m.owner_at[pattern]
             names = own.ids[m.owners[spread(m.owner_at[pattern], many)]]
             for d, x in zip(np.repeat(doc, many).tolist(), names.tolist(), strict=True):
-                items[d].add(x)
+                if x is not None:
+                    items[d].add(x)
     hit = np.cumsum(cover[:-1]) > 0
     summed = np.concatenate([[0], np.cumsum(hit)])
     n_hit = summed[words.off[1:]] - summed[words.off[:-1]]
@@ -215,13 +216,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str] | No
     """
     keep = [c for c in keep or ["doc_id"] if c not in OUT.fieldNames()]
     spark = docs.sparkSession
-    bench = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
+    bench = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text")).where("text is not null")
     size = bench.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks, rounds = max(1, -(-size // block_bytes)), max(1, -(-size // round_bytes))
-    at = F.pmod(F.xxhash64("item"), F.lit(blocks))
+    at = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
 
     def found(rows: DataFrame, own: list[int], columns: list[str]) -> DataFrame:
-        texts: dict[int, list[tuple[str, str]]] = {b: [] for b in own}
+        texts: dict[int, list[tuple[str | None, str]]] = {b: [] for b in own}
         for r in bench.withColumn("at", at).where(F.col("at").isin(own)).toLocalIterator():
             texts[r["at"]].append((r["item"], r["text"]))
         made = [spark.sparkContext.broadcast(Items(texts.pop(b), window)) for b in own]

@@ -19,7 +19,7 @@ least_id AS (SELECT a, least(a, min(b)) AS component FROM reached GROUP BY a)
 
 DECONTAMINATION = f"""
 WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
-b AS (SELECT item_id, w, least(10, len(w)) AS k FROM (SELECT item_id, {WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) > 0),
+b AS (SELECT item_id, w, least(10, len(w)) AS k FROM (SELECT item_id, {WORDS} AS w FROM benchmark) WHERE len(w) > 0),
 p AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM b)),
 x AS (
     SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS s
@@ -29,7 +29,7 @@ h AS (SELECT DISTINCT x.doc_id, x.i, x.k, p.item_id FROM x JOIN p ON x.s = p.s A
 c AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM h) GROUP BY doc_id),
 m AS (
     SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h WHERE item_id IS NOT NULL) GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
     sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from mercantile.llm import decontam, importance, language, lm_score, manifest, minhash, ranks
+from mercantile.llm import decontam, importance, language, licenses, lm_score, manifest, minhash, ranks, toxicity
 from mercantile.llm.queries import QUERIES
 
 from .test_operators import ODD, sha, words
@@ -211,3 +211,67 @@ def test_many_hits_over_rounds(spark):
     parts = {r["doc_id"]: r for r in decontam.contamination(docs, bench, block_bytes=40, round_bytes=40).collect()}
     assert time.time() - began < 30
     assert parts == whole and whole[2]["n_hit"] == 45_000 * 27 and whole[4]["hit_spans"] == [0, 32] and whole[1]["items"] == ["p", "q", "r"]
+
+
+def test_toxicity_behind_common_words(spark):
+    """Two words whose exclusive-or is the label, rarer than 1,100 words that tell nothing."""
+    rng = np.random.default_rng(12)
+    filler = np.array([f"w{i}" for i in range(1100)])
+    texts = []
+    for i in range(3000):
+        a, b = rng.random(2) < 0.35
+        texts.append((i, " ".join([*filler[rng.random(1100) < 0.45], *["foo"] * int(a), *["bar"] * int(b)]), int(a ^ b)))
+    df = spark.createDataFrame(texts, "doc_id long, text string, toxic int").repartition(8)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(df, df).collect()}
+    out = [i for i, _, _ in texts if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([got[i] == texts[i][2] for i in out]) > 0.95
+
+
+def test_joint_terms_in_slices(spark):
+    """Pairs counted in slices of any size, against a matrix of all documents."""
+    rng = np.random.default_rng(4)
+    x = rng.random((600, 30)) < 0.3
+    y = (x[:, 3] ^ x[:, 17]) | (rng.random(600) < 0.05)
+    n, bad, count, toxic = 600, int(y.sum()), x.sum(0), x[y].sum(0)
+    found = spark.createDataFrame([(int(b), [int(10 * t) for t in rng.permutation(np.flatnonzero(r))]) for r, b in zip(x, y, strict=True)], "__y int, terms array<int>").repartition(3)
+    counts = spark.createDataFrame([(10 * t, int(count[t]), int(toxic[t])) for t in range(30)], "b int, c long, k long")
+    want = set()
+    for i in range(30):
+        for j in range(i + 1, 30):
+            both = x[:, i] & x[:, j]
+            one = lambda v: np.array([v], float)
+            g = toxicity.joint_gain(n, bad, (one(count[i]), one(count[j])), (one(toxic[i]), one(toxic[j])), one(both.sum()), one((both & y).sum()))
+            if g[0] > 2 * math.log(450) + 10:
+                want |= {10 * i, 10 * j}
+    assert {30, 170} <= want
+    for cells in (1, 100, 1 << 20):
+        assert set(toxicity.joint_terms(found, counts, n, bad, 100, cells).tolist()) == want
+
+
+@pytest.mark.parametrize("size", [10, 1 << 24])
+def test_items_without_id(spark, size):
+    """Their windows are hit, in one round and in several, and the items are not named."""
+    docs = spark.createDataFrame([(1, "x a b c y"), (2, "d e"), (3, "q")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "a b c"), (None, "d e"), (7, "b c"), (8, None), (None, None)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["items"], r["contaminated"]) for r in decontam.contamination(docs, bench, block_bytes=size, round_bytes=size).collect()}
+    assert got == {1: (3, ["7"], True), 2: (2, [], True), 3: (0, [], False)}
+
+
+def test_license_expressions_and_denials(spark):
+    own = licenses.Templates()
+    cases = [
+        ("This is not released under the MIT License.", None, []),
+        ("This isn't a joke. Released under the MIT License.", "MIT", ["MIT"]),
+        ("No warranty\nReleased under the MIT License.", "MIT", ["MIT"]),
+        ("// SPDX-License-Identifier: (MIT OR Apache-2.0) AND ISC\nint x;", "MIT", ["Apache-2.0", "ISC", "MIT"]),
+        ("# SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0", "GPL-2.0", ["GPL-2.0"]),
+        ("SPDX-License-Identifier: LicenseRef-own", None, []),
+        ("It was never licensed under CC BY 4.0. It is licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0", ["CC-BY-SA-4.0"]),
+        ("Released under the MIT License. Parts are licensed under the Apache License, Version 2.0.", "MIT", ["Apache-2.0", "MIT"]),
+    ]
+    for text, name, found in cases:
+        got = licenses.own_license(text, own)
+        assert (got[0], [n for n, _ in got[3]]) == (name, found), text
+    frame = spark.createDataFrame([(i, t, f"d/{i}.c", "z") for i, (t, _, _) in enumerate(cases)] + [(90, None, None, "z")], "doc_id long, text string, path string, found string")
+    rows = {r["doc_id"]: r for r in licenses.licenses(frame, keep=["doc_id", "found"]).collect()}
+    assert [(rows[i]["own_license"], [x["license"] for x in rows[i]["found"]]) for i in range(len(cases))] == [(n, f) for _, n, f in cases] and rows[90]["found"] == []
