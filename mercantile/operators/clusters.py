@@ -66,9 +66,12 @@ def price_clusters(offers: DataFrame, *, id_col: str, keys: list[str], price: st
 def exact_clusters(rows: DataFrame, *, id_col: str, keys: list[str]) -> DataFrame:
     """(cluster_id, n_members): groups of two or more rows that are equal in ``keys``.
 
-    An aggregation with partial sums: a group of any size is a running minimum and a count.
+    An aggregation with partial sums: a group of any size is a running minimum and a count. Strings are
+    grouped by their SHA-256, so that long ones aren't shuffled.
     """
-    return rows.groupBy(*keys).agg(F.min(id_col).alias("cluster_id"), F.count("*").alias("n_members")).where("n_members > 1").select("cluster_id", "n_members")
+    kinds = dict(rows.dtypes)
+    short = [F.sha2(F.col(k), 256).alias(k) if kinds[k] == "string" else F.col(k) for k in keys]
+    return rows.select(id_col, *short).groupBy(*keys).agg(F.min(id_col).alias("cluster_id"), F.count("*").alias("n_members")).where("n_members > 1").select("cluster_id", "n_members")
 
 
 #: Keys by which a fingerprint is looked up, and the share of pairs that are compared.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..storage import broadcast_if_small, materialise
+from ..storage import SMALL_ROWS, broadcast_if_small, materialise
 
 #: Customs headings with the words that speak for them, as SQL rows (code, title, word, weight).
 CODE_ROWS = """
@@ -21,23 +21,37 @@ def codes(spark: SparkSession) -> DataFrame:
     return spark.sql(CODES_SQL)
 
 
+def sums_before(values: DataFrame, column: str, n: str) -> DataFrame:
+    """(column, before): the sum of ``n`` over all smaller values. ``values`` has a row a value and is on disk.
+
+    Up to ``SMALL_ROWS`` values are put in order by one task. Beyond, they are dealt by ranges, summed
+    within their range and moved by the sums of the ranges before: one row a range meets in one task.
+    """
+    if values.count() <= SMALL_ROWS:
+        upto = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+        return values.select(column, F.coalesce(F.sum(n).over(upto), F.lit(0)).alias("before"))
+    dealt = materialise(values.repartitionByRange(column).withColumn("__part", F.spark_partition_id()))
+    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    moved = dealt.groupBy("__part").agg(F.sum(n).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__moved"))
+    own = Window.partitionBy("__part").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+    within = dealt.withColumn("__own", F.coalesce(F.sum(n).over(own), F.lit(0)))
+    return within.join(F.broadcast(moved), "__part").select(column, (F.col("__own") + F.col("__moved")).alias("before"))
+
+
 def percent_ranks(rows: DataFrame, column: str, name: str) -> DataFrame:
     """``rows`` with the percent rank of ``column`` over the whole table; nulls get null.
 
-    A window without partitions would move the table into one task. Here rows are dealt by
-    ranges of the column, ranked within their range, and moved by the sizes of the ranges
-    before; equal values share a range. Only one row a range meets in one task.
+    A window without partitions would move the table into one task. Here the different values are
+    counted, with partial sums, so that a value of most rows is one row; those are put in order, and
+    rows take the rank of their value by a join.
     """
     known = rows.where(F.col(column).isNotNull())
-    dealt = materialise(known.repartitionByRange(column).withColumn("__part", F.spark_partition_id()))
-    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")
-    places = sizes.select("__part", before.alias("__before"), F.sum("__n").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__all"))
-    own = F.rank().over(Window.partitionBy("__part").orderBy(column))
-    rank = dealt.withColumn("__own", own).join(F.broadcast(places), "__part")
-    share = F.when(F.col("__all") > 1, (F.col("__before") + F.col("__own") - 1).cast("double") / (F.col("__all") - 1).cast("double")).otherwise(F.lit(0.0))
-    done = rank.withColumn(name, share).drop("__part", "__own", "__before", "__all")
-    return done.unionByName(rows.where(F.col(column).isNull()).withColumn(name, F.lit(None).cast("double")))
+    values = materialise(known.groupBy(column).agg(F.count("*").alias("__n")))
+    total = values.agg(F.sum("__n")).first()[0] or 0
+    ranked = sums_before(values, column, "__n").select(F.col(column).alias("__v"), "before")
+    share = F.col("before").cast("double") / F.lit(float(total - 1)) if total > 1 else F.lit(0.0)
+    done = rows.join(broadcast_if_small(materialise(ranked)), F.col(column) == F.col("__v"), "left")
+    return done.withColumn(name, F.when(F.col("__v").isNotNull(), share)).drop("__v", "before")
 
 
 def supplier_facts(suppliers: DataFrame, lines: DataFrame) -> DataFrame:

@@ -12,9 +12,10 @@ from pyspark.sql import types as T
 from ..functions import html
 from ..functions import pages as pg
 from ..operators import cost, search, similar
-from ..sources import adapters, fixtures, warc
+from ..sources import adapters, fixtures, warc, xlsx
 from ..storage import broadcast_if_small, shared_dir, table
 from ..streaming import watch, watchlist
+from . import queries as plans
 from .queries import query
 
 _ITEMS = "select p_partkey as item, p_name as name, p_brand as brand, p_type as kind, p_size as size, cast(round(p_retailprice * 100) as bigint) as cents from part"
@@ -61,6 +62,19 @@ def bulk_csv_search(spark, sf_dir):
     return amounts(found, "price").select(F.lower("query").alias("query"), "asked", "market", "url", "price")
 
 
+@query(f"""
+with o as (select *, cast(regexp_extract(seller, '([0-9]+)$', 1) as bigint) as seller_id from ({_OFFERS}))
+select market, url, seller, s_name, n_name, trust, verified from o left join ({plans.SQL['supplier_trust']}) t on seller_id = t.s_suppkey left join supplier s on seller_id = s.s_suppkey left join nation on s_nationkey = n_nationkey""")
+def offer_sellers(spark, sf_dir):
+    """Offers of all markets with what is known of their sellers: name, country and verification."""
+    found = adapters.search(pages(spark, sf_dir))
+    seller = F.regexp_extract("seller", "([0-9]+)$", 1).try_cast("bigint").alias("s_suppkey")
+    known = plans.supplier_trust(spark, sf_dir).select("s_suppkey", "trust", "verified")
+    named = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", "s_name", "n_name")
+    detail = known.join(named, "s_suppkey")
+    return found.select("market", "url", "seller", seller).join(broadcast_if_small(detail), "s_suppkey", "left").drop("s_suppkey")
+
+
 @query("select market, lang, currency, lang = 'tr' as turkish from (values {}) as t(market, lang, currency)".format(", ".join(f"('{a.market}', '{a.lang}', '{a.currency}')" for a in adapters.REGISTRY.values())))
 def market_registry(spark, sf_dir):
     return adapters.market_labels(spark).withColumn("turkish", F.col("lang") == "tr")
@@ -74,6 +88,15 @@ def csv_export(spark, sf_dir):
     return spark.read.csv(path, header=True, schema=own.schema, escape='"')
 
 
+@query(f"select market, url, lang, title, cast(price as double) as price, currency, seller from ({_OFFERS})")
+def xlsx_export(spark, sf_dir):
+    """The offers of all markets as they come back from their export to Excel."""
+    xlsx.use(spark)
+    path, own = shared_dir(spark), amounts(adapters.search(pages(spark, sf_dir)), "price")
+    own.write.format("xlsx").mode("append").save(path)
+    return spark.read.format("xlsx").schema(own.schema).load(path)
+
+
 #: Value of a unit of each currency in the currency of costs. Made-up rates.
 _FX = "('USD', 1.0), ('TRY', 0.03), ('CNY', 0.14)"
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pages as pg
-from ..operators import clusters, cost, scoring, search, spelling
+from ..operators import clusters, cost, scoring, search, skyline, spelling, trust
 from ..sources import catalogue as cat
 from ..storage import table
 from ..streaming import watch
@@ -132,6 +132,30 @@ def supplier_trust(spark, sf_dir):
     return scoring.verified(facts(spark, sf_dir), min_lines=550, max_returned=0.34)
 
 
+_DEALINGS = """select l_suppkey as supplier, o_custkey as customer, cast(sum(case when l_returnflag = 'R' then 0 else l_quantity end) as bigint) as kept, cast(sum(case when l_returnflag = 'R' then l_quantity else 0 end) as bigint) as returned
+from lineitem join orders on l_orderkey = o_orderkey where l_quantity > 0 group by 1, 2"""
+
+
+@query(trust.mutual_trust_sql(_DEALINGS))
+def mutual_trust(spark, sf_dir):
+    """Trust in suppliers and reliability of customers, each from the other, in three rounds."""
+    bought = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return trust.mutual_trust(trust.dealings(bought, supplier="l_suppkey", customer="o_custkey", quantity="l_quantity", returned="l_returnflag = 'R'"))
+
+
+_AIMS = f"select l_partkey as product, l_extendedprice / l_quantity as cost, trust, cast(l_quantity as int) as quantity, l_suppkey as supplier from lineitem join ({SQL['supplier_trust']}) on l_suppkey = s_suppkey"
+
+
+@query(f"""
+with o as ({_AIMS}), u as (select product, cost, trust, quantity, min(supplier) as supplier from o group by 1, 2, 3, 4)
+select * from u where not exists (select 1 from u b where b.product = u.product and b.cost <= u.cost and b.trust >= u.trust and b.quantity >= u.quantity and (b.cost < u.cost or b.trust > u.trust or b.quantity > u.quantity))""")
+def best_sources(spark, sf_dir):
+    """Offers of each part that no other one beats in price, trust and quantity."""
+    trusted = supplier_trust(spark, sf_dir).select("s_suppkey", "trust")
+    own = unit_prices(spark, sf_dir).join(trusted, F.col("l_suppkey") == F.col("s_suppkey"))
+    return skyline.skyline(own.withColumn("quantity", F.col("l_quantity").cast("int")), product="l_partkey", cost="price", trust="trust", quantity="quantity", supplier="l_suppkey")
+
+
 @query(f"""
 with w as (select p_partkey, unnest(list_distinct(string_split_regex(lower(p_name), '[^a-z]+'))) as word from part),
      s as (select p_partkey, code, sum(weight) as points from w join ({scoring.CODES_SQL}) c on w.word = c.word group by 1, 2),
