@@ -46,6 +46,8 @@ MAX_TERMS = 2048
 PAIR_DOCS = 20
 #: Pairs that one task counts.
 CELLS = 1 << 23
+#: Bytes of dealt terms that a task holds before it sends them.
+SENT = 1 << 21
 FACTORS = 4
 ROUNDS = 150
 #: Weight decay, for the pairs that tell by chance among those that are kept.
@@ -171,8 +173,12 @@ def joint_terms(found: DataFrame, counts: DataFrame, n: int, bad: int, most: int
     """Terms of pairs that tell more together than apart. ``found``: (__y, terms) of the sample; ``counts``:
     (b, c, k), documents and toxic ones with each term."""
     cells = cells or CELLS
-    common = counts.where((F.col("b") < 1 << BITS) & F.col("c").between(PAIR_DOCS, n - PAIR_DOCS)).select("b", "c", "k").toArrow().sort_by("b")
+    common = counts.where((F.col("b") < 1 << BITS) & F.col("c").between(PAIR_DOCS, n - PAIR_DOCS)).select("b", "c", "k").toArrow()
+    # frequent terms first: most of a document's terms are in the first few slices, and few are sent to the others
+    common = common.sort_by([("c", "descending"), ("b", "ascending")])
     term, count, toxic = (common.column(x).to_numpy().astype(np.int64) for x in ("b", "c", "k"))
+    by = np.argsort(term)
+    ordered = term[by]
     v = len(term)
     if v < 2 or not 0 < bad < n:
         return np.zeros(0, np.int64)
@@ -182,28 +188,40 @@ def joint_terms(found: DataFrame, counts: DataFrame, n: int, bad: int, most: int
     part = start // cells
     least = 2 * math.log(v * v / 2) + 10
 
-    def deal(batches):
+    def pieces(batches):
+        """(part, y, own, ranks): of each document and slice, the ranks of its terms from the slice's first
+        one on, and how many of them lie in the slice."""
         for batch in batches:
-            rows: dict[str, list] = {"part": [], "y": [], "own": [], "ranks": []}
             for y, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                t = np.sort(held.values.to_numpy().astype(np.int64)) if held.is_valid else np.zeros(0, np.int64)
-                at = np.minimum(np.searchsorted(term, t), v - 1)
-                rank = at[term[at] == t]
+                t = held.values.to_numpy().astype(np.int64) if held.is_valid else np.zeros(0, np.int64)
+                at = np.minimum(np.searchsorted(ordered, t), v - 1)
+                rank = np.sort(by[at[ordered[at] == t]])
                 first = np.flatnonzero(np.diff(part[rank], prepend=-1))
                 for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(rank)], strict=True):
                     if lo + 1 < len(rank):
-                        rows["part"].append(int(part[rank[lo]]))
-                        rows["y"].append(y)
-                        rows["own"].append(hi - lo)
-                        rows["ranks"].append(rank[lo:].astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rows["part"], pa.int32()), pa.array(rows["y"], pa.int32()), pa.array(rows["own"], pa.int32()), pa.array(rows["ranks"], pa.binary())], names=list(rows))
+                        yield int(part[rank[lo]]), y, hi - lo, rank[lo:].astype("<i4").tobytes()
+
+    def deal(batches):
+        held, size = [], 0
+        for piece in pieces(batches):
+            held.append(piece)
+            size += len(piece[3]) + 32
+            if size > SENT:
+                yield packed(held)
+                held, size = [], 0
+        if held:
+            yield packed(held)
+
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), kinds, strict=True)], names=["part", "y", "own", "ranks"])
 
     def test(key, table):
         lo, hi = np.searchsorted(part, (key[0].as_py(), key[0].as_py() + 1))
         base, size = start[lo], int(many[lo:hi].sum())
         n11, k11 = np.zeros(size, np.int32), np.zeros(size, np.int32)
-        for y, own, raw in zip(table.column("y").to_pylist(), table.column("own").to_pylist(), table.column("ranks").to_pylist(), strict=True):
-            rank = np.frombuffer(raw, "<i4").astype(np.int64)
+        for y, own, raw in (row for b in table.select(["y", "own", "ranks"]).to_batches() for row in zip(*b.columns, strict=True)):
+            y, own, rank = y.as_py(), own.as_py(), np.frombuffer(raw.as_buffer(), "<i4").astype(np.int64)
             later = len(rank) - 1 - np.arange(own)
             step = max(1, (1 << 20) // len(rank))
             for x in range(0, own, step):
