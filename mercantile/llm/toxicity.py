@@ -10,8 +10,8 @@ hash of doc_id, so that the fit is bounded whatever the corpus. Rows whose crc32
 text) mod 5 is 0 are never learnt from. Within the sample Spark counts the terms by label
 and keeps at most the ``max_terms`` most telling ones, and none whose log-likelihood ratio chance
 would bring up among so many terms. Terms that tell nothing by themselves but much together are
-found by counting every pair of terms that at least ``PAIR_DOCS`` documents of the sample hold: those
-stay whose joint table tells more than both do alone, beyond chance (at most ``max_terms``, the most
+found by counting every pair of terms that at least ``PAIR_DOCS`` documents of the sample, and one in
+``PAIR_SHARE``, hold: those stay whose joint table tells more than both do alone, beyond chance (at most ``max_terms``, the most
 telling). Pairs are dealt over tasks in slices of a fixed number of counters, so the terms may be as many
 as they are. The driver gets the numbers of terms with their counts and the sample's occurrences of
 those that stay. Every document is scored, from its whole text, in Spark tasks.
@@ -42,8 +42,8 @@ RATES = (256, 64, 16)
 LEVELS = 1 + len(RATES)
 MAX_TRAIN_ROWS = 20_000
 MAX_TERMS = 2048
-#: Documents of the sample that must hold a term, and lack it, for its pairs to be counted.
-PAIR_DOCS = 20
+#: Documents of the sample that must hold a term, and lack it, for its pairs to be counted: so many, and one in so many.
+PAIR_DOCS, PAIR_SHARE = 20, 200
 #: Pairs that one task counts.
 CELLS = 1 << 23
 #: Bytes of dealt terms that a task holds before it sends them.
@@ -160,6 +160,17 @@ def _ratio(k: np.ndarray, n: np.ndarray, rate: float) -> np.ndarray:
     return 2 * (parts[0] + parts[1])
 
 
+def packed(rank: np.ndarray) -> bytes:
+    """Ascending numbers by their steps, equal bytes of all together, compressed."""
+    steps = np.diff(rank, prepend=0).astype("<i4").view(np.uint8).reshape(-1, 4)
+    return pa.Codec("zstd", compression_level=1).compress(np.ascontiguousarray(steps.T).tobytes(), asbytes=True)
+
+
+def unpacked(raw, n: int) -> np.ndarray:
+    steps = np.frombuffer(pa.Codec("zstd", compression_level=1).decompress(raw, 4 * n, asbytes=True), np.uint8).reshape(4, n)
+    return np.cumsum(np.ascontiguousarray(steps.T).view("<i4").ravel().astype(np.int64))
+
+
 def joint_gain(n: int, bad: int, count: tuple[np.ndarray, np.ndarray], toxic: tuple[np.ndarray, np.ndarray], n11: np.ndarray, k11: np.ndarray) -> np.ndarray:
     """What pairs tell beyond both of their terms: of ``n`` documents, ``bad`` toxic, ``count`` and
     ``toxic`` with each term, n11 and k11 with both."""
@@ -173,7 +184,8 @@ def joint_terms(found: DataFrame, counts: DataFrame, n: int, bad: int, most: int
     """Terms of pairs that tell more together than apart. ``found``: (__y, terms) of the sample; ``counts``:
     (b, c, k), documents and toxic ones with each term."""
     cells = cells or CELLS
-    common = counts.where((F.col("b") < 1 << BITS) & F.col("c").between(PAIR_DOCS, n - PAIR_DOCS)).select("b", "c", "k").toArrow()
+    few = max(PAIR_DOCS, n // PAIR_SHARE)
+    common = counts.where((F.col("b") < 1 << BITS) & F.col("c").between(few, n - few)).select("b", "c", "k").toArrow()
     # frequent terms first: most of a document's terms are in the first few slices, and few are sent to the others
     common = common.sort_by([("c", "descending"), ("b", "ascending")])
     term, count, toxic = (common.column(x).to_numpy().astype(np.int64) for x in ("b", "c", "k"))
@@ -189,8 +201,8 @@ def joint_terms(found: DataFrame, counts: DataFrame, n: int, bad: int, most: int
     least = 2 * math.log(v * v / 2) + 10
 
     def pieces(batches):
-        """(part, y, own, ranks): of each document and slice, the ranks of its terms from the slice's first
-        one on, and how many of them lie in the slice."""
+        """(part, y, own, size, ranks): of each document and slice, the ranks of its terms from the slice's
+        first one on, and how many of them lie in the slice."""
         for batch in batches:
             for y, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 t = held.values.to_numpy().astype(np.int64) if held.is_valid else np.zeros(0, np.int64)
@@ -199,29 +211,29 @@ def joint_terms(found: DataFrame, counts: DataFrame, n: int, bad: int, most: int
                 first = np.flatnonzero(np.diff(part[rank], prepend=-1))
                 for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(rank)], strict=True):
                     if lo + 1 < len(rank):
-                        yield int(part[rank[lo]]), y, hi - lo, rank[lo:].astype("<i4").tobytes()
+                        yield int(part[rank[lo]]), y, hi - lo, len(rank) - lo, packed(rank[lo:])
 
     def deal(batches):
         held, size = [], 0
         for piece in pieces(batches):
             held.append(piece)
-            size += len(piece[3]) + 32
+            size += len(piece[4]) + 32
             if size > SENT:
-                yield packed(held)
+                yield batch_of(held)
                 held, size = [], 0
         if held:
-            yield packed(held)
+            yield batch_of(held)
 
-    def packed(held: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), kinds, strict=True)], names=["part", "y", "own", "ranks"])
+    def batch_of(held: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), kinds, strict=True)], names=["part", "y", "own", "size", "ranks"])
 
     def test(key, table):
         lo, hi = np.searchsorted(part, (key[0].as_py(), key[0].as_py() + 1))
         base, size = start[lo], int(many[lo:hi].sum())
         n11, k11 = np.zeros(size, np.int32), np.zeros(size, np.int32)
-        for y, own, raw in (row for b in table.select(["y", "own", "ranks"]).to_batches() for row in zip(*b.columns, strict=True)):
-            y, own, rank = y.as_py(), own.as_py(), np.frombuffer(raw.as_buffer(), "<i4").astype(np.int64)
+        for y, own, held, raw in (row for b in table.select(["y", "own", "size", "ranks"]).to_batches() for row in zip(*b.columns, strict=True)):
+            y, own, rank = y.as_py(), own.as_py(), unpacked(raw.as_buffer(), held.as_py())
             later = len(rank) - 1 - np.arange(own)
             step = max(1, (1 << 20) // len(rank))
             for x in range(0, own, step):
@@ -240,7 +252,7 @@ def joint_terms(found: DataFrame, counts: DataFrame, n: int, bad: int, most: int
                     gain[t] = max(gain.get(t, 0.0), float(g[j]))
         return pa.table({"term": pa.array([int(term[t]) for t in gain], pa.int64()), "gain": pa.array(list(gain.values()), pa.float64())})
 
-    dealt = found.select(F.col("__y").cast("int").alias("y"), "terms").mapInArrow(deal, "part int, y int, own int, ranks binary")
+    dealt = found.select(F.col("__y").cast("int").alias("y"), "terms").mapInArrow(deal, "part int, y int, own int, size int, ranks binary")
     told = dealt.groupBy("part").applyInArrow(test, "term long, gain double").groupBy("term").agg(F.max("gain").alias("gain"))
     return np.array(sorted(r["term"] for r in told.orderBy(F.desc("gain"), "term").limit(most).collect()), np.int64)
 
