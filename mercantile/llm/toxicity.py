@@ -43,7 +43,7 @@ LEVELS = 1 + len(RATES)
 MAX_TRAIN_ROWS = 20_000
 MAX_TERMS = 2048
 #: Documents of the sample that must hold a term, and lack it, for its pairs to be counted: so many, and one in so many.
-PAIR_DOCS, PAIR_SHARE = 20, 200
+PAIR_DOCS, PAIR_SHARE = 50, 200
 #: Pairs that one task counts.
 CELLS = 1 << 23
 #: Bytes of dealt terms that a task holds before it sends them.
