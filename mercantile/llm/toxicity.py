@@ -27,6 +27,7 @@ numbers. Columns of ``keep`` that are named as results are replaced by them.
 from __future__ import annotations
 
 import math
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -208,8 +209,9 @@ def joint_terms(found: DataFrame, counts: DataFrame, n: int, bad: int, most: int
                 t = held.values.to_numpy().astype(np.int64) if held.is_valid else np.zeros(0, np.int64)
                 at = np.minimum(np.searchsorted(ordered, t), v - 1)
                 rank = np.sort(by[at[ordered[at] == t]])
-                first = np.flatnonzero(np.diff(part[rank], prepend=-1))
-                for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(rank)], strict=True):
+                # where the terms of each slice begin, and the end of all; a document without common terms has the end only
+                edges = [*np.flatnonzero(np.diff(part[rank], prepend=-1)).tolist(), len(rank)]
+                for lo, hi in pairwise(edges):
                     if lo + 1 < len(rank):
                         yield int(part[rank[lo]]), y, hi - lo, len(rank) - lo, packed(rank[lo:])
 

@@ -248,6 +248,15 @@ def test_joint_terms_in_slices(spark):
         assert set(toxicity.joint_terms(found, counts, n, bad, 100, cells).tolist()) == want
 
 
+def test_joint_terms_of_documents_without_any(spark):
+    """Documents with no term, none that is common, or null terms are dealt to no slice."""
+    told = [((i & 1) ^ (i >> 1 & 1), [10] * (i & 1) + [20] * (i >> 1 & 1) + [30] * (i % 3 == 0)) for i in range(400)]
+    found = spark.createDataFrame([*told, *[(0, []), (1, None), (0, [5, 25])] * 5], "__y int, terms array<int>").repartition(3)
+    counts = spark.createDataFrame([(10, 200, 100), (20, 200, 100), (30, 134, 67)], "b int, c long, k long")
+    for cells in (1, 1 << 23):
+        assert toxicity.joint_terms(found, counts, 415, 205, 100, cells).tolist() == [10, 20]
+
+
 @pytest.mark.parametrize("size", [10, 1 << 24])
 def test_items_without_id(spark, size):
     """Their windows are hit, in one round and in several, and the items are not named."""
