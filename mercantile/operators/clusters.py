@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 from math import comb
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..storage import materialise
-from .skew import dealt_join
+from ..storage import broadcast_if_small, materialise
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -124,31 +128,106 @@ def flips(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in bits) for k in range(radius + 1) for bits in combinations(range(width), k)]
 
 
-def _met(left: DataFrame, right: DataFrame, on: list[str], distance: int, cut: Blocks) -> DataFrame:
+#: Fingerprints of either side that a task compares, about.
+LEFT_PRINTS, RIGHT_PRINTS = 1 << 15, 1 << 17
+#: Fingerprints that are looked up at once, and candidates of them that are held, unless one alone has more.
+AT_ONCE, MOST_HELD = 512, 1 << 22
+#: Bits of a block up to which its keys are looked up in a table.
+TABLE_BITS = 20
+
+
+def meetings(xa: np.ndarray, xb: np.ndarray, distance: int, cut: Blocks) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place in xa, place in xb, bits) of the pairs within the distance, once each; all of one place
+    in ``xa`` come together. Each block of ``xa`` looks up all near keys among those of ``xb``."""
+    U = np.uint64
+    if len(xb) <= cut.keys:
+        cut = Blocks(((0, 0, 0),))  # one key that all have: fewer comparisons than lookups
+
+    def key(x: np.ndarray, at: int, w: int) -> np.ndarray:
+        return x >> U(at) & U((1 << w) - 1)
+
+    index = []
+    for at, w, r in cut.cuts:
+        own = key(xb, at, w)
+        order = np.argsort(own, kind="stable")
+        edges = np.searchsorted(own[order], np.arange((1 << w) + 1, dtype=U)) if w <= TABLE_BITS else None
+        index.append((order, own[order], edges, np.array(flips(w, r), U)))
+
+    def some(lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        a, seen = xa[lo:hi], []
+        for (at, w, _), (_, known, edges, flip) in zip(cut.cuts, index, strict=True):
+            asked = (key(a, at, w)[:, None] ^ flip).ravel()
+            first, end = (edges[asked], edges[asked + U(1)]) if edges is not None else (np.searchsorted(known, asked, side) for side in ("left", "right"))
+            hit = np.flatnonzero(end > first)
+            seen.append((hit // len(flip), first[hit], (end - first)[hit]))
+        if hi - lo > 1 and sum(int(n.sum()) for _, _, n in seen) > MOST_HELD:
+            yield from some(lo, (lo + hi) // 2)
+            yield from some((lo + hi) // 2, hi)
+            return
+        found = []
+        for k, ((place, first, n), (order, *_)) in enumerate(zip(seen, index, strict=True)):
+            i = np.repeat(place, n)
+            j = order[np.repeat(first - np.cumsum(n) + n, n) + np.arange(len(i))]
+            far = np.bitwise_count(a[i] ^ xb[j])
+            near = far <= distance
+            i, j, far = i[near], j[near], far[near]
+            # a pair counts in the first block that agrees
+            met = np.zeros(len(i), bool)
+            for at, w, r in cut.cuts[:k]:
+                met |= np.bitwise_count(key(a[i] ^ xb[j], at, w)) <= r
+            found.append((i[~met] + lo, j[~met], far[~met].astype(np.int32)))
+        yield tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    for lo in range(0, len(xa), AT_ONCE):
+        yield from some(lo, min(lo + AT_ONCE, len(xa)))
+
+
+def nearest(i: np.ndarray, far: np.ndarray, rank: np.ndarray, most: int) -> np.ndarray:
+    """Places of the ``most`` nearest of each i, the least ``rank`` of equally near ones."""
+    order = np.lexsort((rank, far, i))
+    along = i[order]
+    starts = np.flatnonzero(np.diff(along, prepend=-1))
+    return order[np.arange(len(along)) - np.repeat(starts, np.diff(starts, append=len(along))) < most]
+
+
+def _met(left: DataFrame, right: DataFrame, on: list[str], distance: int, cut: Blocks, *, most: int | None = None, order: str | None = None) -> DataFrame:
     """Rows of both sides, with columns x_a and x_b, whose fingerprints are within the distance, once
-    each, and their ``distance``. ``left`` looks up all near keys of each block, ``right`` its own."""
-
-    def block(c: str, lo: int, w: int) -> Column:
-        return F.shiftrightunsigned(F.col(c), lo).bitwiseAND((1 << w) - 1)
-
-    def looked_up(c: str, i: int, near: bool) -> Column:
-        lo, w, r = cut.cuts[i]
-        own = block(c, lo, w)
-        seen = F.transform(F.lit(flips(w, r)).cast("array<bigint>"), lambda f: own.bitwiseXOR(f)) if near else F.array(own)
-        return F.transform(seen, lambda k: F.struct(F.lit(i).alias("at"), k.alias("key")))
-
-    def every(c: str, near: bool) -> Column:
-        return F.explode(F.flatten(F.array(*[looked_up(c, i, near) for i in range(len(cut.cuts))])))
-
-    a = left.select("*", every("x_a", True).alias("k")).select("*", "k.at", "k.key").drop("k")
-    b = right.select("*", every("x_b", False).alias("k")).select("*", "k.at", "k.key").drop("k")
-    far = F.bit_count(F.col("x_a").bitwiseXOR(F.col("x_b")))
-    # a pair counts in the first block that agrees
-    first = F.lit(len(cut.cuts))
-    for i, (lo, w, r) in reversed(list(enumerate(cut.cuts))):
-        first = F.when(F.bit_count(block("x_a", lo, w).bitwiseXOR(block("x_b", lo, w))) <= r, F.lit(i)).otherwise(first)
-    met = dealt_join(a, b, [*on, "at", "key"], by=F.col("x_b"))
-    return met.where((F.col("at") == first) & (far <= distance)).withColumn("distance", far.cast("int")).drop("at", "key")
+    each, and their ``distance``. Both sides are dealt by their fingerprints into slices of bounded
+    size, and each pair of slices meets in a task (``meetings``). With ``most``, of each pair of slices only
+    that many nearest of each row of ``left``, the least ``order`` of the right first. ``left`` holds a
+    fingerprint once."""
+    own = [c for c in left.columns if c not in on]
+    other = [c for c in right.columns if c not in on]
+
+    def sliced(side: DataFrame, name: str, size: int) -> DataFrame:
+        return side.groupBy(*on).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+
+    parts = broadcast_if_small(sliced(left, "__na", LEFT_PRINTS).join(sliced(right, "__nb", RIGHT_PRINTS), on))
+
+    def dealt(side: DataFrame, x: str, mine: str, theirs: str) -> DataFrame:
+        part = F.pmod(F.xxhash64(x), F.col(f"__n{mine}")).cast("int").alias(f"__{mine}")
+        every = F.explode(F.sequence(F.lit(0), F.col(f"__n{theirs}") - 1)).alias(f"__{theirs}")
+        return side.join(parts, on).select(*side.columns, part, every)
+
+    both = dealt(left, "x_a", "a", "b").unionByName(dealt(right, "x_b", "b", "a"), allowMissingColumns=True)
+    schema = T.StructType([*(left.schema[c] for c in (*on, *own)), *(right.schema[c] for c in other), T.StructField("distance", T.IntegerType())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        a, b = (table.filter(pc.is_valid(table.column(x))) for x in ("x_a", "x_b"))
+        if not len(a) or not len(b):
+            return
+        bits = [t.column(x).to_numpy().astype(np.int64).view(np.uint64) for t, x in ((a, "x_a"), (b, "x_b"))]
+        rank = None if most is None else pc.rank(b.column(order).combine_chunks(), tiebreaker="dense").to_numpy()
+        a, b = a.select([*on, *own]), b.select(other)
+        for i, j, far in meetings(*bits, distance, cut):
+            if most is not None:
+                few = nearest(i, far, rank[j], most)
+                i, j, far = i[few], j[few], far[few]
+            met = pa.Table.from_arrays([*a.take(i).columns, *b.take(j).columns, pa.chunked_array([pa.array(far)])], names=schema.fieldNames())
+            yield from met.combine_chunks().to_batches()
+
+    return both.groupBy(*on, "__a", "__b").applyInArrow(compare, schema)
 
 
 def one_each(rows: DataFrame, id_col: str, bits: str, by: str | None) -> DataFrame:
@@ -161,8 +240,8 @@ def hamming_pairs(rows: DataFrame, *, id_col: str, bits: str, by: str | None, di
     """(a, b, n_a, n_b, distance): pairs of different fingerprints at most ``distance`` bits apart.
 
     Equal fingerprints of a ``by`` group count as one, named by their smallest id, with the
-    number of rows. The rest is an equi-join on blocks of bits (``blocks``): one side looks up all
-    keys near its own, so candidates are few, and keys that many fingerprints have are dealt.
+    number of rows. The rest meet by blocks of bits (``blocks``): one side looks up all keys near
+    its own, so candidates are few.
     """
     one = one_each(rows, id_col, bits, by)
     cut = cut or blocks(width, distance, one.count())
@@ -183,7 +262,8 @@ def nearest_hashes(queries: DataFrame, index: DataFrame, *, id_col: str, bits: s
     two = own.groupBy("by", "x_b").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     two = materialise(two)
     prints = asked.select("by", "x_a").distinct()
-    met = materialise(_met(materialise(prints), two, ["by"], distance, blocks(width, distance, two.count())))
+    # one more than asked: the query itself may be among them
+    met = _met(materialise(prints), two, ["by"], distance, blocks(width, distance, two.count()), most=k + 1, order="lo")
     few = met.groupBy("by", "x_a").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", F.col("lo").alias("id"), "hi"))), 1, k + 1).alias("found"))
     every = asked.join(few, ["by", "x_a"]).select("query", F.explode("found").alias("f")).select("query", "f.distance", F.when(F.col("f.id") != F.col("query"), F.col("f.id")).when(F.col("f.hi") != F.col("query"), F.col("f.hi")).alias("id"))
     ranked = every.where("id is not null").withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("distance", "id")))

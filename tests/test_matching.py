@@ -173,3 +173,29 @@ def test_ladder_drops_common_words(spark):
     asked = spark.createDataFrame([(1, "red geer"), (2, "blue anvil"), (3, "sprokcet red"), (4, "zzzz"), (5, "")], "query_id int, text string")
     got = {r["query_id"]: (r["rung"], r["words"], r["n_hits"], r["best_id"]) for r in spelling.spelled_hits(asked, spark.createDataFrame(names, "id int, name string"), id_col="id", name="name").collect()}
     assert got == {1: (1, "gear red", 2, 0), 2: (2, "anvil", 1, 4), 3: (2, "sprocket", 1, 9)}
+
+
+@pytest.mark.parametrize("held", [1, 1 << 22])
+def test_meetings(monkeypatch, held):
+    """Each pair within the distance once, as brute force finds them, however little is held at once;
+    no fingerprint is copied for each of its near keys."""
+    monkeypatch.setattr(clusters, "AT_ONCE", 64)
+    monkeypatch.setattr(clusters, "MOST_HELD", held)
+    rng = np.random.default_rng(5)
+    xa, xb = (rng.integers(0, 1 << 32, n, dtype=np.uint64) for n in (200, 1500))
+    xb[:300] = xa[rng.integers(0, 200, 300)] ^ (np.uint64(1) << rng.integers(0, 32, 300, dtype=np.uint64))
+    want = {(i, j): n for i, j, n in ((i, j, int(n)) for i, row in enumerate(np.bitwise_count(xa[:, None] ^ xb)) for j, n in enumerate(row)) if n <= 6}
+    for cut in (clusters.blocks(32, 6, 1500), clusters.Blocks(((0, 22, 3), (22, 10, 2)))):
+        pairs = [p for i, j, far in clusters.meetings(xa, xb, 6, cut) for p in zip(i.tolist(), j.tolist(), far.tolist(), strict=True)]
+        assert len(pairs) == len(want) > 300 and {(i, j): n for i, j, n in pairs} == want
+
+
+def test_hashes_in_slices(spark, monkeypatch):
+    """The nearest over many slices are those of one."""
+    rng = np.random.default_rng(6)
+    frame = spark.createDataFrame([(i, int(x)) for i, x in enumerate(rng.integers(0, 1 << 12, 400))], "i long, x long")
+    found = lambda: sorted(map(tuple, clusters.nearest_hashes(frame, frame, id_col="i", bits="x", distance=2, k=3, width=12).collect()))
+    whole = found()
+    monkeypatch.setattr(clusters, "LEFT_PRINTS", 50)
+    monkeypatch.setattr(clusters, "RIGHT_PRINTS", 90)
+    assert whole and found() == whole
