@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,26 +57,35 @@ def followed(events: DataFrame, first: Column, then: Column, *, by: str, id_col:
 
 
 VISIT = ["started", "ended", "n", "least", "most"]
+#: Groups that the keys of visits are dealt to.
+PARTS = 1024
+
+
+def runs(visits: pd.DataFrame, idle_ms: int) -> pd.DataFrame:
+    """Visits (key, ``VISIT``) in order, those of a key that are less than ``idle_ms`` apart as one."""
+    if not len(visits):
+        return visits
+    own = visits.sort_values(["key", "started"], kind="stable")
+    key, started = own["key"].to_numpy(), own["started"].to_numpy()
+    until = own.groupby("key")["ended"].cummax().to_numpy()
+    fresh = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (started[1:] - until[:-1] >= idle_ms)]))
+    # of NaN, which counts as the largest value, as in SQL
+    how = {"ended": np.maximum, "n": np.add, "least": np.fmin, "most": np.maximum}
+    return pd.DataFrame({"key": key[fresh], "started": started[fresh], **{c: f.reduceat(own[c].to_numpy(), fresh) for c, f in how.items()}})
 
 
 def merged(visits: list[tuple], idle_ms: int) -> list[tuple]:
-    """Visits (``VISIT``) in order, those less than ``idle_ms`` apart as one."""
-    out: list[tuple] = []
-    for v in sorted(visits):
-        if out and v[0] - out[-1][1] < idle_ms:
-            o = out[-1]
-            out[-1] = (o[0], max(o[1], v[1]), o[2] + v[2], min(o[3], v[3]), max(o[4], v[4]))
-        else:
-            out.append(v)
-    return out
+    """``runs`` of the visits (``VISIT``) of one key."""
+    return list(runs(pd.DataFrame(visits, columns=VISIT).assign(key=0), idle_ms)[VISIT].itertuples(index=False, name=None))
 
 
 class Watch(StatefulProcessor):
-    """Visits of a watched key, given out once nothing more can belong to them.
+    """Visits of watched keys, given out once nothing more can belong to them.
 
-    The state of a key are its open visits, in whatever order their events come: five numbers
-    and a timer each. The watermark fires the timer when the visit has been idle for long enough, and
-    the visit leaves the state.
+    Keys are dealt to parts, as a call, its state and its timer cost far more than a row. The state of
+    a part are the open visits of its keys, in whatever order their events come: the key and five numbers
+    each. A part has one timer, for the visit that may end first. The watermark fires it, and the visits
+    that have been idle for long enough leave the state.
     """
 
     def __init__(self, idle_ms: int):
@@ -83,30 +93,38 @@ class Watch(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.visits = handle.getListState("visits", "started long, ended long, n long, least double, most double")
+        self.visits = handle.getListState("visits", "key long, started long, ended long, n long, least double, most double")
+
+    def held(self) -> pd.DataFrame:
+        return pd.DataFrame([tuple(v) for v in self.visits.get()] if self.visits.exists() else [], columns=["key", *VISIT])
+
+    def keep(self, open_visits: pd.DataFrame) -> None:
+        if len(open_visits):
+            self.visits.put(list(zip(*(open_visits[c].tolist() for c in ("key", *VISIT)), strict=True)))
+        else:
+            self.visits.clear()
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [tuple(v) for v in self.visits.get()] if self.visits.exists() else []
-        now = held
+        held = self.held()
+        before, now = held["ended"].min(), [held] if len(held) else []
         for got in rows:
-            now = merged([*now, *((t, t, 1, v, v) for t, v in zip(got["at_ms"].tolist(), got["value"].tolist(), strict=True))], self.idle_ms)
-        self.visits.put(now)
-        before, after = {v[1] for v in held}, {v[1] for v in now}
-        for t in before - after:
-            self.handle.deleteTimer(t + self.idle_ms)
-        for t in after - before:
-            self.handle.registerTimer(t + self.idle_ms)
+            now = [runs(pd.concat([*now, pd.DataFrame({"key": got["key"], "started": got["at_ms"], "ended": got["at_ms"], "n": 1, "least": got["value"], "most": got["value"]})]), self.idle_ms)]
+        self.keep(now[0])
+        after = now[0]["ended"].min()
+        if not len(held) or after != before:
+            if len(held):
+                self.handle.deleteTimer(int(before) + self.idle_ms)
+            self.handle.registerTimer(int(after) + self.idle_ms)
         yield pd.DataFrame(columns=["key", *VISIT])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs() - self.idle_ms
-        held = [tuple(v) for v in self.visits.get()]
-        rest = [v for v in held if v[1] != due]
-        if rest:
-            self.visits.put(rest)
-        else:
-            self.visits.clear()
-        yield pd.DataFrame([dict(zip(["key", *VISIT], (key[0], *v), strict=True)) for v in held if v[1] == due], columns=["key", *VISIT])
+        held = self.held()
+        due = held["ended"] + self.idle_ms <= timerValues.getCurrentWatermarkInMs()
+        rest = held[~due]
+        self.keep(rest)
+        if len(rest):
+            self.handle.registerTimer(int(rest["ended"].min()) + self.idle_ms)
+        yield held[due]
 
     def close(self) -> None:
         pass
@@ -117,4 +135,5 @@ def visits(events: DataFrame, *, by: str, at: str, value: str, idle_ms: int, lat
     by event time. Late events are dropped, and those without key, time or value."""
     own = events.withWatermark(at, late).where(F.col(value).isNotNull() & F.col(by).isNotNull() & F.col(at).isNotNull())
     own = own.select(F.col(by).alias("key"), F.col(at).alias("at"), F.unix_millis(at).alias("at_ms"), F.col(value).cast("double").alias("value"))
-    return own.groupBy("key").transformWithStateInPandas(Watch(idle_ms), "key long, started long, ended long, n long, least double, most double", "append", "eventTime")
+    own = own.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)))
+    return own.groupBy("part").transformWithStateInPandas(Watch(idle_ms), "key long, started long, ended long, n long, least double, most double", "append", "eventTime")

@@ -50,3 +50,17 @@ def test_followed(spark):
     got = watchlist.deliver(events(spark, rows), F.col("number"), 5, lambda s: watchlist.followed(s, F.col("value") == 1, F.col("value") == 2, by="user_id", id_col="event_id", at="ts", within="60 minutes", late="90 minutes"))
     # 8 is late: the watermark is at minute 469
     assert sorted(map(tuple, got.collect())) == [(1, 2), (5, 6)]
+
+
+def test_visits_of_a_shared_part(spark, monkeypatch):
+    """Keys of one group are apart, have one timer for all their visits, and close in their order."""
+    monkeypatch.setattr(watchlist, "PARTS", 1)
+    rows = [*((0, i, i, i % 7, float(i)) for i in range(50)), *((0, 100 + i, i, 30, 1.0) for i in range(50)), (1, 200, 7, 1000, 0.0), (2, 201, 7, 2000, 0.0)]
+    seen = []
+    run = lambda s: watchlist.visits(s, by="user_id", at="ts", value="value", idle_ms=600_000, late="60 minutes")
+    got = watchlist.deliver(events(spark, rows), F.col("number"), 3, run, seen.append)
+    minute = lambda ms: (ms - 1_700_000_000_000) // 60_000
+    found = sorted((r["key"], minute(r["started"]), r["n"], r["least"]) for r in got.collect())
+    assert found == sorted([*((i, i % 7, 1, float(i)) for i in range(50)), *((i, 30, 1, 1.0) for i in range(50)), (7, 1000, 1, 0.0)])
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in seen if p["stateOperators"]]
+    assert max(held) < 20  # not one for each key
