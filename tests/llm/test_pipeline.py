@@ -94,3 +94,11 @@ def test_stages_on_odd_and_empty_rows(spark, sf_dir):
         assert docs.columns == none.columns == corpus_pipeline.COLUMNS and none.isEmpty()
     assert corpus_pipeline.pack(spark, docs, sf_dir).where("start = 0").count() == docs.count() == 6
     assert corpus_pipeline.pack(spark, none, sf_dir).isEmpty()
+
+
+def test_toxicity_stage_of_documents_without_common_terms(spark, sf_dir):
+    """Some documents of sf0.01 hold no term that is common enough to be paired."""
+    big = sf_dir.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{big}/documents.parquet")
+    kept = corpus_pipeline.drop_toxic(spark, docs, big)
+    assert 0 < kept.count() < docs.count() and kept.columns == corpus_pipeline.COLUMNS
