@@ -49,3 +49,23 @@ def test_commits(spark, tmp_path):
 def test_column_names():
     assert [xlsx.column_name(i) for i in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"]
     assert all(xlsx.column_number(f"{xlsx.column_name(i)}7") == i for i in range(2000))
+
+
+def test_rows_are_streamed(tmp_path):
+    """A sheet is read without a tree of its rows, whose memory would grow with them."""
+    import tracemalloc
+
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("i", T.LongType()), T.StructField("t", T.StringType())])
+    writer = xlsx.XlsxWriter(f"file://{tmp_path}", schema, False, xlsx.SHEET_ROWS)
+    writer.commit([writer.write((i, f"_x0041_ {i}") for i in range(20_000))])
+    reader = xlsx.XlsxReader(f"file://{tmp_path}", schema)
+    book = reader.partitions()[0]
+    tracemalloc.start()
+    try:
+        assert all(row == (i, f"_x0041_ {i}") for i, row in enumerate(reader.read(book)))
+        assert sum(1 for _ in reader.read(book)) == 20_000
+        assert tracemalloc.get_traced_memory()[1] < 1 << 20
+    finally:
+        tracemalloc.stop()
