@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import pages as pg
 from ..operators import clusters, cost, scoring, search, skyline, spelling, trust
 from ..sources import catalogue as cat
-from ..storage import table
+from ..storage import broadcast_if_small, materialise, table
 from ..streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,8 +151,8 @@ with o as ({_AIMS}), u as (select product, cost, trust, quantity, min(supplier)
 select * from u where not exists (select 1 from u b where b.product = u.product and b.cost <= u.cost and b.trust >= u.trust and b.quantity >= u.quantity and (b.cost < u.cost or b.trust > u.trust or b.quantity > u.quantity))""")
 def best_sources(spark, sf_dir):
     """Offers of each part that no other one beats in price, trust and quantity."""
-    trusted = supplier_trust(spark, sf_dir).select("s_suppkey", "trust")
-    own = unit_prices(spark, sf_dir).join(trusted, F.col("l_suppkey") == F.col("s_suppkey"))
+    trusted = materialise(supplier_trust(spark, sf_dir).select("s_suppkey", "trust"))
+    own = unit_prices(spark, sf_dir).join(broadcast_if_small(trusted), F.col("l_suppkey") == F.col("s_suppkey"))
     return skyline.skyline(own.withColumn("quantity", F.col("l_quantity").cast("int")), product="l_partkey", cost="price", trust="trust", quantity="quantity", supplier="l_suppkey")
 
 

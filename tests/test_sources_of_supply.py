@@ -60,6 +60,19 @@ def test_skyline(spark):
     assert skyline.skyline(spark.createDataFrame([], "p int, c double, t int, q int, s int"), product="p", cost="c", trust="t", quantity="q", supplier="s").count() == 0
 
 
+def test_skyline_tasks_follow_the_offers(spark, monkeypatch):
+    """No offer is copied for each level of trust, and tasks grow with the offers."""
+    rows = [(i % 5, float(i * 7 % 31), i % 4, i % 9, i) for i in range(400)]
+    frame = spark.createDataFrame(rows, "p int, c double, t int, q int, s int")
+    names = {"product": "p", "cost": "c", "trust": "t", "quantity": "q", "supplier": "s"}
+    whole = sorted(map(tuple, skyline.skyline(frame, **names).collect()))
+    monkeypatch.setattr(skyline, "TASK_ROWS", 20)
+    dealt = skyline.skyline(frame, **names)
+    assert "Generate" not in dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert dealt.rdd.getNumPartitions() == 20
+    assert sorted(map(tuple, dealt.collect())) == whole and len(whole) > 5
+
+
 @pytest.mark.parametrize("small", [100_000, 3])
 def test_percent_ranks_of_many_values(spark, monkeypatch, small):
     """In one task and over ranges, the same."""
