@@ -78,13 +78,16 @@ def ladder_hits(rungs: DataFrame, offers: DataFrame) -> DataFrame:
     """``offers`` with the query_id and rung that found them: for each query its first rung with hits.
 
     ``rungs`` (query_id, lang, rung, text) hits an offer of its language whose title holds all of its
-    words. Words of titles are joined with words of rungs and counted. ``rungs`` may be of any size.
+    words. A rung is joined by its last word, and the others are looked for in the titles that hold that one, so
+    nothing is counted and no offer is shuffled for a small table of rungs. ``rungs`` may be of any size.
     """
-    asked = rungs.select("query_id", "lang", "rung", F.array_distinct(F.split("text", " ")).alias("words"))
-    asked = asked.select("query_id", "lang", "rung", F.size("words").alias("n"), F.explode("words").alias("word"))
+    asked = rungs.select("query_id", "lang", "rung", F.array_distinct(F.split("text", " ")).alias("words")).distinct()
+    asked = asked.select("query_id", "lang", "rung", "words", F.element_at("words", -1).alias("word"))
     names = offers.columns
-    seen = offers.where("title is not null").select(F.struct(*names).alias("offer"), "lang", F.explode(F.array_distinct(F.split(lowered(F.col("title"), F.col("lang")), r"\s+"))).alias("word"))
-    hits = seen.join(broadcast_if_small(asked), ["lang", "word"]).groupBy("query_id", "rung", "n", "offer").agg(F.count("*").alias("k")).where("k = n")
+    title = F.array_distinct(F.split(lowered(F.col("title"), F.col("lang")), r"\s+"))
+    seen = offers.where("title is not null").select(F.struct(*names).alias("offer"), "lang", title.alias("held"))
+    seen = seen.select("offer", "lang", "held", F.explode("held").alias("word"))
+    hits = seen.join(broadcast_if_small(asked), ["lang", "word"]).where(F.size(F.array_except("words", "held")) == 0)
     hits = materialise(hits.select("query_id", "rung", "offer.*"))
     first = hits.groupBy("query_id").agg(F.min("rung").alias("rung"))
     return hits.join(broadcast_if_small(first), ["query_id", "rung"], "left_semi")

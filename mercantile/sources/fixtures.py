@@ -27,6 +27,8 @@ LISTED = (
 UNPRICED = "size = 7"
 #: Columns of items.
 ITEM = ["item", "name", "brand", "kind", "size", "cents"]
+#: Items of a task, about: a file of a few bytes an item becomes pages of hundreds.
+TASK_ITEMS = 25_000
 
 
 def turkish_upper(word: str) -> str:
@@ -49,7 +51,9 @@ def _amount(cents, comma: bool):
 
 def market_pages(items: DataFrame) -> DataFrame:
     """(market, url, html) of items (``ITEM``): a row for each market that lists it. One pass: markets
-    are an array that is exploded."""
+    are an array that is exploded. Items are dealt over tasks by their number, as their files are small."""
+    tasks = -(-items.count() // TASK_ITEMS)
+    items = items.repartition(tasks, "item") if tasks > 1 else items
     rows = []
     for m, rule, more, title in LISTED:
         words = f"array_join(transform(split(name, ' '), w -> {word_cases(REGISTRY[m].lang, 'w')}), ' ')"

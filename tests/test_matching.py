@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from mercantile.functions import images
 from mercantile.operators import clusters, search, similar, skew, spelling
+from mercantile.sources import fixtures
 
 
 def brute_sets(rows, least=0.7):
@@ -199,3 +200,18 @@ def test_hashes_in_slices(spark, monkeypatch):
     monkeypatch.setattr(clusters, "LEFT_PRINTS", 50)
     monkeypatch.setattr(clusters, "RIGHT_PRINTS", 90)
     assert whole and found() == whole
+
+
+def test_ladder_hits_of_offers_listed_twice(spark):
+    """Words are not counted: an offer that is listed twice is found twice, and a rung named twice finds it no more often."""
+    offers = spark.createDataFrame([("u1", "en", "small red ring"), ("u1", "en", "small red ring"), ("u2", "en", "ring ring blue")], "url string, lang string, title string")
+    rungs = spark.createDataFrame([(1, "en", 1, "red ring ring"), (1, "en", 1, "red ring ring"), (1, "en", 2, "ring"), (2, "en", 1, "red bolt"), (2, "en", 2, "ring")], "query_id int, lang string, rung int, text string")
+    assert sorted((r["query_id"], r["rung"], r["url"]) for r in search.ladder_hits(rungs, offers).collect()) == [(1, 1, "u1"), (1, 1, "u1"), (2, 2, "u1"), (2, 2, "u1"), (2, 2, "u2")]
+
+
+def test_pages_are_made_by_as_many_tasks_as_items_ask_for(spark, monkeypatch):
+    items = spark.range(40).selectExpr("id as item", "'red ring' as name", "'Brand#1' as brand", "'SMALL' as kind", "cast(id as int) as size", "id * 100 as cents").coalesce(1)
+    whole = sorted(map(tuple, fixtures.market_pages(items).collect()))
+    monkeypatch.setattr(fixtures, "TASK_ITEMS", 5)
+    dealt = fixtures.market_pages(items)
+    assert dealt.rdd.getNumPartitions() == 8 and sorted(map(tuple, dealt.collect())) == whole
