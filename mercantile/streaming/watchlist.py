@@ -20,14 +20,22 @@ from ..storage import shared_dir
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+SHUFFLES = "spark.sql.shuffle.partitions"
+#: Partitions of a stateful step for each core, at most.
+STATE_WAVES = 2
+
 
 def deliver(events: DataFrame, number: Column, count: int, run: Callable[[DataFrame], DataFrame], watch: Callable[[dict], None] | None = None) -> DataFrame:
     """The rows that ``run(stream)`` appends if ``events`` come as a stream of ``count`` deliveries:
-    those with ``number`` 0, then those with 1, and so on. ``watch`` gets the progress of each batch."""
+    those with ``number`` 0, then those with 1, and so on. ``watch`` gets the progress of each batch.
+
+    Each partition of a stateful step opens, commits and uploads its stores in every batch, however few its rows (a join
+    of streams has four), so there are ``STATE_WAVES`` for each core at most. RocksDB keeps what they hold on disk."""
     spark = events.sparkSession
     top = shared_dir(spark)
-    kept = spark.conf.get(STORE)
+    kept, parts = spark.conf.get(STORE), spark.conf.get(SHUFFLES)
     spark.conf.set(STORE, ROCKS)
+    spark.conf.set(SHUFFLES, str(min(int(parts), STATE_WAVES * spark.sparkContext.defaultParallelism)))
     try:
         for k in range(count):
             events.where(number == k).write.mode("append").parquet(f"{top}/in")
@@ -38,6 +46,7 @@ def deliver(events: DataFrame, number: Column, count: int, run: Callable[[DataFr
                 watch(p)
     finally:
         spark.conf.set(STORE, kept)
+        spark.conf.set(SHUFFLES, parts)
     return spark.read.schema(stream.schema).parquet(f"{top}/out")
 
 

@@ -64,3 +64,16 @@ def test_visits_of_a_shared_part(spark, monkeypatch):
     assert found == sorted([*((i, i % 7, 1, float(i)) for i in range(50)), *((i, 30, 1, 1.0) for i in range(50)), (7, 1000, 1, 0.0)])
     held = [p["stateOperators"][0]["numRowsTotal"] for p in seen if p["stateOperators"]]
     assert max(held) < 20  # not one for each key
+
+
+def test_stores_are_bounded_by_cores(spark):
+    """Each partition of a stateful step opens its stores in every batch, so there are a few for each core; the setting is put back."""
+    rows = [(n, 10 * n + i, i % 3, 100 * n + i, 1.0 + i % 2) for n in range(2) for i in range(6)]
+    kept, seen = spark.conf.get(watchlist.SHUFFLES), []
+    spark.conf.set(watchlist.SHUFFLES, "40")
+    try:
+        watchlist.deliver(events(spark, rows), F.col("number"), 2, lambda s: watchlist.once(s, id_col="event_id", at="ts", late="60 minutes").select("event_id"), seen.append)
+        assert spark.conf.get(watchlist.SHUFFLES) == "40"
+    finally:
+        spark.conf.set(watchlist.SHUFFLES, kept)
+    assert {o["numShufflePartitions"] for p in seen for o in p["stateOperators"]} == {watchlist.STATE_WAVES * spark.sparkContext.defaultParallelism}
