@@ -24,14 +24,21 @@ import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 SCHEMA = "page_id long, url string, host string, html string"
 SPLIT_BYTES = 64 << 20
+#: Bytes of neighbouring records that are fetched at once.
+GATHERED_BYTES = 2 << 20
 #: Records as near as this in a file are read at once.
 GAP_BYTES = 64 << 10
+#: Records that a writer holds as Python values for the index.
+INDEX_ROWS = 1 << 14
+#: Characters of pages that a reader holds before it hands them on.
+BATCH_CHARS = 4 << 20
 HOST = re.compile(r"^https?://([^/?#]+)")
+PAGES = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("html", pa.string())])
 INDEX = pa.schema([("host", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
 
@@ -100,6 +107,29 @@ def pieces(files: list[File], size: int) -> list[Piece]:
     return [Piece(f.name, lo, min(lo + size, f.bytes)) for f in files for lo in range(0, f.bytes, size)]
 
 
+def batches(rows: Iterable[tuple], size: int) -> Iterator[pa.RecordBatch]:
+    """Rows (``PAGES``) as batches that end with ``size`` characters of pages, so what a task holds does not grow with
+    their length; Spark would gather thousands of pages, of any length, as Python values."""
+    held: list[tuple] = []
+    chars = 0
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, k.type) for x, k in zip(zip(*held, strict=True), PAGES, strict=True)], schema=PAGES)
+
+    for row in rows:
+        held.append(row)
+        chars += len(row[3] or "") + 64
+        if chars >= size:
+            yield made()
+            held, chars = [], 0
+    if held:
+        yield made()
+
+
+def indexed(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, k.type) for x, k in zip(zip(*rows, strict=True) if rows else ([], [], []), INDEX, strict=True)], schema=INDEX)
+
+
 class Records:
     """Reads pieces; with ``hosts``, only records of those."""
 
@@ -121,9 +151,9 @@ class Records:
         with system.open_input_file(f"{root}/data/{piece.name}") as f:
             at = 0
             while at < len(index):
-                # neighbours are fetched together, but never more than a piece's worth
+                # neighbours are fetched together, but never more than a few MB
                 end, lo = at + 1, index[at]["offset"]
-                while end < len(index) and index[end]["offset"] - index[end - 1]["offset"] - index[end - 1]["length"] <= GAP_BYTES and index[end]["offset"] - lo < SPLIT_BYTES // 8:
+                while end < len(index) and index[end]["offset"] - index[end - 1]["offset"] - index[end - 1]["length"] <= GAP_BYTES and index[end]["offset"] - lo < GATHERED_BYTES:
                     end += 1
                 size = index[end - 1]["offset"] + index[end - 1]["length"] - lo
                 raw = f.read_at(size, lo)
@@ -149,13 +179,13 @@ class PageWarc(DataSource):
         return int(self.options.get("splitBytes", SPLIT_BYTES))
 
     def reader(self, schema: StructType) -> PageReader:
-        return PageReader(self.options["path"], self.split)
+        return BatchReader(self.options["path"], self.split)
 
     def streamReader(self, schema: StructType) -> PageStream:
         return PageStream(self.options["path"], self.split)
 
     def writer(self, schema: StructType, overwrite: bool) -> PageWriter:
-        return PageWriter(self.options["path"], schema.fieldNames(), overwrite)
+        return BatchWriter(self.options["path"], schema.fieldNames(), overwrite)
 
 
 class PageReader(DataSourceReader):
@@ -179,6 +209,13 @@ class PageReader(DataSourceReader):
         return self.records.read(partition)
 
 
+class BatchReader(PageReader):
+    """As ``PageReader``, in batches."""
+
+    def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
+        return batches(super().read(partition), BATCH_CHARS)
+
+
 class PageStream(DataSourceStreamReader):
     """An offset is the number of commits that have been read."""
 
@@ -194,8 +231,8 @@ class PageStream(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Piece]:
         return pieces(committed(self.path, commits(self.path)[start["commits"] : end["commits"]]), self.split)
 
-    def read(self, partition: Piece) -> Iterator[tuple]:
-        return Records(self.path).read(partition)
+    def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
+        return batches(Records(self.path).read(partition), BATCH_CHARS)
 
     def commit(self, end: dict) -> None:
         pass
@@ -217,14 +254,17 @@ class PageWriter(DataSourceWriter):
     def write(self, iterator: Iterator) -> Written:
         system, root = fs.FileSystem.from_uri(self.path)
         system.create_dir(f"{root}/data", recursive=True)
-        name, at, found = f"{uuid.uuid4().hex}.warc.gz", 0, []
+        name, at, found, own = f"{uuid.uuid4().hex}.warc.gz", 0, [], []
         with system.open_output_stream(f"{root}/data/{name}", compression=None) as f:
             for row in iterator:
                 raw = record(row["page_id"], row["url"], row["html"])
                 f.write(raw)
-                found.append((host_of(row["url"]), at, len(raw)))
+                own.append((host_of(row["url"]), at, len(raw)))
                 at += len(raw)
-        index = pa.Table.from_arrays([pa.array(x, k.type) for x, k in zip(zip(*found, strict=True) if found else ([], [], []), INDEX, strict=True)], schema=INDEX)
+                if len(own) >= INDEX_ROWS:
+                    found.append(indexed(own))
+                    own = []
+        index = pa.Table.from_batches([*found, indexed(own)])
         pq.write_table(index.sort_by([("host", "ascending"), ("offset", "ascending")]), f"{root}/data/{name}.index", filesystem=system, row_group_size=1 << 16)
         return Written(name, at)
 
@@ -243,3 +283,15 @@ class PageWriter(DataSourceWriter):
             if m is not None:
                 for name in (m.name, f"{m.name}.index"):
                     system.delete_file(f"{root}/data/{name}")
+
+
+class BatchWriter(PageWriter, DataSourceArrowWriter):
+    """As ``PageWriter``, from batches, of which one page at a time becomes Python values."""
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        def rows() -> Iterator[dict]:
+            for batch in iterator:
+                cols = {c: batch.column(self.columns.index(c)) for c in ("page_id", "url", "html")}
+                yield from ({c: x[i].as_py() for c, x in cols.items()} for i in range(len(batch)))
+
+        return super().write(rows())

@@ -3,6 +3,7 @@
 import gzip
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, In
@@ -98,3 +99,15 @@ def test_stream(spark, tmp_path):
         stream = spark.readStream.format("page_warc").load(path).select("page_id", "host")
         stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
         assert sorted(r["page_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(lo + 10))
+
+
+def test_readers_hand_on_batches_of_bounded_size(spark, tmp_path, monkeypatch):
+    """What a reader holds at once follows the size of pages, not their number."""
+    warc.use(spark)
+    rows = [(i, f"https://h{i % 3}.example/{i}", None if i == 5 else "x" * 100 * (i % 7)) for i in range(60)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.format("page_warc").mode("append").save(str(tmp_path))
+    monkeypatch.setattr(warc, "BATCH_CHARS", 2000)
+    reader = warc.BatchReader(str(tmp_path), warc.SPLIT_BYTES)
+    got = [b for p in reader.partitions() for b in reader.read(p)]
+    assert len(got) > 5 and all(isinstance(b, pa.RecordBatch) and sum(len(h or "") for h in b.column(3).to_pylist()) < 2000 + 600 for b in got)
+    assert sorted((r["page_id"], r["url"], r["html"]) for b in got for r in b.to_pylist()) == rows
