@@ -42,8 +42,8 @@ from .textops import BYTE_VALUES, U, buffers, chunks, materialise, mix, prefix_h
 
 LENGTH = 100
 GRAM = 32
-#: Anchors that a task holds before it reduces and sends them.
-FLUSH = 1 << 20
+#: Anchors that a task holds before it reduces and sends them, and strings of hot ones, of which many are made of one document.
+FLUSH, FLUSH_STRINGS = 1 << 19, 1 << 17
 #: Different contexts of an anchor in one flush, or in one shard, that make it hot.
 HOT_FLUSH, HOT = 64, 1024
 SHARD_BYTES = 1 << 20
@@ -129,14 +129,14 @@ class Sender:
     """Gathers rows (key, context, document, span), reduces those of equal key and context to the
     first, and sends them. Rows that are no first become repeats, which are dealt out evenly."""
 
-    def __init__(self, hot: int | None):
+    def __init__(self, hot: int | None, most: int):
         self.parts: list[list[np.ndarray]] = []
-        self.size, self.hot = 0, hot
+        self.size, self.hot, self.most = 0, hot, most
 
     def add(self, *cols: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.parts.append(list(cols))
         self.size += len(cols[0])
-        if self.size >= FLUSH:
+        if self.size >= self.most:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
@@ -166,7 +166,7 @@ class Sender:
 
 def find_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Sender(HOT_FLUSH)
+        out = Sender(HOT_FLUSH, FLUSH)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi, byte, off in chunks(batch.column(1)):
@@ -237,7 +237,7 @@ def cut(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), kind, *batch.columns[2:], pa.nulls(len(batch), pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Sender(None)
+        out = Sender(None, FLUSH_STRINGS)
         for batch in batches:
             batch = batch.filter(batch.column(2).is_valid())
             if not len(batch):
