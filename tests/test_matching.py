@@ -53,6 +53,26 @@ def test_similar_sets(spark, monkeypatch, hot, dealt):
     assert len(got) == len(pairs) > 50 and {(a, b): (s, t) for a, b, s, t in got} == pairs
 
 
+def test_similar_sets_meet_seldom(spark):
+    """Titles of few words, all crowded: few sets meet that are not similar, and no pair is lost."""
+    rng = np.random.default_rng(3)
+    kinds = {"a": 8, "n": 8, "b": 10, "k": 6, "s": 20}
+    rows = [(i, "pqr"[i % 3], [f"{x}{rng.integers(0, n)}" for x, n in kinds.items()]) for i in range(1500)]
+    frame = spark.createDataFrame(rows, "rep long, group string, tokens array<string>")
+    bodies = similar.weighed(frame).groupBy("rep").agg(F.first("group").alias("group"), F.first("total").alias("total"), F.sort_array(F.collect_list(F.struct("df", "token", "w", "rest"))).alias("body"))
+    keyed = similar.keyed_sets(bodies, (7, 10), 5).select("key", "rep", "group", "total", "short").collect()
+    light, met = {}, set()
+    for r in keyed:
+        if r["short"]:
+            light.setdefault(tuple(r["key"]), []).append(r)
+    for h in keyed:
+        met |= {frozenset((x["rep"], h["rep"])) for x in light.get(tuple(h["key"]), ()) if x["group"] != h["group"] and (x["total"], x["rep"]) < (h["total"], h["rep"])}
+    found = similar.similar_sets(frame, id_col="rep", group="group", tokens="tokens", hot=5).pairs.collect()
+    pairs = {frozenset((r["a"], r["b"])) for r in found}
+    assert pairs == {frozenset(p) for p in brute_sets(rows)[1]} and len(pairs) > 50
+    assert pairs <= met and len(met) < 2000
+
+
 def test_similar_sets_empty(spark):
     found = similar.similar_sets(spark.createDataFrame([], "i long, g string, t array<string>"), id_col="i", group="g", tokens="t")
     assert found.members.count() == found.pairs.count() == 0
