@@ -102,3 +102,15 @@ def test_toxicity_stage_of_documents_without_common_terms(spark, sf_dir):
     docs = spark.read.parquet(f"{big}/documents.parquet")
     kept = corpus_pipeline.drop_toxic(spark, docs, big)
     assert 0 < kept.count() < docs.count() and kept.columns == corpus_pipeline.COLUMNS
+
+
+def test_pipeline_on_documents_without_common_terms(spark, tmp_path):
+    """Labelled documents whose words nobody else has go through all stages and are kept."""
+    shared = [(i, f"{'alpha ' * (i & 1)}{'beta ' * (i >> 1 & 1)}word{i}x own{i}y", (i & 1) ^ (i >> 1 & 1)) for i in range(400)]
+    alone = [(1000 + i, f"q{i}z k{i}w j{i}v", 0) for i in range(40)] + [(2000, "", 0), (2001, None, 0)]
+    rows = shared + alone
+    spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t, _ in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0, y) for i, _, y in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "ten words of a passage that no document holds here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    packed = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()}
+    assert {1000 + i for i in range(40)} <= packed <= {i for i, _, _ in rows}
