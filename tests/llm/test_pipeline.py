@@ -2,12 +2,14 @@
 
 import os
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from mercantile.llm import packing
-from mercantile.llm.queries import QUERIES
+from mercantile.llm.queries import ORACLE_SQL, QUERIES
 
 from .test_operators import classes_of, words
 
@@ -114,3 +116,27 @@ def test_pipeline_on_documents_without_common_terms(spark, tmp_path):
     spark.createDataFrame([(1, "ten words of a passage that no document holds here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     packed = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()}
     assert {1000 + i for i in range(40)} <= packed <= {i for i, _, _ in rows}
+
+
+def test_pipeline_equals_sql_where_there_is_some(spark, sf_dir):
+    """On sf0.01: what toxicity leaves goes through the SQL of near duplicates and of decontamination, in
+    DuckDB; the ids of what is left, masked by op1's spans, are those of the pipeline."""
+    big = sf_dir.replace("sf0.001", "sf0.01")
+    clean = [r["doc_id"] for r in QUERIES["op3_toxicity"](spark, big).where("predicted = 0").collect()]
+    con = duckdb.connect()
+    con.register("clean", pa.table({"doc_id": pa.array(clean, pa.int64())}))
+    con.execute(f"create view benchmark as select * from '{big}/benchmark.parquet'")
+    con.execute(f"create table documents as select * from '{big}/documents.parquet' where doc_id in (select doc_id from clean)")
+    for name, kept in (("op9_minhash_near_dedup", "kept"), ("op2_decontamination", "not contaminated")):
+        before = con.execute("select count(*) from documents").fetchone()[0]
+        con.execute(f"create table left_over as select doc_id from ({ORACLE_SQL[name]}) where {kept}")
+        con.execute("delete from documents where doc_id not in (select doc_id from left_over)")
+        con.execute("drop table left_over")
+        assert 0 < con.execute("select count(*) from documents").fetchone()[0] < before
+    spans = {r["doc_id"]: r["spans"] for r in QUERIES["op1_secret_scan"](spark, big).select("doc_id", "spans").collect()}
+    tokenizer = Tokenizer.from_file(packing.vocabulary_path())
+    want = {i: [*tokenizer.encode(masked(t or "", spans[i]), add_special_tokens=False).ids, packing.END_ID] for i, t in con.execute("select doc_id, text from documents").fetchall()}
+    have = {}
+    for p in sorted(corpus_pipeline.run(spark, big).select("doc_id", "start", "ids").collect()):
+        have.setdefault(p["doc_id"], []).extend(p["ids"])
+    assert have == want
